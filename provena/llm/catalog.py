@@ -1,11 +1,17 @@
 """Registered queries of the training-data operators: name -> (query, SQL or None)."""
 
+from .chat_format import OP6_SQL, op6_chat_format
 from .decontaminate import OP3_SQL, op3_decontaminate
+from .html_extract import op1_html_extract
 from .near_dedup import op8_near_dedup
+from .packing import op4_packing
 from .substring_dedup import OP10_SQL, op10_substring_dedup
 
 QUERIES = {
+    "op1_html_extract": (op1_html_extract, None),
     "op3_decontaminate": (op3_decontaminate, OP3_SQL),
+    "op4_packing": (op4_packing, None),
+    "op6_chat_format": (op6_chat_format, OP6_SQL),
     "op8_near_dedup": (op8_near_dedup, None),
     "op10_substring_dedup": (op10_substring_dedup, OP10_SQL),
 }
