@@ -68,7 +68,9 @@ class WordEncoder:
         if len(memo) > self.limit:
             memo.clear()
         split = [t.split() if t else [] for t in texts]
-        new = list({w for words in split for w in words if w not in memo})
+        found = [list(map(memo.get, words)) for words in split]
+        new = {w for words, got in zip(split, found, strict=True) if None in got for w, g in zip(words, got, strict=True) if g is None}
         if new:
-            self._learn(memo, new)
-        return [np.frombuffer(b"".join(map(memo.__getitem__, words)), np.uint32) for words in split]
+            self._learn(memo, list(new))
+            found = [[memo[w] if g is None else g for w, g in zip(words, got, strict=True)] if None in got else got for words, got in zip(split, found, strict=True)]
+        return [np.frombuffer(b"".join(got), np.uint32) for got in found]
