@@ -89,7 +89,7 @@ def whole_word(text: Column | str, term: Column | str) -> Column:
     """The folded term occurs between non-alphanumerics (the term is literal)."""
     t = fold(term)
     literal = F.regexp_replace(t, r"([^a-z0-9 ])", r"\\\\$1")
-    return (F.length(t) > 0) & F.concat(F.lit(" "), fold(text), F.lit(" ")).rlike(F.concat(F.lit("[^a-z0-9]"), literal, F.lit("[^a-z0-9]")))
+    return (F.length(t) > 0) & F.rlike(F.concat(F.lit(" "), fold(text), F.lit(" ")), F.concat(F.lit("[^a-z0-9]"), literal, F.lit("[^a-z0-9]")))
 
 
 def all_words(text: Column | str, query: str, ident: Column | str | None = None) -> Column:

@@ -34,7 +34,7 @@ def value_on_page(value: Column, quote: Column, page: Column) -> Column:
     pattern = lambda d: F.concat(F.lit(r"(?<!\d)0?[.,]?"), F.array_join(F.split(d, "(?<=.)(?=.)"), r"[.,\s]?"), F.lit(r"(?:[.,]0+)?(?!\d)"))
     both = F.concat_ws("\n", quote, page)
     big = fold(both).rlike(r"\b(mil|milhao|milhoes|bilhao|bilhoes|thousand|million|millions|billion|billions)\b")
-    seen = F.when(F.length(number) > 0, both.rlike(pattern(number)) | (big & (F.length(mantissa) > 0) & both.rlike(pattern(mantissa)))).otherwise(F.lit(False))
+    seen = F.when(F.length(number) > 0, F.rlike(both, pattern(number)) | (big & (F.length(mantissa) > 0) & F.rlike(both, pattern(mantissa)))).otherwise(F.lit(False))
     squeeze = lambda x: F.regexp_replace(fold(x), r"\s+", " ")
     start = F.substring(F.trim(squeeze(quote)), 1, 40)
     return fold(quote).rlike("[a-z]{3}") & (seen | ((F.length(start) >= 20) & F.contains(squeeze(page), start)))

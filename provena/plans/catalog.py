@@ -1,5 +1,315 @@
-"""All registered queries of the reference's operators: name -> (query, SQL or None)."""
+"""All registered queries of the reference's operators: name -> (query, SQL or None).
+
+Every query reads the given tables whole; sums that a float's order of adding could change are rounded alike in both forms.
+"""
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from provena.functions import norm as N
+from provena.operators import company, entity, facts, graph, ledger, reconcile, search, temporal
+from provena.operators import measures as M
+from provena.sources.io import read
+from provena.streaming import ops as streaming
+
 QUERIES: dict = {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = (f, sql)
+        return f
+
+    return add
+
+
+def _sales(spark: SparkSession, d: str) -> DataFrame:
+    """lineitem with order year and customer segment."""
+    o = read(spark, d, "orders").select("o_orderkey", "o_custkey", F.year("o_orderdate").alias("year"))
+    c = read(spark, d, "customer").select("c_custkey", "c_mktsegment", "c_nationkey")
+    l = read(spark, d, "lineitem").select("l_orderkey", "l_quantity", "l_extendedprice", "l_discount", "l_suppkey", "l_partkey")
+    j = l.join(o, l.l_orderkey == o.o_orderkey).join(c, o.o_custkey == c.c_custkey)
+    return j.withColumn("disc_value", F.col("l_extendedprice") * F.col("l_discount"))
+
+
+_SALES = "sales AS (SELECT l.*, year(o_orderdate) AS year, c_mktsegment, c_nationkey, o_custkey, l_extendedprice * l_discount AS disc_value FROM lineitem l JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey)"
+MEASURES = [M.Measure("disc_ratio", "ratio", "disc_value", "l_extendedprice", 100.0), M.Measure("mean_disc", "weighted", "l_discount", "l_quantity"), M.Measure("revenue", "sum", "l_extendedprice")]
+
+
+def _round(df: DataFrame, *columns: str, digits: int = 4) -> DataFrame:
+    for c in columns:
+        df = df.withColumn(c, F.round(c, digits))
+    return df
+
+
+@query(f"""WITH {_SALES}, latest AS (SELECT * FROM sales QUALIFY year = max(year) OVER (PARTITION BY c_mktsegment)),
+g AS (SELECT c_mktsegment, year, 100 * sum(disc_value) / nullif(sum(l_extendedprice), 0) AS disc_ratio, sum(l_discount * l_quantity) / nullif(sum(l_quantity), 0) AS mean_disc, sum(l_extendedprice) AS revenue,
+count(DISTINCT l_orderkey) AS sources FROM latest GROUP BY ALL)
+SELECT c_mktsegment, year, round(disc_ratio, 4) AS disc_ratio, round(mean_disc, 4) AS mean_disc, round(revenue, 2) AS revenue, sources, CAST(rank() OVER (ORDER BY round(revenue, 2) DESC) AS BIGINT) AS place FROM g""")
+def measures_segment_year(spark, d):
+    """Latest year of every segment: ratio, weighted mean, sum, rank and how many sources entered."""
+    s = _sales(spark, d)
+    top = s.groupBy("c_mktsegment").agg(F.max("year").alias("year"))  # one row a segment, so no window over all rows
+    g = s.join(F.broadcast(top), ["c_mktsegment", "year"]).groupBy("c_mktsegment", "year").agg(*[m.column_of() for m in MEASURES], F.count_distinct("l_orderkey").alias("sources"))
+    g = _round(_round(g, "disc_ratio", "mean_disc"), "revenue", digits=2)
+    return g.withColumn("place", F.rank().over(Window.orderBy(F.desc("revenue"))).cast("long"))
+
+
+@query(f"""WITH {_SALES} SELECT n_name, year, round(100 * sum(disc_value) / nullif(sum(l_extendedprice), 0), 4) AS disc_ratio, round(sum(l_discount * l_quantity) / nullif(sum(l_quantity), 0), 4) AS mean_disc, round(sum(l_extendedprice), 2) AS revenue
+FROM sales JOIN nation ON c_nationkey = n_nationkey GROUP BY ALL""")
+def measures_nation_year(spark, d):
+    """Ratio and weighted measures by nation and year."""
+    n = read(spark, d, "nation").select("n_nationkey", "n_name")
+    g = M.aggregate(_sales(spark, d), ["c_nationkey", "year"], MEASURES)
+    return _round(_round(g.join(n, g.c_nationkey == n.n_nationkey), "disc_ratio", "mean_disc"), "revenue", digits=2).select("n_name", "year", "disc_ratio", "mean_disc", "revenue")
+
+
+@query("SELECT o_custkey, max(o_orderdate) AS o_orderdate, count(*) AS n FROM (SELECT * FROM orders QUALIFY o_orderdate = max(o_orderdate) OVER (PARTITION BY o_custkey)) GROUP BY ALL")
+def latest_orders(spark, d):
+    """Newest orders of each customer, ties kept."""
+    o = read(spark, d, "orders").select("o_custkey", "o_orderdate")
+    return temporal.latest_version(o, ["o_custkey"], "o_orderdate").groupBy("o_custkey", "o_orderdate").agg(F.count("*").alias("n"))
+
+
+@query("SELECT o_custkey, o_orderkey, o_totalprice FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC NULLS LAST, o_orderkey) <= 3")
+def top_orders(spark, d):
+    """Top three per customer."""
+    o = read(spark, d, "orders").select("o_custkey", "o_orderkey", "o_totalprice")
+    return temporal.top_n(o, ["o_custkey"], [F.desc_nulls_last("o_totalprice"), F.asc("o_orderkey")], 3)
+
+
+@query("""WITH e AS (SELECT event_id, CAST(user_id AS BIGINT) AS o_custkey, CAST(make_timestamp(1992 + event_id % 7, 1 + event_id % 12, 1, 0, 0, 0) AS TIMESTAMP) AS t FROM events)
+SELECT e.event_id, e.o_custkey, e.t, max(o_orderdate) AS since FROM e LEFT JOIN orders o ON o.o_custkey = e.o_custkey AND o.o_orderdate <= e.t GROUP BY ALL""")
+def as_of_orders(spark, d):
+    """The latest order on or before a time, per key."""
+    e = read(spark, d, "events").select("event_id", F.col("user_id").alias("o_custkey"), F.make_timestamp(1992 + (F.col("event_id") % 7).cast("int"), 1 + (F.col("event_id") % 12).cast("int"), F.lit(1), F.lit(0), F.lit(0), F.lit(0)).cast("timestamp_ntz").alias("t"))
+    o = read(spark, d, "orders").groupBy("o_custkey", F.col("o_orderdate").cast("timestamp_ntz").alias("since")).agg(F.count("*").alias("n"))
+    return temporal.as_of(e, o.withColumn("_s", F.col("since")), ["o_custkey"], "t", "_s", ["since"])
+
+
+@query("""WITH old AS (SELECT * FROM orders WHERE o_orderkey % 3 <> 0), new AS (SELECT * FROM orders WHERE o_orderkey % 2 = 0),
+r AS (SELECT * FROM old UNION ALL SELECT * FROM new ANTI JOIN old USING (o_orderkey)) SELECT o_orderstatus, count(*) AS n, round(sum(o_totalprice), 2) AS total FROM r GROUP BY ALL""")
+def append_missing_orders(spark, d):
+    """Only keys that are missing are appended."""
+    o = read(spark, d, "orders").select("o_orderkey", "o_orderstatus", "o_totalprice")
+    r = reconcile.append_missing(o.where("o_orderkey % 3 <> 0"), o.where("o_orderkey % 2 = 0"), ["o_orderkey"])
+    return r.groupBy("o_orderstatus").agg(F.count("*").alias("n"), F.round(F.sum("o_totalprice"), 2).alias("total"))
+
+
+@query("""SELECT year(o_orderdate) AS year, count(*) AS "both", CAST(count_if(abs(o_totalprice - l.total) < 1) AS BIGINT) AS equal FROM orders JOIN (SELECT l_orderkey, sum(l_extendedprice * (1 + l_tax) * (1 - l_discount)) AS total FROM lineitem GROUP BY 1) l ON o_orderkey = l_orderkey GROUP BY 1""")
+def reconcile_totals(spark, d):
+    """Declared totals against recomputed ones by year."""
+    o = read(spark, d, "orders").select("o_orderkey", F.year("o_orderdate").alias("year"), F.col("o_totalprice").alias("v"))
+    l = read(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.sum(F.col("l_extendedprice") * (1 + F.col("l_tax")) * (1 - F.col("l_discount"))).alias("v"))
+    return reconcile.agreement(o, l.join(o.select("o_orderkey", "year"), "o_orderkey"), ["o_orderkey", "year"], "v", ["year"])
+
+
+@query(f"""WITH {_SALES}, g AS (SELECT c_mktsegment, year, round(sum(l_extendedprice), 2) AS value FROM sales GROUP BY ALL),
+p AS (SELECT *, CASE WHEN lag(year) OVER w = year - 1 THEN lag(value) OVER w END AS previous FROM g WINDOW w AS (PARTITION BY c_mktsegment ORDER BY year))
+SELECT c_mktsegment, year, value, previous, round(value - previous, 2) AS change, round(100 * (value - previous) / nullif(abs(previous), 0), 4) AS change_pct FROM p""")
+def yearly_change(spark, d):
+    """Change against exactly the previous year."""
+    g = _sales(spark, d).groupBy("c_mktsegment", "year").agg(F.round(F.sum("l_extendedprice"), 2).alias("value"))
+    return _round(_round(temporal.year_over_year(g, ["c_mktsegment"], "year", "value"), "change", digits=2), "change_pct")
+
+
+@query(f"""WITH {_SALES}, g AS (SELECT c_mktsegment, year, round(sum(l_extendedprice), 2) AS value FROM sales GROUP BY ALL),
+p AS (SELECT *, CASE WHEN lag(year) OVER w = year - 1 THEN value - lag(value) OVER w END AS rise FROM g WINDOW w AS (PARTITION BY c_mktsegment ORDER BY year))
+SELECT c_mktsegment, year, round(rise, 2) AS rise FROM p WHERE rise > 0 QUALIFY row_number() OVER (PARTITION BY c_mktsegment ORDER BY rise DESC, year DESC) = 1""")
+def largest_rise(spark, d):
+    """Largest yearly rise."""
+    g = _sales(spark, d).groupBy("c_mktsegment", "year").agg(F.round(F.sum("l_extendedprice"), 2).alias("value"))
+    return _round(temporal.largest_rise(g, ["c_mktsegment"], "year", "value"), "rise", digits=2)
+
+
+@query("""WITH g AS (SELECT o_orderstatus, year(o_orderdate) AS year, sum(o_totalprice) AS v FROM orders WHERE year(o_orderdate) <> 1994 GROUP BY ALL),
+b AS (SELECT o_orderstatus, min(year) AS lo, max(year) AS hi FROM g GROUP BY 1), s AS (SELECT o_orderstatus, unnest(range(lo, hi + 1)) AS year FROM b)
+SELECT o_orderstatus, CAST(year AS INTEGER) AS year, round(coalesce(v, 0), 2) AS v, round(sum(coalesce(v, 0)) OVER (PARTITION BY o_orderstatus ORDER BY year), 2) AS total FROM s LEFT JOIN g USING (o_orderstatus, year)""")
+def cumulative_spine(spark, d):
+    """Running total over years without gaps."""
+    o = read(spark, d, "orders").select("o_orderstatus", F.year("o_orderdate").alias("year"), F.col("o_totalprice").alias("v")).where("year <> 1994")
+    return _round(temporal.cumulative_by_year(o, ["o_orderstatus"], "year", "v"), "v", "total", digits=2)
+
+
+@query("""WITH q AS (SELECT o_custkey, year(o_orderdate) * 4 + quarter(o_orderdate) AS q, round(sum(o_totalprice), 2) AS v FROM orders GROUP BY ALL)
+SELECT o_custkey, q, v, round(CASE WHEN count(v) OVER w = 4 THEN sum(v) OVER w END, 2) AS trailing FROM q WINDOW w AS (PARTITION BY o_custkey ORDER BY q ROWS 3 PRECEDING)""")
+def trailing_quarters(spark, d):
+    """Trailing sum of four quarters."""
+    o = read(spark, d, "orders").groupBy("o_custkey", (F.year("o_orderdate").cast("long") * 4 + F.quarter("o_orderdate")).alias("q")).agg(F.round(F.sum("o_totalprice"), 2).alias("v"))
+    return _round(temporal.trailing_sum(o, ["o_custkey"], "q", "v"), "trailing", digits=2)
+
+
+@query("""WITH e AS (SELECT user_id, event_id, value - 50 AS x, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events),
+s AS (SELECT *, 100 + sum(x) OVER (PARTITION BY user_id ORDER BY i) AS s FROM e)
+SELECT user_id, event_id, round(s - least(0, min(s) OVER (PARTITION BY user_id ORDER BY i)), 4) AS balance FROM s""")
+def floored_balance(spark, d):
+    """Balance with floor zero."""
+    e = read(spark, d, "events").select("user_id", "event_id", "ts", (F.col("value") - 50).alias("x"))
+    return _round(temporal.floored_balance(e, ["user_id"], ["ts", "event_id"], "x", 100.0), "balance").select("user_id", "event_id", "balance")
+
+
+@query("""WITH e AS (SELECT user_id, event_id, epoch_ms(ts) // 3600000 AS t, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS i FROM events)
+SELECT user_id, event_id, CAST(max(t - i) OVER (PARTITION BY user_id ORDER BY i) + i AS BIGINT) AS t FROM e""")
+def strictly_increasing(spark, d):
+    """Times made strictly increasing."""
+    e = read(spark, d, "events").select("user_id", "event_id", F.floor(F.unix_millis(F.col("ts").cast("timestamp")) / 3600000).alias("t"))
+    return temporal.strictly_increasing(e, ["user_id"], ["event_id"], "t")
+
+
+@query("""WITH e AS (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS seq, sha256(CAST(event_id AS VARCHAR)) AS hash FROM events),
+c AS (SELECT *, CASE WHEN seq = 1 THEN 'genesis' WHEN seq = 5 AND user_id % 2 = 0 THEN 'x' ELSE lag(hash) OVER (PARTITION BY user_id ORDER BY seq) END AS prev_hash FROM e)
+SELECT user_id, count(*) AS n, min(CASE WHEN prev_hash = 'x' THEN seq END) AS bad_seq, min(CASE WHEN prev_hash = 'x' THEN 'link' END) AS fault FROM c GROUP BY 1""")
+def audit_chain(spark, d):
+    """Hash chains with a planted broken link."""
+    w = Window.partitionBy("user_id").orderBy("event_id")
+    e = read(spark, d, "events").select("user_id", "event_id", F.row_number().over(w).cast("long").alias("seq"), F.sha2(F.col("event_id").cast("string"), 256).alias("hash"))
+    prev = F.when(F.col("seq") == 1, "genesis").when((F.col("seq") == 5) & (F.col("user_id") % 2 == 0), "x").otherwise(F.lag("hash").over(w))
+    return temporal.chain_verdict(e.withColumn("prev_hash", prev), "user_id", "seq", "prev_hash", "hash", F.sha2(F.col("event_id").cast("string"), 256), "genesis")
+
+
+@query("SELECT p_partkey, lower(strip_accents(p_name)) AS folded, regexp_matches(' ' || lower(p_name) || ' ', '[^a-z0-9]' || lower(split_part(p_type, ' ', 1)) || '[^a-z0-9]') AS word, CASE WHEN lower(p_name) = 'part' THEN 100 WHEN starts_with(lower(p_name), 'part') THEN 80 WHEN contains(lower(p_name), 'part') THEN 50 ELSE 10 END AS relevance FROM part")
+def folded_names(spark, d):
+    """Folding, whole words and relevance."""
+    p = read(spark, d, "part")
+    p = reconcile.relevance(p, ["p_name"], "part")
+    return p.select("p_partkey", N.fold("p_name").alias("folded"), N.whole_word("p_name", F.element_at(F.split("p_type", " "), 1)).alias("word"), "relevance")
+
+
+@query("SELECT page_id, CASE WHEN p = '' THEN '/' ELSE regexp_replace(p, '/\\d+(/|$)', '/:id\\1', 'g') END AS route FROM (SELECT page_id, regexp_replace(regexp_replace(url, '^[a-z]+://[^/]*', ''), '[?#].*$', '') AS p FROM pages)")
+def page_routes(spark, d):
+    """Request paths as low-cardinality routes."""
+    return read(spark, d, "pages").select("page_id", N.route("url").alias("route"))
+
+
+_TERMS = "list_filter(string_split_regex(lower(strip_accents(coalesce(text, ''))), '[^a-z0-9]+'), lambda x: x <> '')"
+SEARCHES = [(1, "the idiot said nothing"), (2, "maison de la ville"), (3, "einheit und freiheit")]
+
+
+@query(f"""WITH d AS (SELECT doc_id, {_TERMS} AS w FROM documents), q(query_id, term) AS (VALUES (1,'the'),(1,'idiot'),(1,'said'),(1,'nothing'),(2,'maison'),(2,'de'),(2,'la'),(2,'ville'),(3,'einheit'),(3,'und'),(3,'freiheit')),
+st AS (SELECT count(*) AS n, avg(len(w)) AS mean FROM d), tf AS (SELECT doc_id, len(w) AS l, t AS term, count(*) AS tf FROM (SELECT doc_id, w, unnest(w) AS t FROM d) GROUP BY ALL),
+df AS (SELECT term, count(*) AS df FROM tf GROUP BY 1),
+s AS (SELECT query_id, doc_id, sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * l / mean))) AS b FROM q JOIN tf USING (term) JOIN df USING (term), st GROUP BY ALL)
+SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY round(b, 9) DESC, doc_id) - 1 AS pos, round(b, 5) AS bm25 FROM s QUALIFY pos < 20""")
+def bm25_search(spark, d):
+    """BM25 for several queries at once (T4, T5)."""
+    q = spark.createDataFrame(SEARCHES, "query_id int, query string")
+    return _round(search.ranked(search.bm25(read(spark, d, "documents"), q), "bm25", "doc_id", 20), "bm25", digits=5).withColumn("pos", F.col("pos").cast("long"))
+
+
+@query("""WITH q AS (SELECT vec_id AS query_id, embedding AS e FROM embeddings WHERE vec_id < 5),
+s AS (SELECT query_id, vec_id, list_dot_product(CAST(v.embedding AS DOUBLE[]), CAST(q.e AS DOUBLE[])) / (sqrt(list_dot_product(CAST(v.embedding AS DOUBLE[]), CAST(v.embedding AS DOUBLE[]))) * sqrt(list_dot_product(CAST(q.e AS DOUBLE[]), CAST(q.e AS DOUBLE[])))) AS sim FROM embeddings v, q)
+SELECT query_id, vec_id, round(sim, 6) AS similarity, row_number() OVER (PARTITION BY query_id ORDER BY round(sim, 9) DESC, vec_id) - 1 AS pos FROM s QUALIFY pos < 10""")
+def vector_search(spark, d):
+    """Cosine top ten of five stored vectors."""
+    v = read(spark, d, "embeddings")
+    q = v.where("vec_id < 5").select(F.col("vec_id").alias("query_id"), "embedding")
+    return _round(search.vector_top_k(v, q, 10), "similarity", digits=6).withColumn("pos", F.col("pos").cast("long"))
+
+
+@query("""SELECT doc_id, CASE WHEN regexp_matches(text, '-----BEGIN [A-Z ]*PRIVATE KEY-----') THEN 'private_key' WHEN regexp_matches(text, '\\bAKIA[0-9A-Z]{16}\\b') THEN 'aws_key' WHEN regexp_matches(text, '(?i)\\bbearer\\s+[a-z0-9._-]{20,}') THEN 'bearer'
+WHEN regexp_matches(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\\.[A-Za-z]{2,}') THEN 'email' WHEN regexp_matches(text, '\\b\\d{4}[ -]?\\d{4}[ -]?\\d{4}[ -]?\\d{4}\\b') THEN 'card' END AS secret FROM documents""")
+def secrets(spark, d):
+    """First secret or personal pattern of every document."""
+    return read(spark, d, "documents").select("doc_id", facts.first_secret("text").alias("secret"))
+
+
+@query(None)
+def page_chunks(spark, d):
+    """Chunks of 1200 characters with an overlap of 200."""
+    return facts.chunks(read(spark, d, "documents").select("doc_id", "text")).select("doc_id", "pos", F.length("chunk").alias("n_chars"))
+
+
+@query("""WITH t AS (SELECT conv_id * 1000 + turn AS node, CASE WHEN turn > 0 THEN conv_id * 1000 + turn // 2 END AS parent FROM conversations),
+r AS (SELECT t.node, t.parent FROM t)
+SELECT node, CAST(0 AS BIGINT) + CASE WHEN k = 0 THEN 0 ELSE len(bin(k)) END AS depth FROM (SELECT node, node % 1000 AS k FROM t)""")
+def tree_depths(spark, d):
+    """Depth of every node of the conversations' trees, where turn t hangs on turn t / 2."""
+    n = F.col("conv_id") * 1000 + F.col("turn")
+    t = read(spark, d, "conversations").select(n.alias("node"), F.when(F.col("turn") > 0, F.col("conv_id") * 1000 + F.floor(F.col("turn") / 2)).alias("parent"))
+    return graph.depths(t).select("node", F.col("depth").cast("long"))
+
+
+@query("SELECT event_type, le, CAST(count_if(value <= le) AS BIGINT) AS n FROM events, (VALUES (10.0::DOUBLE), (50.0::DOUBLE), (100.0::DOUBLE), (500.0::DOUBLE)) b(le) GROUP BY ALL")
+def duration_histogram(spark, d):
+    """Cumulative buckets by label."""
+    return M.histogram(read(spark, d, "events"), ["event_type"], "value", [10, 50, 100, 500])
+
+
+@query("SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS value FROM events GROUP BY ALL")
+def usage_by_hour(spark, d):
+    """Hourly usage; the streaming form is the same function (ST2)."""
+    e = read(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    return _round(streaming.usage_rollup(e), "value").withColumn("start", F.col("start").cast("timestamp_ntz"))
+
+
+@query("""WITH r AS (SELECT doc_id, regexp_extract(text, '(\\d+)', 1) AS key, reading FROM documents, (VALUES (0), (1), (2)) v(reading) WHERE regexp_extract(text, '(\\d+)', 1) <> '' AND (reading = 0 OR (doc_id + reading) % 3 = 0 OR doc_id % 5 = 0)),
+n AS (SELECT doc_id, count(DISTINCT reading) AS c FROM r GROUP BY 1) SELECT doc_id, key FROM r JOIN n USING (doc_id) GROUP BY doc_id, key, c HAVING c = 1 OR (min(reading) = 0 AND count(DISTINCT reading) >= 2)""")
+def agreed_readings(spark, d):
+    """Facts of the first reading that another confirms."""
+    t = read(spark, d, "documents").select("doc_id", F.regexp_extract("text", r"(\d+)", 1).alias("key")).where("key <> ''")
+    r = t.select("*", F.explode(F.array(F.lit(0), F.lit(1), F.lit(2))).alias("reading")).where("reading = 0 or (doc_id + reading) % 3 = 0 or doc_id % 5 = 0")
+    return facts.agreed(r, ["doc_id", "key"]).select("doc_id", "key")
+
+
+@query(None)
+def resolved_entities(spark, d):
+    """Customer names with a letter dropped, resolved to customers."""
+    s = read(spark, d, "supplier")
+    a = s.select(F.col("s_suppkey").alias("id"), F.col("s_name").alias("alias"), F.col("s_suppkey").cast("string").alias("code"))
+    return entity.resolve(a.select(F.regexp_replace("alias", "^(.{4}).", "$1").alias("term")), a)
+
+
+@query("""WITH k(key, base) AS (VALUES ('cl', 1.0::DOUBLE), ('click', 2.0::DOUBLE), ('pur', 3.0::DOUBLE), ('view', 4.0::DOUBLE)),
+m AS (SELECT event_type, base FROM (SELECT DISTINCT event_type FROM events), k WHERE contains(event_type, key) QUALIFY row_number() OVER (PARTITION BY event_type ORDER BY event_type = key DESC, length(key) DESC, key DESC) = 1)
+SELECT event_type, count(*) AS n, round(sum(value * coalesce(base, 6)), 2) AS cost FROM events LEFT JOIN m USING (event_type) GROUP BY 1""")
+def priced_events(spark, d):
+    """Rates by the longest key contained."""
+    k = spark.createDataFrame([("cl", 1.0), ("click", 2.0), ("pur", 3.0), ("view", 4.0)], "key string, base double")
+    e = read(spark, d, "events").select(F.col("event_type").alias("model"), "value")
+    j = e.join(F.broadcast(ledger.longest_key(e, k)), "model", "left")
+    return j.groupBy(F.col("model").alias("event_type")).agg(F.count("*").alias("n"), F.round(F.sum(F.col("value") * F.coalesce("base", F.lit(6.0))), 2).alias("cost"))
+
+
+@query("SELECT user_id AS resource, bit_or(CAST(event_id % 8 AS INTEGER)) AS bits FROM events WHERE event_type IN ('click', 'view') GROUP BY 1")
+def effective_permissions(spark, d):
+    """Bits of all principals of a set."""
+    e = read(spark, d, "events").select(F.col("user_id").alias("resource"), F.col("event_type").alias("principal"), F.lit("group").alias("principal_type"), (F.col("event_id") % 8).cast("int").alias("bits"))
+    p = spark.createDataFrame([("group", "click"), ("group", "view")], "principal_type string, principal string")
+    return ledger.effective_bits(e, p)
+
+
+@query("SELECT conv_id, turn, strlen(coalesce(text, '')) AS bytes, CAST(len(list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: starts_with(x, '>'))) AS INTEGER) AS quote_lines FROM conversations")
+def message_stats(spark, d):
+    """Bytes and quoted lines of messages."""
+    c = read(spark, d, "conversations").withColumn("text", F.coalesce("text", F.lit("")))
+    return ledger.text_stats(c).select("conv_id", "turn", F.col("bytes").cast("long"), "quote_lines")
+
+
+@query("""WITH o AS (SELECT o_orderkey, o_totalprice AS revenue, -o_totalprice * 0.6 AS cost, o_totalprice * CASE WHEN o_orderkey % 7 = 0 THEN 0.5 ELSE 0.4 END AS gross FROM orders)
+SELECT o_orderkey, abs(gross - revenue - cost) > 0.005 * greatest(abs(revenue), 1) AS broken FROM o""")
+def statement_checks(spark, d):
+    """Statement identities with planted faults."""
+    o = read(spark, d, "orders").select("o_orderkey", F.col("o_totalprice").alias("revenue"), (F.col("o_totalprice") * -0.6).alias("cost"), (F.col("o_totalprice") * F.when(F.col("o_orderkey") % 7 == 0, 0.5).otherwise(0.4)).alias("gross"))
+    o = o.withColumn("expenses", F.lit(0.0)).withColumn("ebit", F.col("gross"))
+    return company.statement_alerts(o).select("o_orderkey", (F.size("alerts") > 0).alias("broken"))
+
+
+@query("""SELECT user_id, CAST(date_trunc('month', ts) AS DATE) AS month, round(avg(value), 4) AS mean, count(*) AS intervals, count(DISTINCT CAST(ts AS DATE)) AS days, CAST(day(last_day(date_trunc('month', ts))) - count(DISTINCT CAST(ts AS DATE)) AS BIGINT) AS days_missing FROM events WHERE value IS NOT NULL GROUP BY user_id, date_trunc('month', ts)""")
+def series_quality(spark, d):
+    """Monthly means with days present and missing."""
+    return _round(company.series_quality(read(spark, d, "events"), ["user_id"], "ts", "value"), "mean")
+
+
+@query("SELECT o_orderkey, o_totalprice FROM orders WHERE o_totalprice < 200000 ORDER BY o_totalprice DESC, o_orderkey DESC LIMIT 50")
+def keyset_page(spark, d):
+    """A page after a cursor (K5)."""
+    o = read(spark, d, "orders").select("o_orderkey", "o_totalprice")
+    return reconcile.keyset_page(o, "o_totalprice", "o_orderkey", 50, (200000.0, -1)).drop("cursor")
+
+
+@query("SELECT o_custkey, round(v, greatest(2, 5 - CAST(floor(log10(abs(v))) AS INTEGER))) AS v FROM (SELECT o_custkey, avg(o_totalprice) AS v FROM orders GROUP BY 1)")
+def significant_digits(spark, d):
+    """Rounding to significant digits."""
+    return read(spark, d, "orders").groupBy("o_custkey").agg(N.sig_round(F.avg("o_totalprice")).alias("v"))
