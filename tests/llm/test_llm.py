@@ -128,17 +128,30 @@ def test_search(spark, docs):
 
 def test_block_max_wand_against_brute_force():
     rng = np.random.default_rng(3)
-    terms = []
-    for size in (400, 300, 20, 1):
-        d = np.sort(rng.choice(500, size, replace=False))
-        terms.append((search.Postings(d, rng.random(size).round(3)), float(rng.random() * 3)))
-    total: Counter = Counter()
-    for p, w in terms:
-        for d, x in zip(p.docs, p.impact, strict=True):
-            total[d] += x * w
-    want = sorted(((round(s, 6), d) for d, s in total.items()), key=lambda x: (-x[0], x[1]))[:10]
-    got = sorted(search.block_max_wand(terms, list(range(500)), 10), key=lambda x: (-x[0], x[1]))
-    assert [d for _, d in got] == [d for _, d in want]
+    sizes, weights = np.array([400, 300, 20, 1]), rng.random(4) * 3
+    docs, impact = np.concatenate([np.sort(rng.choice(500, n, replace=False)) for n in sizes]), rng.random(sizes.sum()).round(3)
+    for ids in (np.arange(500), np.arange(500) // 7):  # the second with repeated ids
+        postings = search.Postings(sizes, docs, impact, ids)
+        for terms in ([0, 1, 2, 3], [1, 2], [3]):
+            total: Counter = Counter()
+            for t in terms:
+                for i in range(sizes[:t].sum(), sizes[: t + 1].sum()):
+                    total[docs[i]] += impact[i] * weights[t]
+            best: dict = {}
+            for d, s in total.items():
+                best[ids[d]] = max(best.get(ids[d], 0.0), round(s, 6))
+            want = sorted(best.items(), key=lambda x: (-x[1], x[0]))[:10]
+            score, doc = search.block_max_wand(postings, np.array(terms), weights[terms], 10)
+            assert doc.tolist() == [d for d, _ in want]
+            assert np.allclose(score, [s for _, s in want], atol=2e-6)
+
+
+def test_search_repeated_rows_take_one_place(spark):
+    rows = [(1, "alpha beta beta")] * 12 + [(i, "alpha " + "gamma " * i) for i in range(2, 20)] + [(None, "alpha"), (50, None), (51, "")]
+    d = spark.createDataFrame(rows, "doc_id long, text string").withColumn("score", F.lit("clash")).repartition(1)
+    q = spark.createDataFrame([(7, "alpha beta"), (8, None), (9, "")], "query_id long, text string")
+    got = sorted((r.query_id, r.rank, r.doc_id) for r in search.top_k(d, q).collect())
+    assert got == [(7, i, i) for i in range(1, 11)]
 
 
 def test_toxicity(spark, docs):
