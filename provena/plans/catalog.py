@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from provena.functions import norm as N
-from provena.operators import company, entity, facts, graph, ledger, reconcile, search, temporal
+from provena.operators import company, entity, facts, graph, knowledge, ledger, panel, reconcile, search, temporal, timeline
 from provena.operators import measures as M
 from provena.sources.io import read
 from provena.streaming import ops as streaming
@@ -313,3 +313,43 @@ def keyset_page(spark, d):
 def significant_digits(spark, d):
     """Rounding to significant digits."""
     return read(spark, d, "orders").groupBy("o_custkey").agg(N.sig_round(F.avg("o_totalprice")).alias("v"))
+
+
+@query("""WITH o AS (SELECT c_nationkey AS company, year(o_orderdate) AS year, o_orderkey, o_totalprice, o_orderpriority FROM orders JOIN customer ON o_custkey = c_custkey),
+t AS (SELECT company, year, count(*) AS n, round(sum(o_totalprice), 2) AS total, array_to_string(list_sort(list(DISTINCT o_orderpriority)), ',') AS themes FROM o GROUP BY ALL),
+i AS (SELECT company, year, string_agg(CAST(o_orderkey AS VARCHAR), ',' ORDER BY o_totalprice DESC, o_orderkey) AS items FROM (SELECT * FROM o QUALIFY row_number() OVER (PARTITION BY company, year ORDER BY o_totalprice DESC NULLS LAST, o_orderkey) <= 12) GROUP BY ALL)
+SELECT company, year, 'usina' AS kind, n, total, items, themes FROM t JOIN i USING (company, year)""")
+def yearly_events(spark, d):
+    """Orders of every nation and year as events with their largest items."""
+    c = read(spark, d, "customer").select("c_custkey", F.col("c_nationkey").alias("company"))
+    o = read(spark, d, "orders").select("o_custkey", "o_orderkey", F.col("o_totalprice").alias("amount"), F.year("o_orderdate").alias("year"), F.array("o_orderpriority").alias("themes"))
+    e = timeline.yearly_events(o.join(c, o.o_custkey == c.c_custkey), "usina", "o_orderkey", "amount", "orders", "themes")
+    return _round(e, "total", digits=2).select("company", "year", "kind", "n", "total", F.array_join("items", ",").alias("items"), F.array_join("themes", ",").alias("themes"))
+
+
+@query("""WITH d AS (SELECT o_custkey AS company, o_orderstatus AS area, o_orderpriority AS type, year(o_orderdate) AS year, o_orderkey AS file FROM orders),
+p AS (SELECT *, row_number() OVER (PARTITION BY company ORDER BY year DESC, file) AS p FROM d),
+a AS (SELECT *, min(p) OVER (PARTITION BY company, area) AS a, min(p) OVER (PARTITION BY company, area, type) AS t FROM p),
+n AS (SELECT *, row_number() OVER (PARTITION BY company ORDER BY a, t, p) AS k FROM a)
+SELECT company, 'fonte:D' || k AS id, 'referencia' AS kind, 'empresa:' || company || '/docs-' || area || '/' || type AS parent FROM n
+UNION ALL SELECT DISTINCT company, 'empresa:' || company || '/docs-' || area || '/' || type, 'grupo', 'empresa:' || company || '/docs-' || area FROM n
+UNION ALL SELECT DISTINCT company, 'empresa:' || company || '/docs-' || area, 'categoria', 'empresa:' || company FROM n
+UNION ALL SELECT c_custkey, 'empresa:' || c_custkey, 'empresa', NULL FROM customer
+UNION ALL SELECT DISTINCT company, 'empresa:' || company || '/orders', 'categoria', 'empresa:' || company FROM n
+UNION ALL SELECT DISTINCT company, 'fonte:B1', 'referencia', 'empresa:' || company || '/orders' FROM n
+UNION ALL SELECT DISTINCT company, 'empresa:' || company || '/orders/price', 'indicador', 'empresa:' || company || '/orders' FROM n""")
+def knowledge_nodes(spark, d):
+    """Graph nodes of every customer: its orders as documents and as a dataset."""
+    o = read(spark, d, "orders").select(F.col("o_custkey").alias("company"), F.col("o_orderstatus").alias("area"), F.col("o_orderpriority").alias("type"), F.year("o_orderdate").alias("year"), F.col("o_orderkey").alias("file"), "o_totalprice")
+    docs = o.withColumn("title", F.lit(""))
+    points = o.select("company", F.lit("orders").alias("dataset"), F.lit(1).alias("place"), F.lit("price").alias("measure"), F.col("year").alias("period"), F.col("o_totalprice").alias("value"))
+    c = read(spark, d, "customer").select(F.col("c_custkey").alias("company"), F.col("c_name").alias("name"))
+    return knowledge.nodes(c, points, docs).select("company", "id", "kind", "parent")
+
+
+@query("""WITH g AS (SELECT l_suppkey, l_returnflag, avg(l_quantity / nullif(l_discount * 500, 0)) AS ratio, count(*) AS sets, CAST(count_if(l_quantity / nullif(l_discount * 500, 0) > 1) AS BIGINT) AS violations FROM lineitem GROUP BY ALL)
+SELECT l_suppkey, l_returnflag, round(ratio, 6) AS ratio, sets, violations, rank() OVER (PARTITION BY l_returnflag ORDER BY round(ratio, 9) NULLS LAST) AS place, count(*) OVER (PARTITION BY l_returnflag) AS of FROM g""")
+def benchmark_sheet(spark, d):
+    """Suppliers' quantities against a limit, placed within their class."""
+    l = read(spark, d, "lineitem").select("l_suppkey", "l_returnflag", F.col("l_quantity").alias("value"), (F.col("l_discount") * 500).alias("limit"))
+    return _round(panel.benchmark_sheet(l, "l_suppkey", "l_returnflag"), "ratio", digits=6)
