@@ -315,7 +315,7 @@ def significant_digits(spark, d):
     return read(spark, d, "orders").groupBy("o_custkey").agg(N.sig_round(F.avg("o_totalprice")).alias("v"))
 
 
-@query("""WITH o AS (SELECT c_nationkey AS company, year(o_orderdate) AS year, o_orderkey, o_totalprice, o_orderpriority FROM orders JOIN customer ON o_custkey = c_custkey),
+@query("""WITH o AS (SELECT c_nationkey AS company, CAST(year(o_orderdate) AS INTEGER) AS year, o_orderkey, o_totalprice, o_orderpriority FROM orders JOIN customer ON o_custkey = c_custkey),
 t AS (SELECT company, year, count(*) AS n, round(sum(o_totalprice), 2) AS total, array_to_string(list_sort(list(DISTINCT o_orderpriority)), ',') AS themes FROM o GROUP BY ALL),
 i AS (SELECT company, year, string_agg(CAST(o_orderkey AS VARCHAR), ',' ORDER BY o_totalprice DESC, o_orderkey) AS items FROM (SELECT * FROM o QUALIFY row_number() OVER (PARTITION BY company, year ORDER BY o_totalprice DESC NULLS LAST, o_orderkey) <= 12) GROUP BY ALL)
 SELECT company, year, 'usina' AS kind, n, total, items, themes FROM t JOIN i USING (company, year)""")
