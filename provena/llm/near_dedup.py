@@ -7,16 +7,18 @@
    Two registers agree with the probability Jaccard of the weighted sets.
 2. Documents with equal word sequences collapse to their smallest id first.
 3. ``bands`` keys of ``rows`` registers make buckets.  Each bucket's smallest
-   document is paired with every other member (a star, never all pairs); the
+   document is paired with every other member (a star); the
    pairs are verified by the exact probability Jaccard of their whole texts.
-4. Members that did not end up with the leader of one of their buckets are dealt
-   to finer buckets (that bucket and a second band key, so eight registers) and
-   paired with the smallest member there if they share two such; these pairs are
-   verified too.  The work stays linear in the members of the buckets.
+4. Rounds follow until every bucket is resolved.  A bucket is resolved when all pairs
+   of its members were compared or lie in one component.  In a round up to ``most``
+   members outside the bucket's largest component lead: they are compared with all
+   members of other components and leave the bucket.  ``most`` grows eightfold a round, so
+   the rounds are few; components found on the way spare the comparisons inside them.
 5. Connected components of the verified links are the classes.
 
 At 0.8 and 20 bands of 4 registers a pair shares no bucket with a probability below
-3e-5; a pair whose buckets all have leaders unlike both is found by step 4 only.  Words are runs of non-space characters, A-Z lower-cased.  Texts under 5
+3e-5; all that share one are found.  In a bucket of n members of which m lie outside its largest
+component that takes up to m * n comparisons: members alike, but under the threshold, are the costly case.  Words are runs of non-space characters, A-Z lower-cased.  Texts under 5
 words are one shingle.  Null or blank texts are alone in their class.  Rows
 that repeat a doc_id share its class; a null doc_id has a null class.
 """
@@ -34,6 +36,7 @@ from .words import U64, Batches, WordHasher, Windows, lower_space_words, mix, pe
 
 SHINGLE, THRESHOLD, BANDS, ROWS = 5, 0.8, 20, 4
 _CHUNK = 400_000  # shingles sketched at a time; bounds memory only
+_PAIRS = 200_000  # pairs of a bucket that one task makes; larger buckets are dealt to several
 
 
 def weighted_shingles(words: list[bytes], hasher: WordHasher, windows: Windows, k: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
@@ -147,6 +150,27 @@ def verified(pairs: DataFrame, docs: DataFrame, threshold: float) -> DataFrame:
     )
 
 
+def _unresolved(member: DataFrame) -> DataFrame:
+    """``(key, node, c, n, major, m)`` of the buckets of ``member(key, node, c)`` with over one component c; m of the n members are not in the largest, major."""
+    member = staged(member, "labelled")
+    each = member.groupBy("key", "c").agg(F.count("*").alias("size"))
+    top = each.groupBy("key").agg(F.sum("size").alias("n"), F.max(F.struct("size", "c")).alias("top"))
+    top = top.where("n > top.size").select("key", "n", F.col("top.c").alias("major"), (F.col("n") - F.col("top.size")).alias("m"))
+    return staged(member.join(top, "key"), "unresolved")
+
+
+def _round(unresolved: DataFrame, most: int) -> tuple[DataFrame, DataFrame]:
+    """Pairs (a, b) of the round's leaders with the members of other components, and the leaders (key, node)."""
+    slot = F.when(F.col("m") <= most, F.col("node")).otherwise(F.pmod(F.xxhash64("node"), F.lit(most)))
+    first = unresolved.where("c <> major").groupBy("key", slot.alias("slot")).agg(F.min(F.struct("node", "c", "n", "m")).alias("lead"))
+    first = staged(first.select("key", "lead.*"), "leaders")
+    # a bucket's members are dealt to as many shares as its pairs need
+    shares = F.ceil(F.col("n") * F.least("m", F.lit(most)) / _PAIRS)
+    lead = first.select("key", F.explode(F.sequence(F.lit(0).cast("long"), shares - 1)).alias("share"), F.col("node").alias("leader"), F.col("c").alias("lc"))
+    pairs = unresolved.withColumn("share", F.pmod(F.xxhash64("node"), shares)).join(lead, ["key", "share"]).where("c <> lc")
+    return pairs.select(F.least("leader", "node").alias("a"), F.greatest("leader", "node").alias("b")).distinct(), first.select("key", "node")
+
+
 def near_duplicate_classes(docs: DataFrame, threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """``(doc_id, class_id, class_size)``, one row per row of ``docs``; class_id is the class's smallest doc_id."""
     docs = table_input(docs, "doc_id", "text")
@@ -155,28 +179,23 @@ def near_duplicate_classes(docs: DataFrame, threshold: float = THRESHOLD, bands:
     bucket = first.select(F.explode("bands").alias("key"), F.col("doc_id").alias("node"))
     lead = bucket.groupBy("key").agg(F.min("node").alias("leader"), F.count("*").alias("n")).where("n > 1").select("key", "leader")
     member = staged(bucket.join(lead, "key").where("node <> leader"), "members")
-    pairs = staged(member.select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct(), "pairs")
-    links = staged(verified(pairs, docs, threshold), "links")
-    comp = staged(components(links), "components")
+    tried = staged(member.select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct(), "pairs")
+    comp = staged(components(staged(verified(tried, docs, threshold), "links")), "components")
 
     def labelled(df: DataFrame, column: str, out: str) -> DataFrame:
         c = comp.select(F.col("node").alias(column), F.col("component").alias(out))
         return df.join(c, column, "left").withColumn(out, F.coalesce(out, column))
 
-    split = labelled(labelled(member, "node", "cn"), "leader", "cl").where("cn <> cl").select("key", "node", "cn")
-    # within such a bucket, a second key of the bands makes finer buckets with leaders of their own
-    keys = first.select(F.col("doc_id").alias("node"), "bands")
-    second = lambda df: df.join(keys, "node").select("key", "node", F.explode("bands").alias("second")).where("second <> key")
-    inside = member.select("key", "node").unionByName(lead.select("key", F.col("leader").alias("node"))).join(split.select("key").distinct(), "key", "left_semi")
-    finer = second(inside).groupBy("key", "second").agg(F.min("node").alias("a"))
-    rest = (
-        second(split.select("key", "node")).join(finer, ["key", "second"]).where("a <> node")
-        .groupBy("a", F.col("node").alias("b")).agg(F.count_distinct("second").alias("n")).where("n >= 2")
-    )
-    rest = labelled(labelled(rest, "a", "ca"), "b", "cb").where("ca <> cb").select("a", "b")
-    rest = staged(rest.join(pairs, ["a", "b"], "left_anti"), "rest")
-    if not rest.isEmpty():
-        comp = staged(components(links.union(verified(rest, docs, threshold))), "components")
+    unresolved, most = _unresolved(labelled(member.select("key", "node"), "node", "c")), 8
+    while not unresolved.isEmpty():
+        pairs, leaders = _round(unresolved, most)
+        pairs = staged(pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
+        links = staged(verified(pairs, docs, threshold), "links")
+        if not links.isEmpty():
+            comp = staged(components(comp.toDF("a", "b").union(links)), "components")  # the stars so far and what joins them
+        tried = tried.union(pairs)
+        rest = unresolved.select("key", "node").join(leaders, ["key", "node"], "left_anti")
+        unresolved, most = _unresolved(labelled(rest, "node", "c")), most * 8
     # every document: its content's first document, and that one's component
     rep = sketch.select("doc_id", "content").join(first.select("content", F.col("doc_id").alias("first")), "content")
     own = labelled(rep, "first", "class_id").groupBy("doc_id").agg(F.min("class_id").alias("class_id"))

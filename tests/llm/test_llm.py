@@ -59,6 +59,28 @@ def test_near_dedup(spark, docs):
     assert near_dedup.one_of_each(docs).where("doc_id in (1, 2)").count() == 1
 
 
+def test_near_dedup_in_a_group_of_one_template(spark):
+    # 400 documents of one template (mostly J < 0.8 to each other), then 20 planted pairs that differ in one of 20 slots
+    rng = np.random.default_rng(2)
+    draw = lambda: (rng.random(20) < 0.15).astype(int)
+    slots = [draw() for _ in range(400)]
+    for _ in range(20):
+        y = draw()
+        z = y.copy()
+        z[rng.choice(np.flatnonzero(y == 0))] = 1
+        slots += [y, z]
+    texts = [" ".join(f"s{i}v{x}w{j}" for i, x in enumerate(v) for j in range(8)) for v in slots]
+    grams = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in (t.split() for t in texts)]
+    own = list(range(len(texts)))  # no shingle occurs twice in a text, so the plain Jaccard is the exact one
+    for i, g in enumerate(grams):
+        for j in range(i):
+            if 5 * len(g & grams[j]) >= 4 * len(g | grams[j]) and own[i] != own[j]:
+                low, high = sorted((own[i], own[j]))
+                own = [low if x == high else x for x in own]
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r.doc_id: r.class_id for r in near_dedup.near_duplicate_classes(d).collect()} == dict(enumerate(own))
+
+
 def test_probability_jaccard_and_sketch():
     x = (np.array([1, 2, 3], np.uint64), np.array([1.0, 2.0, 1.0]))
     y = (np.array([2, 3, 4], np.uint64), np.array([1.0, 1.0, 2.0]))
