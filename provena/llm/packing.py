@@ -1,7 +1,9 @@
 """Packing by lexical retrieval: neighbours from a sharded BM25 index fill each document's window.
 
-Documents are dealt to shards of bounded size inside the scan's partitions, so no
-text is shuffled.  A shard holds a BM25 inverted index of its documents.  A seed
+Documents are dealt to shards of bounded size by content: every document is encoded once and
+its ids are shuffled to the order of its three rarest tokens that another document has too
+(by document frequency over the whole table).  The order is cut in ranges, so a common key is dealt to several
+tasks; documents without such a token come first.  A shard holds a BM25 inverted index of its documents.  A seed
 document opens a window; while the window has room, the best unused neighbour of
 the seed (the first unused document if none shares a term) is appended.  The last
 one is cut where the window is full, and its rest opens the next window as the
@@ -9,7 +11,8 @@ new seed.  So only the last window of a shard is short: it is cut into pieces
 of powers of two, at least ``least`` tokens each, and only the very last is padded.
 
 The index's terms are the documents' token ids.  Queries use the ``query_terms`` rarest
-terms of the seed; terms in more than an eighth of a shard tell nothing and are no query terms.  A null text is an empty
+terms of the seed.  Document frequencies, their number and the mean length are those of the whole table;
+only the search for neighbours stays inside the shard.  A null text is an empty
 document: its end token only.  Every id of every row lies in exactly one piece;
 repeated rows are packed each on their own.
 """
@@ -23,8 +26,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from .common import read, table_input
+from .common import read, staged, table_input
 from .tokens import WordEncoder
 from .words import Batches, utf8
 
@@ -35,18 +39,18 @@ K1, B = 1.2, 0.75
 class ShardIndex:
     """BM25 inverted index of one shard over token ids; used documents are passed over."""
 
-    def __init__(self, ids: list[np.ndarray], query_terms: int):
+    def __init__(self, ids: list[np.ndarray], query_terms: int, table: tuple[np.ndarray, int, float]):
+        df, total, mean = table
         n = len(ids)
         each = [np.unique(x, return_counts=True) for x in ids]
         doc = np.repeat(np.arange(n), [len(t) for t, _ in each])
         term = np.concatenate([t for t, _ in each]).astype(np.int64)
         tf = np.concatenate([c for _, c in each]).astype(float)
         size = np.array([len(x) for x in ids], float)
-        norm = K1 * (1 - B + B * size / size.mean())
-        df = np.bincount(term)
-        useful = (df[term] >= 2) & (df[term] <= max(2, n // 8))
+        norm = K1 * (1 - B + B * size / mean)
+        useful = np.bincount(term, minlength=len(df))[term] >= 2
         doc, term, tf = doc[useful], term[useful], tf[useful]
-        idf = np.log(1 + (n - df[term] + 0.5) / (df[term] + 0.5))
+        idf = np.log(1 + (total - df[term] + 0.5) / (df[term] + 0.5))
         self.score = idf * tf * (K1 + 1) / (tf + norm[doc])
         rare = np.lexsort((term, df[term], doc))
         place = np.arange(len(doc)) - np.searchsorted(doc, doc)  # doc is sorted: a term's rank among its document's terms
@@ -91,9 +95,9 @@ def powers(n: int, least: int) -> Iterator[int]:
         n -= size
 
 
-def pack_shard(ids: list[np.ndarray], window: int, query_terms: int, least: int) -> Iterator[tuple[int, int, int, int, int]]:
+def pack_shard(ids: list[np.ndarray], window: int, query_terms: int, least: int, table: tuple[np.ndarray, int, float]) -> Iterator[tuple[int, int, int, int, int]]:
     """(document, start, length, sequence, offset) of every piece."""
-    index = ShardIndex(ids, query_terms)
+    index = ShardIndex(ids, query_terms, table)
     sequence, offset, held = 0, 0, []  # held: the open window's pieces
     seed, start = index.first(), 0
     while seed is not None:
@@ -133,12 +137,53 @@ def pack_shard(ids: list[np.ndarray], window: int, query_terms: int, least: int)
         at, sequence = hi, sequence + 1
 
 
-def _pack(window: int, end_id: int, query_terms: int, shard_docs: int, shard_tokens: int, least: int, path: str | None):
+def _encode(end_id: int, path: str | None):
+    def run(batches: Batches) -> Batches:
+        encode = WordEncoder(path)
+        for batch in batches:
+            numbers, raw = batch["doc_id"].to_pylist(), utf8(batch["text"])
+            for i in range(0, len(raw), 500):
+                ids = [np.append(got, np.uint32(end_id)).astype("<u4").tobytes() for got in encode(raw[i : i + 500])]
+                yield pa.record_batch([pa.array(numbers[i : i + 500], pa.int64()), pa.array(ids, pa.binary())], names=["doc_id", "ids"])
+
+    return run
+
+
+def _count(batches: Batches) -> Batches:
+    """``(term, n)`` of a task's documents; under term -1 their number, under -2 their tokens."""
+    df, docs, tokens = np.zeros(1, np.int64), 0, 0
+    for batch in batches:
+        for raw in batch["ids"].to_pylist():
+            ids = np.unique(np.frombuffer(raw, "<u4"))
+            if ids[-1] >= len(df):
+                df = np.append(df, np.zeros(int(ids[-1]) + 1 - len(df), np.int64))
+            df[ids] += 1
+            docs, tokens = docs + 1, tokens + len(raw) // 4
+    term = np.flatnonzero(df)
+    yield pa.record_batch([pa.array(np.append(term, [-1, -2])), pa.array(np.append(df[term], [docs, tokens]))], names=["term", "n"])
+
+
+def _keys(df: np.ndarray, end_id: int):
+    """Adds a document's three rarest tokens that another document has too."""
+
+    def run(batches: Batches) -> Batches:
+        for batch in batches:
+            keys = np.full((len(batch), 3), -1, np.int64)
+            for i, raw in enumerate(batch["ids"].to_pylist()):
+                ids = np.unique(np.frombuffer(raw, "<u4"))
+                ids = ids[(df[ids] >= 2) & (ids != end_id)]
+                rare = ids[np.lexsort((ids, df[ids]))[:3]]
+                keys[i, : len(rare)] = rare
+            yield pa.record_batch([batch["doc_id"], batch["ids"], *map(pa.array, keys.T.copy())], names=["doc_id", "ids", "k1", "k2", "k3"])
+
+    return run
+
+
+def _pack(window: int, query_terms: int, shard_docs: int, shard_tokens: int, least: int, table: tuple[np.ndarray, int, float]):
     kinds = (pa.int64(),) * 7
     names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
 
     def run(batches: Batches) -> Batches:
-        encode = WordEncoder(path)
         sequence = TaskContext.get().partitionId() << 40
         docs: list = []
         ids: list = []
@@ -147,7 +192,7 @@ def _pack(window: int, end_id: int, query_terms: int, shard_docs: int, shard_tok
             nonlocal sequence
             rows: list[tuple] = []
             top = -1
-            for d, start, n, s, o in pack_shard(ids, window, query_terms, least):
+            for d, start, n, s, o in pack_shard(ids, window, query_terms, least, table):
                 rows.append((docs[d], start, n, zlib.crc32(ids[d][start : start + n].astype("<u4").tobytes()), len(ids[d]), sequence + s, o))
                 top = max(top, s)
             sequence += top + 1
@@ -157,15 +202,13 @@ def _pack(window: int, end_id: int, query_terms: int, shard_docs: int, shard_tok
 
         held = 0
         for batch in batches:
-            numbers, raw = batch["doc_id"].to_pylist(), utf8(batch["text"])
-            for i in range(0, len(raw), 500):
-                for doc, got in zip(numbers[i : i + 500], encode(raw[i : i + 500]), strict=True):
-                    docs.append(doc)
-                    ids.append(np.append(got, np.uint32(end_id)))
-                    held += len(got) + 1
-                    if len(docs) >= shard_docs or held >= shard_tokens:
-                        yield shard()
-                        held = 0
+            for doc, got in zip(batch["doc_id"].to_pylist(), batch["ids"].to_pylist(), strict=True):
+                docs.append(doc)
+                ids.append(np.frombuffer(got, "<u4"))
+                held += len(ids[-1])
+                if len(docs) >= shard_docs or held >= shard_tokens:
+                    yield shard()
+                    held = 0
         if docs:
             yield shard()
 
@@ -175,9 +218,17 @@ def _pack(window: int, end_id: int, query_terms: int, shard_docs: int, shard_tok
 def pack(docs: DataFrame, window: int = WINDOW, end_id: int = END_ID, query_terms: int = QUERY_TERMS, shard_docs: int = SHARD_DOCS,
          shard_tokens: int = SHARD_TOKENS, least: int = 64, vocabulary: str | None = None) -> DataFrame:
     """Pieces ``(doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset)`` of all documents."""
-    f = _pack(window, end_id, query_terms, shard_docs, shard_tokens, least, vocabulary)
+    coded = staged(table_input(docs, "doc_id", "text").mapInArrow(_encode(end_id, vocabulary), "doc_id long, ids binary"), "tokens")
+    # one number per token id: bounded by the vocabulary
+    counts = {r["term"]: r["n"] for r in coded.select("ids").mapInArrow(_count, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()}
+    total, tokens = counts.pop(-1, 0), counts.pop(-2, 0)
+    df = np.zeros(max(counts, default=0) + 1, np.int64)
+    df[list(counts)] = list(counts.values())
+    keyed = coded.mapInArrow(_keys(df, end_id), "doc_id long, ids binary, k1 long, k2 long, k3 long")
+    order = ["k1", "k2", "k3", F.xxhash64("doc_id")]
+    f = _pack(window, query_terms, shard_docs, shard_tokens, least, (df, total, tokens / max(total, 1)))
     schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
-    return table_input(docs, "doc_id", "text").mapInArrow(f, schema)
+    return keyed.repartitionByRange(*order).sortWithinPartitions(*order).select("doc_id", "ids").mapInArrow(f, schema)
 
 
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -131,6 +131,20 @@ def test_tokens_and_packing(spark, docs):
     assert whole[3].ids_crc32 == zlib.crc32(ids.tobytes())
 
 
+def test_packing_finds_neighbours_beyond_the_scan_order(spark):
+    words = sorted(w for w in tokenizer(vocabulary_path(), False).get_vocab() if w.isascii() and w.isalpha() and w.islower() and len(w) > 3)
+    encode = WordEncoder()
+    own = [w for w in words if len(encode([w.encode()])[0]) == 1][:120]
+    # documents i and i + 20 share their words and are 20 rows apart; two fill a window
+    rows = [(i, " ".join(own[6 * (i % 20) : 6 * (i % 20) + 6] * 5)) for i in range(40)]
+    got = packing.pack(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1), window=62, shard_docs=8).collect()
+    assert sum(r.length for r in got) == 40 * 31
+    at: dict = {}
+    for r in got:
+        at.setdefault(r.doc_id, set()).add(r.sequence_id)
+    assert sum(bool(at[i] & at[i + 20]) for i in range(20)) >= 15
+
+
 def test_token_scan(spark, docs):
     t = tokenizer(vocabulary_path(), True)
     want = Counter(len(t.encode(x[1] or "", add_special_tokens=False).ids) for x in ROWS)
