@@ -8,6 +8,7 @@ they cut the lineage of iterative jobs.
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -15,10 +16,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+OWN = "__own"
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; only where none is named (tests) a local one is set."""
+    """The cluster's shared folder; only where none is named and driver and tasks are one process (tests) a local one is set."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         at = "file://" + tempfile.mkdtemp(prefix="provena-shared-")
         spark.conf.set("spark.checkpoint.dir", at)
     return at.rstrip("/")
@@ -41,6 +47,30 @@ def table_input(df: DataFrame, *columns: str) -> DataFrame:
     return df.select(*[F.col(f"`{c}`") for c in columns])
 
 
+def carried(df: DataFrame, *used: str) -> DataFrame:
+    """The columns ``used`` and, in one reserved column, all others, so that names of the caller never clash with ours."""
+    rest = [F.col(f"`{c}`") for c in df.columns if c not in used]
+    return df.select(*used, (F.struct(*rest) if rest else F.lit(None).cast("int")).alias(OWN))
+
+
+def restored(df: DataFrame, like: DataFrame, *used: str, without: tuple[str, ...] = (), extra: tuple[str, ...] = ()) -> DataFrame:
+    """The columns of ``like`` again, but for those named in ``without``, then the ``extra`` ones."""
+    names = [c for c in like.columns if c not in without]
+    return df.select(*[F.col(c) if c in used else F.col(f"{OWN}.`{c}`").alias(c) for c in names], *extra)
+
+
+def join_hot(left: DataFrame, right: DataFrame, keys: list[str], rows: int, most: int = 1000) -> DataFrame:
+    """``left.join(right, keys)`` where some keys may hold a large part of the left rows.
+
+    ``right`` has, in ``n``, the number of left rows of each key, ``rows`` is their total: so at most ``most`` keys
+    have over rows / most, and only these are broadcast, which deals their left rows to all tasks.
+    """
+    hot = F.col("n") * most > rows
+    few = F.broadcast(right.where(hot).drop("n"))
+    rest = left.join(F.broadcast(right.where(hot).select(*keys).distinct()), keys, "left_anti")
+    return left.join(few, keys).unionByName(rest.join(right.where(~hot).drop("n"), keys))
+
+
 def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
     """Connected components of ``edges(a, b)`` as ``(node, component)`` where
     component is the smallest node; nodes without an edge are not listed.
