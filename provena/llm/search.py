@@ -7,18 +7,19 @@ ids and lengths) is staged once.  Document frequencies, the number of documents
 added up over all shards, so every shard scores with global statistics.  A block of
 queries goes to ``WAYS`` tasks or more, each with a share of the shards, of which
 only the postings of the block's terms are sent there.  A task takes its queries through one shard after
-another: block-max WAND skips the blocks of documents that cannot reach the
-query's k-th score in the shards so far.  The tasks' top-k merge exactly: a document lies in one shard and its
+another by block-max WAND with the query's k-th score in the shards so far as its threshold.
+The tasks' top-k merge exactly: a document lies in one shard and its
 score does not depend on the shard.
 
-A query document is turned into its ``query_terms`` words of the greatest weight
-tf * idf over its whole text (ties: smaller word); ``None`` takes all words.
+A query is all words of its text; ``query_terms`` cuts it to that many words of the greatest weight
+tf * idf (ties: smaller word) where a caller wants that.
 Results: score rounded to 6 digits, best first, ties by smaller doc_id.
 Words are lower-cased runs of letters and digits (see ``words.alnum_words``).
 
 Null and empty texts match nothing and find nothing; rows with a null doc_id
 are not indexed; rows that repeat a doc_id are indexed each on their own and the
-best of them takes one place; queries that repeat an id are one query of all their words.
+best of them takes one place; queries that repeat an id are one query of all their words.  An empty table finds
+nothing; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -34,9 +35,8 @@ from pyspark.sql import functions as F
 from .common import read, staged, table_input
 from .words import U64, Batches, WordHasher, alnum_words, per_batch, signed, utf8
 
-K, K1, B, BLOCK, SHARD_DOCS, SHARD_WORDS, QUERY_TERMS, QUERY_BLOCK = 10, 1.2, 0.75, 64, 8192, 4_000_000, 32, 20_000
+K, K1, B, BLOCK, SHARD_DOCS, SHARD_WORDS, QUERY_BLOCK = 10, 1.2, 0.75, 64, 8192, 4_000_000, 20_000
 WAYS, SHARDS_A_TASK = 16, 64  # the shards are dealt to so many tasks for a block of queries: more where a task would get too many
-_TOGETHER = 256  # queries whose block bounds are added up at a time; bounds memory only
 SLACK = 1e-6  # scores are ranked after rounding; nothing within this of the k-th is skipped
 
 
@@ -101,7 +101,11 @@ def _ranges(first: np.ndarray, last: np.ndarray) -> np.ndarray:
 
 
 class Postings:
-    """The postings of a shard's queried terms, term after term, with the maximum impact of every term in every block of documents it touches."""
+    """The postings of a shard's queried terms, term after term.
+
+    A term's list is a row of entries, one for every block of documents that it touches, with the entry's
+    maximum impact; ``list_max`` is the list's.
+    """
 
     def __init__(self, n: np.ndarray, docs: np.ndarray, impact: np.ndarray, ids: np.ndarray):
         self.docs, self.impact, self.ids = docs, impact, ids
@@ -114,59 +118,105 @@ class Postings:
         self.entry_block, self.entry_max = block[first], np.maximum.reduceat(impact, first)
         self.entry_edge = np.append(first, len(docs))
         self.term_entry = np.searchsorted(first, edge)
+        self.list_max = np.maximum.reduceat(impact, edge[:-1])
         self.distinct = len(np.unique(ids)) == len(ids)
 
 
-def _visit(p: Postings, entry: np.ndarray, weight: np.ndarray, bound: np.ndarray, k: int, best: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """``best, ids`` (distinct ids, best first) brought up to date with a shard.
+class Work:
+    """What a search has read: pivot blocks, block bounds (entries) and postings."""
+
+    def __init__(self):
+        self.pivots = self.bounds = self.scored = self.postings = 0
+
 
-    ``entry, weight`` are the (term, block) entries of one query, ``bound`` what they add up to per block.
-    Blocks that reach the k-th score so far are visited from the greatest bound down, a batch at a
-    time; the first that cannot reach it ends the search.
+def block_max_wand(p: Postings, terms: np.ndarray, weights: np.ndarray, k: int, best: np.ndarray | None = None, ids: np.ndarray | None = None, work: Work | None = None):
+    """(rounded scores, doc ids) of the top k distinct ids of the shards so far; ``terms`` are positions in ``p``.
+
+    Every term has a cursor in its list of block entries.  Terms are ordered by their list bounds; those that together
+    stay under the threshold can't make a pivot, so the next pivot is the next block that one of the others
+    touches, and all blocks before it are jumped without being read.  At the pivots the block bounds of the
+    pivot terms are read; only where they and the others' list bounds reach the threshold are the others' cursors moved there and
+    their block bounds read as well; only blocks that still reach it are scored.
+    Pivots are taken a few at a time, in the order of the documents, with a threshold that rises in between.
     """
-    at = p.entry_block[entry]
-    least = best[-1] - SLACK if len(best) == k else 0.0
-    able = np.flatnonzero((bound > 0) & (bound >= least))
-    order = able[np.argsort(-bound[able], kind="stable")]
+    work = work or Work()
+    best, ids = (np.zeros(0), np.zeros(0, np.int64)) if best is None else (best, ids)
+    bound = p.list_max[terms] * weights
+    order = np.argsort(bound, kind="stable")
+    terms, weights, bound = terms[order], weights[order], bound[order]
+    upto = np.cumsum(bound)
+    cursor, end = p.term_entry[terms].copy(), p.term_entry[terms + 1]
     place = np.full(p.blocks, -1)
-    seen, step = 0, 8
-    while seen < len(order):
-        batch = order[seen : seen + step]
-        batch = batch[bound[batch] >= least]
-        if not len(batch):
+    now, step = 0, 8  # all cursors stand at the first entry of a block >= now
+    while True:
+        least = best[-1] - SLACK if len(best) == k else 0.0
+        ess = int(np.searchsorted(upto, least)) if least > 0 else 0
+        if ess == len(terms):
+            break  # no document from here on reaches the threshold
+        # pivots: the next blocks that the pivot terms touch
+        lo = cursor[ess:]
+        hi = np.minimum(end[ess:], lo + step)
+        near = _ranges(lo, hi)
+        at = p.entry_block[near]
+        if not len(near):
             break
-        seen, step = seen + step, step * 2
-        place[batch] = np.arange(len(batch))
-        here = place[at]
-        place[batch] = -1
-        chosen = here >= 0
-        e = entry[chosen]
-        lo, hi = p.entry_edge[e], p.entry_edge[e + 1]
-        post = _ranges(lo, hi)
-        spot = np.repeat(here[chosen] * BLOCK, hi - lo) + p.docs[post] % BLOCK
-        total = np.round(np.bincount(spot, p.impact[post] * np.repeat(weight[chosen], hi - lo), len(batch) * BLOCK), 6)
-        hit = np.flatnonzero((total > 0) & (total >= least))
-        score, doc = np.concatenate([best, total[hit]]), np.concatenate([ids, p.ids[batch[hit // BLOCK] * BLOCK + hit % BLOCK]])
-        if p.distinct and len(score) > 2 * k:  # an id is there twice at most: among the best so far and here
-            high = score >= np.partition(score, len(score) - 2 * k)[len(score) - 2 * k]
-            score, doc = score[high], doc[high]
-        rank = np.lexsort((doc, -score))
-        rank = rank[np.sort(np.unique(doc[rank], return_index=True)[1])]  # the best row of every id
-        best, ids = score[rank[:k]], doc[rank[:k]]
-        if len(best) == k:
-            least = best[-1] - SLACK
+        pivots = np.unique(at)[:step]
+        mine = at <= pivots[-1]
+        near, at = near[mine], at[mine]
+        weight = np.repeat(weights[ess:], hi - lo)[mine]
+        cursor[ess:] += np.bincount(np.repeat(np.arange(len(lo)), hi - lo)[mine], minlength=len(lo))
+        work.pivots, work.bounds = work.pivots + len(pivots), work.bounds + len(near)
+        place[pivots] = np.arange(len(pivots))
+        high = np.bincount(place[at], p.entry_max[near] * weight, len(pivots))
+        place[pivots] = -1
+        able = pivots[high + (upto[ess - 1] if ess else 0.0) >= least]
+        high = high[high + (upto[ess - 1] if ess else 0.0) >= least]
+        now, step = int(pivots[-1]) + 1, min(2 * step, 64)
+        if len(able):
+            entry, w = near[np.isin(at, able)], weight[np.isin(at, able)]
+            if ess:  # move the other cursors to these pivots
+                first = cursor[:ess]
+                upper = np.minimum(end[:ess], first + now)
+                others = _ranges(first, upper)
+                their = p.entry_block[others]
+                here = np.isin(their, able)
+                passed = their < now
+                owner = np.repeat(np.arange(ess), upper - first)
+                cursor[:ess] += np.bincount(owner[passed], minlength=ess)
+                others, ow = others[here], weights[owner[here]]
+                work.bounds += len(others)
+                place[able] = np.arange(len(able))
+                high = high + np.bincount(place[p.entry_block[others]], p.entry_max[others] * ow, len(able))
+                place[able] = -1
+                able = able[high >= least]
+                entry, w = np.concatenate([entry, others]), np.concatenate([w, ow])
+            if len(able):
+                best, ids = _score(p, able, entry, w, k, best, ids, least, place, work)
     return best, ids
 
 
-def block_max_wand(p: Postings, terms: np.ndarray, weights: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """(rounded scores, doc ids) of the top k distinct ids; ``terms`` are ascending positions in ``p``.
-
-    Blocks are aligned on document numbers, so the terms' block maxima add up to a bound for the block.
-    """
-    first, last = p.term_entry[terms], p.term_entry[terms + 1]
-    entry, weight = _ranges(first, last), np.repeat(weights, last - first)
-    bound = np.bincount(p.entry_block[entry], p.entry_max[entry] * weight, p.blocks)
-    return _visit(p, entry, weight, bound, k, np.zeros(0), np.zeros(0, np.int64))
+def _score(p: Postings, blocks: np.ndarray, entry: np.ndarray, weight: np.ndarray, k: int, best: np.ndarray, ids: np.ndarray, least: float, place: np.ndarray, work: Work):
+    """``best, ids`` (distinct ids, best first) brought up to date with the documents of the blocks."""
+    place[blocks] = np.arange(len(blocks))
+    here = place[p.entry_block[entry]]
+    place[blocks] = -1
+    chosen = here >= 0
+    e = entry[chosen]
+    lo, hi = p.entry_edge[e], p.entry_edge[e + 1]
+    post = _ranges(lo, hi)
+    work.scored, work.postings = work.scored + len(blocks), work.postings + len(post)
+    spot = np.repeat(here[chosen] * BLOCK, hi - lo) + p.docs[post] % BLOCK
+    total = np.round(np.bincount(spot, p.impact[post] * np.repeat(weight[chosen], hi - lo), len(blocks) * BLOCK), 6)
+    hit = np.flatnonzero((total > 0) & (total >= least))
+    if not len(hit):
+        return best, ids
+    score, doc = np.concatenate([best, total[hit]]), np.concatenate([ids, p.ids[blocks[hit // BLOCK] * BLOCK + hit % BLOCK]])
+    if p.distinct and len(score) > 2 * k:  # an id is there twice at most: among the best so far and here
+        high = score >= np.partition(score, len(score) - 2 * k)[len(score) - 2 * k]
+        score, doc = score[high], doc[high]
+    rank = np.lexsort((doc, -score))
+    rank = rank[np.sort(np.unique(doc[rank], return_index=True)[1])]  # the best row of every id
+    return score[rank[:k]], doc[rank[:k]]
 
 
 class BlockSearch:
@@ -181,7 +231,6 @@ class BlockSearch:
         flat = asked.flatten()
         self.terms, self.weights = flat.field("term").to_numpy(), flat.field("weight").to_numpy()
         self.best = [(np.zeros(0), np.zeros(0, np.int64))] * len(self.queries)
-        self.least = np.zeros(len(self.queries))
 
     def visit(self, shard: pa.Table) -> None:
         m = len(shard) - 1  # the shard's own row, without a term, comes last
@@ -195,22 +244,11 @@ class BlockSearch:
         term = shard["term"].slice(0, m).to_numpy()
         at = np.minimum(np.searchsorted(term, self.terms), m - 1)
         known = term[at] == self.terms
-        for lo in range(0, len(self.queries), _TOGETHER):
-            hi = min(lo + _TOGETHER, len(self.queries))
-            part = slice(self.edge[lo], self.edge[hi])
-            mine = known[part]
-            t, w = at[part][mine], self.weights[part][mine]
-            owner = np.repeat(np.arange(hi - lo), np.diff(self.edge[lo : hi + 1]))[mine]
-            first, last = p.term_entry[t], p.term_entry[t + 1]
-            entry, weight, owner = _ranges(first, last), np.repeat(w, last - first), np.repeat(owner, last - first)
-            bound = np.bincount(owner * p.blocks + p.entry_block[entry], p.entry_max[entry] * weight, (hi - lo) * p.blocks).reshape(-1, p.blocks)
-            most = bound.max(axis=1)
-            ends = np.searchsorted(owner, np.arange(hi - lo + 1))
-            for i in np.flatnonzero((most > 0) & (most >= self.least[lo:hi])).tolist():
-                own = slice(ends[i], ends[i + 1])
-                self.best[lo + i] = score, _ = _visit(p, entry[own], weight[own], bound[i], self.k, *self.best[lo + i])
-                if len(score) == self.k:
-                    self.least[lo + i] = score[-1] - SLACK
+        for i in range(len(self.queries)):
+            own = slice(self.edge[i], self.edge[i + 1])
+            mine = known[own]
+            if mine.any():
+                self.best[i] = block_max_wand(p, at[own][mine], self.weights[own][mine], self.k, *self.best[i])
 
     def found(self) -> pa.RecordBatch:
         names = np.repeat(self.queries, [len(s) for s, _ in self.best])
@@ -254,7 +292,7 @@ def _search(k: int, mean_length: float):
     return run
 
 
-def top_k(docs: DataFrame, queries: DataFrame, k: int = K, query_terms: int | None = QUERY_TERMS, shard_docs: int = SHARD_DOCS, shard_words: int = SHARD_WORDS, query_block: int = QUERY_BLOCK) -> DataFrame:
+def top_k(docs: DataFrame, queries: DataFrame, k: int = K, query_terms: int | None = None, shard_docs: int = SHARD_DOCS, shard_words: int = SHARD_WORDS, query_block: int = QUERY_BLOCK) -> DataFrame:
     """``(query_id, rank, doc_id, score)`` for ``queries(query_id, text)`` over ``docs(doc_id, text)``."""
     if shard_docs > 1 << 16:
         raise ValueError("shard_docs must fit 16 bits")
@@ -266,7 +304,7 @@ def top_k(docs: DataFrame, queries: DataFrame, k: int = K, query_terms: int | No
     words = index.where("term is not null").groupBy("term").agg(F.sum("n").alias("df"))
     total = _total_length(tables)
     q = table_input(queries, "query_id", "text").where("query_id is not null").mapInArrow(per_batch(_query_words), "query_id long, word binary, term long, tf long")
-    q = q.groupBy("query_id", "word", "term").agg(F.sum("tf").alias("tf")).join(words.hint("merge"), "term")
+    q = q.groupBy("query_id", "word", "term").agg(F.sum("tf").alias("tf")).join(words, "term")
     idf = F.log(1 + (F.lit(float(stats["docs"])) - F.col("df") + 0.5) / (F.col("df") + 0.5))
     q = q.withColumn("weight", idf)
     if query_terms is not None:
@@ -279,17 +317,21 @@ def top_k(docs: DataFrame, queries: DataFrame, k: int = K, query_terms: int | No
     # a slot is a block of queries and a share of the shards: the block's queries go there once, not once a shard
     slot = lambda of: F.col("block") * ways + of
     way = F.pmod(F.shiftright("shard", 24) + F.col("shard").bitwiseAND((1 << 24) - 1), F.lit(ways))  # round robin over partitions and their shards
-    # no side of the joins on terms has a size bound, so none is broadcast
+    # each slot has a partition of its own: keys that hash to different ones
+    n = blocks * ways
+    home = docs.sparkSession.range(40 * n + 400).groupBy(F.pmod(F.hash(F.col("id").cast("int")), F.lit(n)).alias("p")).agg(F.min("id").cast("int").alias("key")).orderBy("p").collect()
+    home = {r.p: r.key for r in home}
+    homes = F.array(*[F.lit(home.get(i, i)).cast("int") for i in range(n)])
     each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     none = F.lit(None)
     wanted = asked.select("block", F.explode("asked.term").alias("term")).distinct()
-    hit = index.join(wanted.hint("merge"), "term").select(slot(way).alias("slot"), "shard", "term", "docs", "counts", none.cast(asked.schema["asked"].dataType).alias("asked"))
+    hit = index.join(wanted, "term").select(slot(way).alias("slot"), "shard", "term", "docs", "counts", none.cast(asked.schema["asked"].dataType).alias("asked"))
     own = tables.withColumn("block", each(blocks)).select(slot(way).alias("slot"), "shard", "term", "docs", "counts", none.cast(asked.schema["asked"].dataType).alias("asked"))
     to_all = asked.withColumn("way", each(ways)).select(
         slot(F.col("way")).alias("slot"), F.lit(-1).cast("long").alias("shard"), F.col("query_id").alias("term"), none.cast("binary").alias("docs"), none.cast("binary").alias("counts"), "asked"
     )
     found = (
-        hit.unionByName(own).unionByName(to_all).repartition(2 * blocks * ways, "slot")
+        hit.unionByName(own).unionByName(to_all).withColumn("home", F.element_at(homes, F.col("slot").cast("int") + 1)).repartition(n, "home").drop("home")
         .sortWithinPartitions("slot", "shard", F.asc_nulls_last("term")).mapInArrow(_search(k, total / max(stats["docs"], 1)), "query_id long, doc_id long, score double")
     )
     best = found.groupBy("query_id", "doc_id").agg(F.max("score").alias("score"))
@@ -316,8 +358,7 @@ tf AS (SELECT doc_id, word, count(*) AS tf FROM w GROUP BY ALL),
 len AS (SELECT d.doc_id, coalesce(n, 0) AS n FROM documents d LEFT JOIN (SELECT doc_id, count(*) AS n FROM w GROUP BY 1) USING (doc_id)),
 st AS (SELECT count(*) AS docs, avg(n) AS mean FROM len),
 idf AS (SELECT word, ln(1 + (docs - count(*) + 0.5) / (count(*) + 0.5)) AS idf FROM tf, st GROUP BY word, docs),
-q AS (SELECT doc_id AS query_id, word, idf FROM tf JOIN idf USING (word) WHERE doc_id % 50 = 0
-      QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY round(tf * idf, 9) DESC, word) <= 32),
+q AS (SELECT doc_id AS query_id, word, idf FROM tf JOIN idf USING (word) WHERE doc_id % 50 = 0),
 s AS (SELECT query_id, tf.doc_id, round(sum(idf * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * n / mean))), 6) AS score
       FROM q JOIN tf USING (word) JOIN len USING (doc_id), st GROUP BY ALL)
 SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank, doc_id, score FROM s
