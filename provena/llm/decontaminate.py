@@ -9,11 +9,13 @@ length bound (the window must end inside the document) and the positional bound
 
 The corpus counts of the benchmark's shingles come from one pass over all
 documents.  Windows are broadcast in blocks of at most ``block_words`` words, a
-fixed bound: a benchmark of any size takes more passes, never more memory.
+fixed bound: a benchmark of any size takes more passes, never more memory.  The driver and
+the tasks hold one block at a time; what a pass found is staged before the next block is made.
 
 Words follow ``[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+`` after lower-casing A-Z.  Null
 texts have no words; null or wordless items have no window; items that repeat
-an id count once; rows that repeat a doc_id are judged one by one.
+an id count once; rows that repeat a doc_id are judged one by one.  Empty tables give
+empty or clean results.  Other columns are carried along, except those named like a result column.
 """
 
 from __future__ import annotations
@@ -25,8 +27,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import read, staged, table_input
+from .common import carried, read, restored, staged, table_input
 from .words import U64, WordHasher, Windows, alnum_words, per_batch, signed, utf8
 
 WINDOW, SHINGLE, BLOCK_WORDS = 10, 3, 2_000_000
@@ -127,44 +130,46 @@ def _match(block):
     return per_batch(run)
 
 
-def _blocks(spark: SparkSession, windows: DataFrame, counts: DataFrame, block_words: int):
-    """Lists of (items, words, size, prefix shingle, its offset), each list under the bound."""
-    s = windows.select("words", "size", F.posexplode("shingles").alias("offset", "shingle")).join(counts, "shingle", "left")
+def _prefixed(windows: DataFrame, counts: DataFrame | None) -> DataFrame:
+    """Every distinct window with its items, its prefix shingle and that shingle's place."""
+    s = windows.select("words", "size", F.posexplode("shingles").alias("offset", "shingle"))
+    s = s.join(counts, "shingle", "left") if counts is not None else s.withColumn("n", F.lit(0).cast("long"))
     rare = s.groupBy("words", "size").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "shingle", "offset")).alias("p"))
-    ready = staged(
-        windows.groupBy("words", "size").agg(F.collect_set("item_id").alias("items")).join(rare, ["words", "size"])
-        .select("items", "words", "size", "p.shingle", "p.offset"),
-        "windows",
-    )
-    total = ready.agg(F.sum(F.col("size") + F.size("items"))).first()[0] or 0
-    n = -(-total // block_words)
-    for b in range(n):
-        part = ready.where(F.pmod(F.xxhash64("words"), F.lit(n)) == b) if n > 1 else ready
-        yield [([*r.items_], bytes(r.words).split(), r.size, r.shingle, r.offset) for r in part.withColumnRenamed("items", "items_").collect()]
+    items = windows.groupBy("words", "size").agg(F.collect_set("item_id").alias("items"))
+    return staged(items.join(rare, ["words", "size"]).select("items", "words", "size", "p.shingle", "p.offset"), "windows")
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
     """``docs`` with n_words, spans (hit word intervals) and items (ids of the items found)."""
     spark = docs.sparkSession
-    docs = docs.drop("n_words", "spans", "items")
     item = table_input(benchmark, "item_id", "text").where("item_id is not null and text is not null")
     windows = staged(item.mapInArrow(_item_windows(window), "item_id long, words binary, size int, shingles array<long>").distinct(), "item-windows")
     counts = None
     keys = windows.select(F.explode("shingles").alias("shingle")).distinct()
-    n_keys = keys.count()
-    parts = -(-n_keys // block_words)
+    parts = -(-keys.count() // block_words)
     for b in range(parts):  # one pass unless the benchmark is beyond the bound
-        part = keys.where(F.pmod("shingle", F.lit(parts)) == b) if parts > 1 else keys
-        shared = spark.sparkContext.broadcast(np.array([r[0] for r in part.collect()], np.int64).view(U64))
+        shared = spark.sparkContext.broadcast(np.array([r[0] for r in keys.where(F.pmod("shingle", F.lit(parts)) == b).collect()], np.int64).view(U64))
         found = table_input(docs, "text").mapInArrow(_count(shared), "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n"))
+        found = staged(found, "shingle-counts")
         counts = found if counts is None else counts.union(found)
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    added = "n_words long, spans array<struct<lo:int,hi:int>>, items array<long>"
-    out = docs
-    blocks = _blocks(spark, windows, counts, block_words) if counts is not None else []
-    for block in [*blocks] or [[]]:
-        out = out.mapInArrow(_match(spark.sparkContext.broadcast(block)), f"{kinds}, {added}")
-    return out
+        shared.unpersist()
+    ready = _prefixed(windows, counts)
+    total = ready.agg(F.sum(F.col("size") + F.size("items"))).first()[0] or 0
+    blocks = max(1, -(-total // block_words))
+    span = T.ArrayType(T.StructType([T.StructField("lo", T.IntegerType()), T.StructField("hi", T.IntegerType())]))
+    added = [T.StructField("n_words", T.LongType()), T.StructField("spans", span), T.StructField("items", T.ArrayType(T.LongType()))]
+    out = carried(docs, "text")
+    schema = T.StructType([*out.schema, *added])
+    for b in range(blocks):
+        rows = ready.where(F.pmod(F.xxhash64("words"), F.lit(blocks)) == b).collect()
+        shared = spark.sparkContext.broadcast([([*r["items"]], bytes(r.words).split(), r.size, r.shingle, r.offset) for r in rows])
+        del rows
+        out = out.mapInArrow(_match(shared), schema)
+        if b < blocks - 1:
+            out = staged(out, "block")
+            shared.unpersist()
+    results = ("n_words", "spans", "items")
+    return restored(out, docs, "text", without=results, extra=results)
 
 
 def _digest(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -177,7 +182,7 @@ def _digest(batch: pa.RecordBatch) -> pa.RecordBatch:
 
 def clean(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """``docs`` without the documents that hold a window of an item."""
-    return contamination(docs, benchmark, **options).where(F.size("items") == 0).select(*docs.columns)
+    return restored(contamination(carried(docs, "text"), benchmark, **options).where(F.size("items") == 0), docs, "text")
 
 
 def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
