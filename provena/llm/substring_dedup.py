@@ -18,7 +18,8 @@ the passages that can match them:
 4. An anchor with more than ``shard_contexts`` distinct contexts (a line common to
    very many documents) would make an unbounded shard.  Its windows are resolved
    exactly by a combinable ``min`` over (anchor, window) instead.
-5. The windows found go back to their documents as word intervals.
+5. The windows found go back to their documents as word intervals; contexts that hold over a
+   thousandth of all places are sent to the places instead of being gathered by key.
 
 Nulls: a null text has no words; a row with a null doc_id is kept whole and is
 no reference.  Rows that repeat a doc_id are judged one by one; they are no
@@ -34,8 +35,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import read, staged
+from .common import carried, join_hot, read, restored, staged
 from .words import U64, Batches, WordHasher, Windows, mix, per_batch, signed, space_words, utf8
 
 MIN_WORDS, ANCHOR_WORDS, SHARD_CONTEXTS = 50, 15, 64
@@ -233,9 +235,9 @@ def repeated_spans(docs: DataFrame, min_words: int = MIN_WORDS, anchor_words: in
     k = min_words
     known = docs.where("doc_id is not null and text is not null")
     occ = staged(known.mapInArrow(_contexts(k, anchor_words), "anchor long, ctx long, doc_id long, tag long, start int, n_windows int"), "contexts")
-    ctx = occ.groupBy("anchor", "ctx").agg(F.min(F.struct("doc_id", "tag", "start", "n_windows")).alias("first"), F.max("doc_id").alias("last_doc"))
+    ctx = occ.groupBy("anchor", "ctx").agg(F.min(F.struct("doc_id", "tag", "start", "n_windows")).alias("first"), F.max("doc_id").alias("last_doc"), F.count("*").alias("n"))
     anchor = ctx.groupBy("anchor").agg(F.count("*").alias("n_ctx"), F.min("first.doc_id").alias("lo"), F.max("last_doc").alias("hi")).where("lo < hi")
-    ctx = staged(ctx.join(anchor.select("anchor", "n_ctx"), "anchor").select("anchor", "ctx", "n_ctx", "last_doc", "first.*"), "shared")
+    ctx = staged(ctx.join(anchor.select("anchor", "n_ctx"), "anchor").select("anchor", "ctx", "n_ctx", "last_doc", "n", "first.*"), "shared")
     wanted = ctx.where("n_ctx > 1").groupBy("doc_id", "tag").agg(F.collect_list(F.struct("anchor", "ctx", "n_ctx", "start", "n_windows")).alias("wanted"))
     bodies = staged(
         wanted.join(known, ["doc_id", "tag"]).select("doc_id", "text", "wanted")
@@ -248,12 +250,13 @@ def repeated_spans(docs: DataFrame, min_words: int = MIN_WORDS, anchor_words: in
         .mapInArrow(_shards(k), "anchor long, ctx long, lo int, hi int, src long")
     )
     many = staged(bodies.where(F.col("n_ctx") > shard_contexts).mapInArrow(_windows_of(k), "anchor long, ctx long, first_doc long, lo int, win long"), "windows")
-    first = many.groupBy("anchor", "win").agg(F.min("first_doc").alias("src"))
-    many = many.join(first, ["anchor", "win"]).select("anchor", "ctx", "lo", (F.col("lo") + 1).alias("hi"), "src")
+    first = staged(many.groupBy("anchor", "win").agg(F.min("first_doc").alias("src"), F.count("*").alias("n")), "first-windows")
+    many = join_hot(many, first, ["anchor", "win"], many.count()).select("anchor", "ctx", "lo", (F.col("lo") + 1).alias("hi"), "src")
     one = ctx.where("n_ctx = 1").select("anchor", "ctx", F.lit(0).alias("lo"), F.col("n_windows").alias("hi"), F.col("doc_id").alias("src"))
-    useful = ctx.select("anchor", "ctx", "last_doc")
+    useful = ctx.select("anchor", "ctx", "last_doc", "n")
     found = one.join(useful, ["anchor", "ctx"]).unionByName(few.unionByName(many).join(useful, ["anchor", "ctx"])).where("src < last_doc")
-    hits = occ.select("anchor", "ctx", "doc_id", "tag", "start").join(found, ["anchor", "ctx"]).where("src < doc_id")
+    found = staged(found.select("anchor", "ctx", "lo", "hi", "src", "n"), "found")
+    hits = join_hot(occ.select("anchor", "ctx", "doc_id", "tag", "start"), found, ["anchor", "ctx"], occ.count()).where("src < doc_id")
     span = F.struct((F.col("start") + F.col("lo")).alias("lo"), (F.col("start") + F.col("hi") + (k - 1)).alias("hi"))
     return hits.groupBy("doc_id", "tag").agg(F.collect_set(span).alias("spans"))
 
@@ -282,17 +285,20 @@ def _keep(batch: pa.RecordBatch) -> pa.RecordBatch:
 
 def remove_repeats(docs: DataFrame, **options) -> DataFrame:
     """``docs`` with n_words, n_removed and kept (the words that stay, joined by one space)."""
-    own = docs.drop("tag", "spans", "n_words", "n_removed", "kept").withColumn("tag", F.xxhash64("text"))
+    own = carried(docs, "doc_id", "text").withColumn("tag", F.xxhash64("text"))
     spans = repeated_spans(own.select("doc_id", "tag", "text"), **options)
     joined = own.join(spans, ["doc_id", "tag"], "left").drop("tag")
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in joined.schema if f.name != "spans")
-    return joined.mapInArrow(per_batch(_keep), f"{kinds}, n_words long, n_removed long, kept string")
+    added = [T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept", T.StringType())]
+    out = joined.mapInArrow(per_batch(_keep), T.StructType([*(f for f in joined.schema if f.name != "spans"), *added]))
+    results = ("n_words", "n_removed", "kept")
+    return restored(out, docs, "doc_id", "text", without=results, extra=results)
 
 
 def clean(docs: DataFrame, **options) -> DataFrame:
     """``docs`` with repeated passages cut from the texts; texts that lose nothing stay as they are."""
+    out = remove_repeats(carried(docs, "doc_id", "text"), **options)
     text = F.when(F.col("n_removed") > 0, F.col("kept")).otherwise(F.col("text"))
-    return remove_repeats(docs, **options).withColumn("text", text).select(*docs.columns)
+    return restored(out.withColumn("text", text), docs, "doc_id", "text")
 
 
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
