@@ -7,11 +7,18 @@ to the number of blocks are fused (length ratio x (1 + punctuation ratio)),
 smoothed over page order, and thresholded.  The element that holds most of
 the text above the threshold is the article; its blocks are kept in page order,
 headings and short paragraphs included, without those in menus, headers,
-footers, sidebars, notices, adverts, forms or reader comments.
+footers, sidebars, notices, adverts, forms or reader comments.  Of several ``article`` elements
+all that hold at least a third of what the largest does are kept.
+
+A class, id or role marks such a part only if it is no wrapper: an element with an ``article`` or ``main``
+inside or with over half of the page's unlinked text is none of them, nor is a label like ``no-ads`` or
+``has-sidebar``; lists of related pages are told from sections on related matters by their links.
+A link ends at the next block, an anchor without a target is none; linked paragraphs
+and headings inside the article are kept, linked list entries are not.
 
 Unclosed and stray tags, comments, CDATA, raw-text elements (script, style ...),
 quoted ``>`` and pages cut off anywhere are handled.  A null, empty or textless
-page gives an empty text.  Repeated rows are extracted one by one; extra columns
+page gives an empty text, an empty table an empty result.  Repeated rows are extracted one by one; extra columns
 are ignored.  White space (Unicode) inside a block becomes one space.
 """
 
@@ -41,12 +48,16 @@ MARKS = frozenset(
     "masthead menu modal nav navbar navigation newsletter notice notices notification overlay pager pagination popup promo promoted promotion recommended related "
     "replies respondlist respond search share sharing sidebar skip social sponsor sponsored subscribe subscription toolbar widget toc".split()
 )
+#: Labels that begin so speak of the layout; parts that are told by their links; blocks that are kept though all linked.
+LAYOUT = frozenset("has no with without not is hide hidden js".split())
+LINKED = frozenset("related recommended promoted toc search skip".split())
+KEPT = frozenset("p h1 h2 h3 h4 h5 h6 blockquote figcaption dt dd pre".split())
 #: A start tag on the left closes an open element on the right.
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 PUNCTUATION = re.compile(r"[.,;:!?…。，！？；：]")
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(?P<cdata>.*?)(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"
-    r"|<(?P<end>/?)(?P<name>[A-Za-z][^\s/>]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)",
+    r"|<(?P<end>/?)(?P<name>[A-Za-z][^\s/>]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"(?=[\s/>]|\Z)|'[^']*'(?=[\s/>]|\Z))*|[^>]*)(?:>|\Z)",
     re.S,
 )
 LABEL = re.compile(r"""(?:^|[\s"'/])(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I | re.S)
@@ -58,9 +69,12 @@ class Element:
     name: str
     path: str
     parent: Element | None
-    outside: bool
+    mark: str  # "": none, "part": by its tag, "label": by its labels or a form, "links": by labels if mostly links
     number: int
     size: float = 0.0
+    chars: int = 0
+    linked: int = 0
+    holds_article: bool = False
 
 
 @dataclass(slots=True)
@@ -71,23 +85,44 @@ class Block:
     score: float = field(default=0.0)
 
 
-def _outside(name: str, attrs: str, in_article: bool) -> tuple[bool, str]:
+def _mark(name: str, attrs: str, in_article: bool) -> tuple[str, str]:
+    """The element's mark and its name with labels for the tag path."""
     labels = [a or b or c for _, a, b, c in LABEL.findall(attrs)] if "=" in attrs else []
-    words = {w.lower() for x in labels for w in _WORD.findall(x)}
+    tokens = [[w.lower() for w in _WORD.findall(x)] for label in labels for x in label.split()]
+    words = {w for t in tokens if t and t[0] not in LAYOUT for w in t}
+    path = ".".join([name, *sorted(" ".join(labels).split())])
+    if name in ("body", "html"):
+        return "", path
+    if name in OUTSIDE and name != "form" or (name == "header" and not in_article):
+        return "part", path
     marked = words & ({"comment", "comments"} if name in ("article", "main") else MARKS)
-    header = not in_article and (name == "header" or ("header" in words and name in ("div", "section", "table")))
-    out = name not in ("body", "html") and (name in OUTSIDE or header or bool(marked))
-    return out, ".".join([name, *sorted(" ".join(labels).split())])
+    header = not in_article and "header" in words and name in ("div", "section", "table")
+    if name == "form" or header or marked - LINKED:
+        return "label", path
+    return ("links" if marked else ""), path
+
+
+def _outside(e: Element, total: int) -> bool:
+    """Is the element, or one around it, no part of an article?"""
+    while e is not None:
+        if e.mark == "part":
+            return True
+        wrapper = e.holds_article or 2 * (e.chars - e.linked) > total
+        if e.mark and not wrapper and (e.mark == "label" or 2 * e.linked > e.chars):
+            return True
+        e = e.parent
+    return False
 
 
 def blocks(page: str) -> list[Block]:
     """The page's text blocks in order."""
-    root = Element("", "", None, False, 0)
+    root = Element("", "", None, "", 0)
     stack, out, parts, linked, number = [root], [], [], 0, 0
     in_link, articles = 0, 0
 
     def flush() -> None:
-        nonlocal linked
+        nonlocal linked, in_link
+        in_link = 0
         text = " ".join("".join(parts).split())
         if text:
             out.append(Block(text, stack[-1], linked))
@@ -105,7 +140,7 @@ def blocks(page: str) -> list[Block]:
     def close(to: int) -> None:
         nonlocal articles
         flush()
-        articles -= sum(e.name in ("article", "main") for e in stack[to:])
+        articles -= sum(e.name in ("article", "main") and not e.mark for e in stack[to:])
         del stack[to:]
 
     at, end = 0, len(page)
@@ -132,7 +167,7 @@ def blocks(page: str) -> list[Block]:
             continue
         elif name in INLINE:
             if name == "a":
-                in_link = 0 if m["end"] else 1
+                in_link = int(not m["end"] and "href" in m["attrs"].lower())
         elif m["end"]:
             for i in range(len(stack) - 1, 0, -1):
                 if stack[i].name == name:
@@ -147,11 +182,19 @@ def blocks(page: str) -> list[Block]:
                 close(len(stack) - 1)
                 if stack[-1].name in shut:
                     close(len(stack) - 1)
-            out_here, label = _outside(name, m["attrs"], articles > 0)
+            mark, label = _mark(name, m["attrs"], articles > 0)
             number += 1
-            stack.append(Element(name, f"{stack[-1].path}/{label}", stack[-1], stack[-1].outside or out_here, number))
-            articles += name in ("article", "main")
+            stack.append(Element(name, f"{stack[-1].path}/{label}", stack[-1], mark, number))
+            if name in ("article", "main") and not mark:
+                articles += 1
+                for e in stack[:-1]:
+                    e.holds_article = True
     flush()
+    for b in out:
+        e = b.at
+        while e is not None:
+            e.chars, e.linked = e.chars + len(b.text), e.linked + min(b.linked, len(b.text))
+            e = e.parent
     return out
 
 
@@ -166,7 +209,9 @@ def _smooth(x: list[float], radius: int = 1) -> list[float]:
 
 def main_text(page: str | None, cut: float = 0.8) -> str:
     """The article's text; ``cut`` scales the threshold (in standard deviations of the fused ratio)."""
-    found = [b for b in blocks(page or "") if not b.at.outside]
+    found = blocks(page or "")
+    text = sum(len(b.text) - min(b.linked, len(b.text)) for b in found)
+    found = [b for b in found if not _outside(b.at, text)]
     if not found:
         return ""
     paths: dict[str, list[float]] = {}
@@ -195,19 +240,21 @@ def main_text(page: str | None, cut: float = 0.8) -> str:
     if not total:
         return " ".join(b.text for b in found if len(b.text) > b.linked)
     named = [e for e in elements.values() if e.name in ("article", "main") and e.size > 0]
-    if named:  # the page says where its article is
+    if named:  # the page says where its articles are
         inner = [e for e in named if e.name == "article"] or named
-        best = max(inner, key=lambda e: (e.size, -e.number))
+        largest = max(e.size for e in inner)
+        best = {e.number for e in inner if 3 * e.size >= largest}
     else:  # the deepest element with most of the text that is above the threshold
-        best = max((e for e in elements.values() if e.size >= 0.6 * total), key=lambda e: (e.path.count("/"), e.size, -e.number))
-        if best.name in ("p", "h1", "h2", "h3", "h4", "h5", "h6", "li", "blockquote", "pre") and best.parent is not None:
-            best = best.parent
+        one = max((e for e in elements.values() if e.size >= 0.6 * total), key=lambda e: (e.path.count("/"), e.size, -e.number))
+        if one.name in KEPT | {"li"} and one.parent is not None:
+            one = one.parent
+        best = {one.number}
     texts = []
     for b in found:
         e = b.at
-        while e is not None and e is not best:
+        while e is not None and e.number not in best:
             e = e.parent
-        if e is best and (len(b.text) > b.linked or b.at.name.startswith("h")):
+        if e is not None and (len(b.text) > b.linked or b.at.name in KEPT):
             texts.append(b.text)
     return " ".join(texts)
 
