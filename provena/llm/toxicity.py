@@ -22,7 +22,8 @@ one of each group of near copies.  Half of the sample gives the lexicon, half
 the logistic weights.  A short fixed list in four languages is always known.
 
 Null and empty texts have no match.  Rows are scored one by one; labels that are
-null or missing teach nothing; without labels the fixed list and weights serve.
+null or missing teach nothing; without labels the fixed list and weights serve.  An
+empty table gives an empty result; a caller's columns are carried along, but for a column ``score``.
 """
 
 from __future__ import annotations
@@ -35,11 +36,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T_
 
-from .common import read, staged, table_input
+from .common import carried, read, restored, staged, table_input
 from .words import WordHasher, Windows, lower_space_words, mix, per_batch, utf8
 
-MAX_TRAIN, LEXICON_SIZE, PREFIXES = 20_000, 5_000, (4, 5, 6, 7)
+MAX_TRAIN, PREFIXES = 20_000, (4, 5, 6, 7)
 
 #: The words every lexicon knows.
 INSULTS = frozenset(
@@ -152,7 +154,7 @@ def _sketched(batch: pa.RecordBatch) -> pa.RecordBatch:
     return pa.record_batch([pa.array(sketch, pa.int64()), batch["toxic"], batch["text"], pa.array(words, pa.list_(pa.string()))], names=["sketch", "toxic", "text", "words"])
 
 
-def _learn_lexicon(rows: DataFrame, size: int) -> dict[str, float]:
+def _learn_lexicon(rows: DataFrame) -> dict[str, float]:
     total = rows.agg(F.count("*").alias("n"), F.sum("toxic").alias("t")).first()
     n, t = total["n"] or 0, total["t"] or 0
     if not 0 < t < n:
@@ -169,7 +171,7 @@ def _learn_lexicon(rows: DataFrame, size: int) -> dict[str, float]:
     scored = staged(both.where((F.col("n") >= 3) & (rate > min(0.5, 3 * p))).select("w", weight.alias("weight"), g.alias("g")), "lexicon")
     candidates = both.where("n >= 3").count()
     least = 2 * math.log(max(candidates, 2) / 0.05)
-    top = scored.where(F.col("g") >= least).orderBy(F.desc("g"), "w").limit(size).collect()
+    top = scored.where(F.col("g") >= least).orderBy(F.desc("g"), "w").collect()  # bounded by the sample
     return {r.w: min(6.0, r.weight) for r in top if r.weight > 0}
 
 
@@ -206,7 +208,7 @@ def _reader(lexicon) -> Reader:
     return _READERS[key]
 
 
-def train(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN, lexicon_size: int = LEXICON_SIZE) -> dict:
+def train(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> dict:
     """The model: lexicon and logistic weights.  ``labels`` holds only rows that may be learned from."""
     spark = docs.sparkSession
     known = table_input(labels, "doc_id", "toxic").where("doc_id is not null and toxic in (0, 1)").groupBy("doc_id").agg(F.max("toxic").cast("long").alias("toxic"))
@@ -214,7 +216,7 @@ def train(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN, lexico
     text = table_input(docs, "doc_id", "text").join(F.broadcast(sample), "doc_id").select("text", "toxic")
     rows = staged(text.mapInArrow(per_batch(_sketched), "sketch long, toxic long, text string, words array<string>").dropDuplicates(["sketch"]), "training")
     half = F.pmod(F.xxhash64("sketch"), F.lit(2))
-    lexicon = _learn_lexicon(rows.where(half == 0), lexicon_size)
+    lexicon = _learn_lexicon(rows.where(half == 0))
     shared = spark.sparkContext.broadcast(lexicon)
     got = rows.where(half == 1).select("text", "toxic").mapInArrow(_features_of(shared), "a double, b double, c double, toxic long").collect()
     y = np.array([r.toxic for r in got], float)
@@ -226,7 +228,7 @@ def train(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN, lexico
 
 def score(docs: DataFrame, model: dict) -> DataFrame:
     """``docs`` with a column score (0 to 1)."""
-    docs = docs.drop("score")
+    own = carried(docs, "text")
     shared = docs.sparkSession.sparkContext.broadcast(model["lexicon"])
     w = model["weights"]
 
@@ -236,8 +238,8 @@ def score(docs: DataFrame, model: dict) -> DataFrame:
         p = 1 / (1 + np.exp(-np.clip(x @ w[:3] + w[3], -30, 30)))
         return pa.record_batch([*batch.columns, pa.array(p, pa.float64())], names=[*batch.schema.names, "score"])
 
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return docs.mapInArrow(per_batch(run), f"{kinds}, score double")
+    out = own.mapInArrow(per_batch(run), T_.StructType([*own.schema, T_.StructField("score", T_.DoubleType())]))
+    return restored(out, docs, "text", without=("score",), extra=("score",))
 
 
 def held_out(doc_id: str = "doc_id", remainder: int = 0):
@@ -248,7 +250,7 @@ def held_out(doc_id: str = "doc_id", remainder: int = 0):
 def reject_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:
     """The documents that score under the threshold."""
     model = train(docs, labels.where(~held_out()))
-    return score(docs, model).where(F.col("score") < threshold).select(*docs.columns)
+    return restored(score(carried(docs, "text"), model).where(F.col("score") < threshold), docs, "text")
 
 
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
