@@ -1,9 +1,9 @@
 """Packing by lexical retrieval: neighbours from a sharded BM25 index fill each document's window.
 
 Documents are dealt to shards of bounded size by content: every document is encoded once and
-its ids are shuffled to the order of its three rarest tokens that another document has too
-(by document frequency over the whole table).  The order is cut in ranges, so a common key is dealt to several
-tasks; documents without such a token come first.  A shard holds a BM25 inverted index of its documents.  A seed
+its ids are shuffled to the order of its three rarest tokens by rank in the vocabulary (a BPE
+vocabulary numbers its merges by frequency, so the greatest ids are the rarest).  The order is cut in ranges, so a
+common key is dealt to several tasks.  A shard holds a BM25 inverted index of its documents.  A seed
 document opens a window; while the window has room, the best unused neighbour of
 the seed (the first unused document if none shares a term) is appended.  The last
 one is cut where the window is full, and its rest opens the next window as the
@@ -14,7 +14,8 @@ The index's terms are the documents' token ids.  Queries use the ``query_terms``
 terms of the seed.  Document frequencies, their number and the mean length are those of the whole table;
 only the search for neighbours stays inside the shard.  A null text is an empty
 document: its end token only.  Every id of every row lies in exactly one piece;
-repeated rows are packed each on their own.
+repeated rows are packed each on their own; a null doc_id stays null.  Equal scores go to the earlier
+document.  An empty table gives no pieces; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -29,8 +30,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import read, staged, table_input
-from .tokens import WordEncoder
-from .words import Batches, utf8
+from .tokens import WordEncoder, tokenizer, vocabulary_path
+from .words import Batches, per_batch, utf8
 
 WINDOW, END_ID, SHARD_DOCS, SHARD_TOKENS, QUERY_TERMS = 2048, 1, 2000, 8_000_000, 12
 K1, B = 1.2, 0.75
@@ -137,49 +138,42 @@ def pack_shard(ids: list[np.ndarray], window: int, query_terms: int, least: int,
         at, sequence = hi, sequence + 1
 
 
-def _encode(end_id: int, path: str | None):
+def _encode(end_id: int, path: str | None, dtype: str):
+    """Documents -> ids and keys (the three greatest token ids); a task's last row has no ids but, in ``df``, the document frequencies of its tokens."""
+
     def run(batches: Batches) -> Batches:
         encode = WordEncoder(path)
+        df, docs, tokens = np.zeros(1 << 16, np.int64), 0, 0
+        names = ["doc_id", "ids", "df", "k1", "k2", "k3"]
         for batch in batches:
             numbers, raw = batch["doc_id"].to_pylist(), utf8(batch["text"])
             for i in range(0, len(raw), 500):
-                ids = [np.append(got, np.uint32(end_id)).astype("<u4").tobytes() for got in encode(raw[i : i + 500])]
-                yield pa.record_batch([pa.array(numbers[i : i + 500], pa.int64()), pa.array(ids, pa.binary())], names=["doc_id", "ids"])
+                found = [np.append(got, np.uint32(end_id)) for got in encode(raw[i : i + 500])]
+                keys = np.full((len(found), 3), -1, np.int64)
+                for j, ids in enumerate(found):
+                    own = np.unique(ids)
+                    if own[-1] >= len(df):
+                        df = np.append(df, np.zeros(int(own[-1]) + 1 - len(df), np.int64))
+                    df[own] += 1
+                    own = own[own != end_id][:-4:-1]
+                    keys[j, : len(own)] = own
+                docs, tokens = docs + len(found), tokens + sum(map(len, found))
+                data = pa.array([x.astype(dtype).tobytes() for x in found], pa.binary())
+                yield pa.record_batch([pa.array(numbers[i : i + 500], pa.int64()), data, pa.nulls(len(found), pa.binary()), *map(pa.array, keys.T.copy())], names=names)
+        term = np.flatnonzero(df)
+        packed = np.stack([np.append(term, [-1, -2]), np.append(df[term], [docs, tokens])]).astype("<i8").tobytes()
+        yield pa.record_batch([pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.array([packed], pa.binary()), *[pa.nulls(1, pa.int64())] * 3], names=names)
 
     return run
 
 
-def _count(batches: Batches) -> Batches:
-    """``(term, n)`` of a task's documents; under term -1 their number, under -2 their tokens."""
-    df, docs, tokens = np.zeros(1, np.int64), 0, 0
-    for batch in batches:
-        for raw in batch["ids"].to_pylist():
-            ids = np.unique(np.frombuffer(raw, "<u4"))
-            if ids[-1] >= len(df):
-                df = np.append(df, np.zeros(int(ids[-1]) + 1 - len(df), np.int64))
-            df[ids] += 1
-            docs, tokens = docs + 1, tokens + len(raw) // 4
-    term = np.flatnonzero(df)
-    yield pa.record_batch([pa.array(np.append(term, [-1, -2])), pa.array(np.append(df[term], [docs, tokens]))], names=["term", "n"])
-
-
-def _keys(df: np.ndarray, end_id: int):
-    """Adds a document's three rarest tokens that another document has too."""
-
-    def run(batches: Batches) -> Batches:
-        for batch in batches:
-            keys = np.full((len(batch), 3), -1, np.int64)
-            for i, raw in enumerate(batch["ids"].to_pylist()):
-                ids = np.unique(np.frombuffer(raw, "<u4"))
-                ids = ids[(df[ids] >= 2) & (ids != end_id)]
-                rare = ids[np.lexsort((ids, df[ids]))[:3]]
-                keys[i, : len(rare)] = rare
-            yield pa.record_batch([batch["doc_id"], batch["ids"], *map(pa.array, keys.T.copy())], names=["doc_id", "ids", "k1", "k2", "k3"])
-
-    return run
+def _counts(batch: pa.RecordBatch) -> pa.RecordBatch:
+    """``(term, n)``; under term -1 the number of documents, under -2 that of tokens."""
+    both = np.concatenate([np.frombuffer(x, "<i8").reshape(2, -1) for x in batch["df"].to_pylist()], axis=1)
+    return pa.record_batch([pa.array(both[0]), pa.array(both[1])], names=["term", "n"])
 
 
-def _pack(window: int, query_terms: int, shard_docs: int, shard_tokens: int, least: int, table: tuple[np.ndarray, int, float]):
+def _pack(window: int, query_terms: int, shard_docs: int, shard_tokens: int, least: int, table: tuple[np.ndarray, int, float], dtype: str):
     kinds = (pa.int64(),) * 7
     names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
 
@@ -204,7 +198,7 @@ def _pack(window: int, query_terms: int, shard_docs: int, shard_tokens: int, lea
         for batch in batches:
             for doc, got in zip(batch["doc_id"].to_pylist(), batch["ids"].to_pylist(), strict=True):
                 docs.append(doc)
-                ids.append(np.frombuffer(got, "<u4"))
+                ids.append(np.frombuffer(got, dtype))
                 held += len(ids[-1])
                 if len(docs) >= shard_docs or held >= shard_tokens:
                     yield shard()
@@ -218,17 +212,21 @@ def _pack(window: int, query_terms: int, shard_docs: int, shard_tokens: int, lea
 def pack(docs: DataFrame, window: int = WINDOW, end_id: int = END_ID, query_terms: int = QUERY_TERMS, shard_docs: int = SHARD_DOCS,
          shard_tokens: int = SHARD_TOKENS, least: int = 64, vocabulary: str | None = None) -> DataFrame:
     """Pieces ``(doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset)`` of all documents."""
-    coded = staged(table_input(docs, "doc_id", "text").mapInArrow(_encode(end_id, vocabulary), "doc_id long, ids binary"), "tokens")
+    size = tokenizer(vocabulary or vocabulary_path(), False).get_vocab_size()
+    dtype = "<u2" if max(size, end_id + 1) <= 1 << 16 else "<u4"
+    coded = table_input(docs, "doc_id", "text").mapInArrow(_encode(end_id, vocabulary, dtype), "doc_id long, ids binary, df binary, k1 long, k2 long, k3 long")
+    coded = staged(coded, "tokens")
     # one number per token id: bounded by the vocabulary
-    counts = {r["term"]: r["n"] for r in coded.select("ids").mapInArrow(_count, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()}
+    counted = coded.where("k1 is null").select("df").mapInArrow(per_batch(_counts), "term long, n long")
+    counts = {r["term"]: r["n"] for r in counted.groupBy("term").agg(F.sum("n").alias("n")).collect()}
     total, tokens = counts.pop(-1, 0), counts.pop(-2, 0)
     df = np.zeros(max(counts, default=0) + 1, np.int64)
     df[list(counts)] = list(counts.values())
-    keyed = coded.mapInArrow(_keys(df, end_id), "doc_id long, ids binary, k1 long, k2 long, k3 long")
     order = ["k1", "k2", "k3", F.xxhash64("doc_id")]
-    f = _pack(window, query_terms, shard_docs, shard_tokens, least, (df, total, tokens / max(total, 1)))
+    f = _pack(window, query_terms, shard_docs, shard_tokens, least, (df, total, tokens / max(total, 1)), dtype)
     schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
-    return keyed.repartitionByRange(*order).sortWithinPartitions(*order).select("doc_id", "ids").mapInArrow(f, schema)
+    sorted_ = coded.where("k1 is not null").drop("df").repartitionByRange(*order).sortWithinPartitions(*order)
+    return sorted_.select("doc_id", "ids").mapInArrow(f, schema)
 
 
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import functools
 import os
+import re
 
 import numpy as np
 
@@ -33,44 +34,71 @@ def vocabulary_path(name: str = VOCABULARY) -> str:
     return public_tokenizers.path(name)
 
 
-#: Between new words that are encoded together; words that hold it are encoded alone.
-MARK = "~"
+#: The file's own split rule for lower-cased printable ASCII; what precedes BPE leaves such pieces as they are.
+_PIECES = re.compile(rb"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9]+")
+_PLAIN = re.compile(rb"[!-~]+")
+_MARKS = bytes(c for c in range(0x21, 0x7F) if not chr(c).isalnum())
+_LATIN = re.compile("[a-z\u00df-\u00f6\u00f8-\u00ff\u0101-\u0148]+")  # small Latin letters: NFC and lower-casing leave them as they are
 _MEMOS: dict = {}
+#: The byte-level alphabet: printable bytes stand for themselves, the others follow from U+0100 on.
+_SHOWN = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+_ALPHABET = {b: chr(b) for b in _SHOWN} | {b: chr(0x100 + i) for i, b in enumerate(b for b in range(256) if b not in set(_SHOWN))}
+
+
+def _raw(ids: list[int]) -> bytes:
+    return np.array(ids, np.uint32).tobytes()
+
+
+class _Pieces(dict):
+    """Piece of the split rule -> its ids, straight from the BPE model."""
+
+    def __init__(self, model):
+        self.model = model
+
+    def __missing__(self, piece: bytes) -> bytes:
+        text = piece.decode()
+        written = text if text.isascii() else "".join(map(_ALPHABET.__getitem__, piece))
+        self[piece] = got = _raw([x.id for x in self.model.tokenize(written)])
+        return got
+
+
+class _Words(dict):
+    """Space-separated chunk -> its ids."""
+
+    def __init__(self, t):
+        self.tokenizer, self.pieces = t, _Pieces(t.model)
+
+    def __missing__(self, word: bytes) -> bytes:
+        self[word] = got = self._ids(word)
+        return got
+
+    def _ids(self, word: bytes) -> bytes:
+        body = word.rstrip(_MARKS)
+        tail = word[len(body) :]
+        if body.isalpha():  # of ASCII letters, as bytes see it; marks after a letter are a piece of their own
+            return self.pieces[body.lower()] + (self.pieces[tail] if tail else b"")
+        if b"<|" in word:
+            return self._whole(word)
+        if _PLAIN.fullmatch(word):
+            return b"".join(map(self.pieces.__getitem__, _PIECES.findall(word.lower())))
+        small = "".join(map(str.lower, body.decode("utf-8", "replace")))
+        if _LATIN.fullmatch(small):
+            return self.pieces[small.encode()] + (self.pieces[tail] if tail else b"")
+        return self._whole(word)
+
+    def _whole(self, word: bytes) -> bytes:
+        return _raw(self.tokenizer.encode(word.decode("utf-8", "replace"), add_special_tokens=False).ids)
 
 
 class WordEncoder:
-    """Text -> uint32 ids; the memo of words is bounded and kept for a worker's later tasks."""
+    """Text -> uint32 ids; the memos of words and pieces are bounded and kept for a worker's later tasks."""
 
     def __init__(self, path: str | None = None, plain: bool = False, limit: int = 1_000_000):
         self.path, self.plain, self.limit = path or vocabulary_path(), plain, limit
 
-    def _learn(self, memo: dict, words: list[bytes]) -> None:
-        t = tokenizer(self.path, self.plain)
-        mark = t.encode(MARK, add_special_tokens=False).ids
-        alone = [] if len(mark) == 1 else words
-        texts = [w.decode("utf-8", "replace") for w in words]
-        for i in range(0, len(words) if len(mark) == 1 else 0, 500):
-            part = [j for j in range(i, min(i + 500, len(words))) if MARK not in texts[j]]
-            ids = np.array(t.encode_batch_fast([f" {MARK} ".join(texts[j] for j in part)], add_special_tokens=False)[0].ids, np.uint32)
-            cuts = np.flatnonzero(ids == mark[0])
-            if len(cuts) != len(part) - 1:  # not expected; then one by one
-                alone = [*alone, *(words[j] for j in part)]
-                continue
-            raw, lo = ids.tobytes(), 0
-            for j, hi in zip(part, [*cuts.tolist(), len(ids)], strict=True):
-                memo[words[j]] = raw[4 * lo : 4 * hi]
-                lo = hi + 1
-        for w in [*alone, *(w for w, x in zip(words, texts, strict=True) if MARK in x)]:
-            memo[w] = np.array(t.encode(w.decode("utf-8", "replace"), add_special_tokens=False).ids, np.uint32).tobytes()
-
     def __call__(self, texts: list[bytes | None]) -> list[np.ndarray]:
-        memo = _MEMOS.setdefault((self.path, self.plain), {})
-        if len(memo) > self.limit:
-            memo.clear()
-        split = [t.split() if t else [] for t in texts]
-        found = [list(map(memo.get, words)) for words in split]
-        new = {w for words, got in zip(split, found, strict=True) if None in got for w, g in zip(words, got, strict=True) if g is None}
-        if new:
-            self._learn(memo, list(new))
-            found = [[memo[w] if g is None else g for w, g in zip(words, got, strict=True)] if None in got else got for words, got in zip(split, found, strict=True)]
-        return [np.frombuffer(b"".join(got), np.uint32) for got in found]
+        key = self.path, self.plain
+        memo = _MEMOS.get(key)
+        if memo is None or len(memo) > self.limit:
+            memo = _MEMOS[key] = _Words(tokenizer(*key))
+        return [np.frombuffer(b"".join(map(memo.__getitem__, t.split() if t else ())), np.uint32) for t in texts]
