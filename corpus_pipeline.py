@@ -23,7 +23,10 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return substring_dedup.clean(docs).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    out = substring_dedup.clean(docs)
+    if "n_chars" not in docs.columns:
+        return out
+    return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -42,7 +45,7 @@ STAGES = [
     ("packing", pack),
 ]
 
-#: Learned scores, MinHash signatures and a tokenizer can't be said in SQL; tests compare with brute force.
+#: Learned scores, MinHash signatures and a tokenizer can't be said in SQL; tests/llm/test_pipeline.py compares with brute force.
 ORACLE_SQL = None
 
 
