@@ -1,10 +1,14 @@
 """Edge cases (nulls, blanks, repeats, empty tables, clashing columns), brute force and exact round trips."""
 
+import glob
 import math
+import os
 import zlib
 from collections import Counter
 
+import duckdb
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -16,6 +20,18 @@ LONG = " ".join(f"w{i}" for i in range(120))
 ROWS = [(1, LONG, "x"), (2, "start " + LONG, "x"), (3, None, "x"), (4, "", "x"), (5, "  \n ", "x"), (5, "one two", "x"), (None, LONG, "x"), (1, LONG, "x"), (7, "Ünï " * 3000, "x")]
 
 
+def same_as_sql(spark, sf_dir, query, sql, keys):
+    got = query(spark, sf_dir).toPandas()
+    with duckdb.connect() as c:
+        for path in glob.glob(f"{sf_dir}/*.parquet"):
+            at = f"{path}/*.parquet" if os.path.isdir(path) else path
+            c.execute(f"CREATE VIEW {os.path.basename(path)[:-8]} AS SELECT * FROM '{at}'")
+        want = c.execute(sql).df()
+    assert sorted(got.columns) == sorted(want.columns)
+    order = lambda x: x[sorted(want.columns)].sort_values(keys).reset_index(drop=True)
+    pd.testing.assert_frame_equal(order(got), order(want), check_dtype=False)
+
+
 @pytest.fixture(scope="module")
 def docs(spark):
     return spark.createDataFrame(ROWS, "doc_id long, text string, n_words string")  # n_words clashes with a result column
@@ -110,6 +126,72 @@ def test_html(spark):
     assert extract(d.where("false")).count() == 0
 
 
+P = "<p>" + "A sentence, with a few words; more of it here. " * 4 + "</p>"
+
+
+@pytest.mark.parametrize(
+    ("page", "times"),
+    [
+        (f'<div class="wrapper has-sidebar"><article>{P}</article></div>', 1), (f'<div class="layout no-ads">{P * 3}</div>', 3), (f"<form id=aspnet><div>{P * 3}</div></form>", 3),
+        (f"<article><a name=top>{P}{P}</article>", 2), (f'<article><a href="x">open {P}{P}</article>', 2), (f'<body><article>{P}</article><article>{P}</article><div class="comments">{P}</div></body>', 2),
+        (f'<article><section id="related-work"><h2>Related work</h2>{P}</section>{P}</article>', 2), (f'<div class="sidebar-wrapper"><div class="content">{P * 4}</div></div>', 4),
+        (f'<body><main>{P * 2}</main><aside>{P}</aside><div class="related"><a href=a>{"Other things to read, at length. " * 3}</a></div></body>', 2),
+    ],
+)
+def test_html_keeps_whole_articles(page, times):
+    assert main_text(page).count("A sentence") == 4 * times and "Other things" not in main_text(page)
+
+
+def test_html_odd_markup():
+    assert main_text('<article><p title="x>One, two; three. <p class="b">Four, five; six.</article>') == "One, two; three. Four, five; six."
+    assert "All of it linked" in main_text(f"<article>{P}<p><a href=x>All of it linked</a></p>{P}</article>")
+    assert main_text("<") == "<" and main_text("<p") == "" and main_text(None) == ""
+
+
+def test_word_encoder_equals_the_tokenizer():
+    texts = ["don't.'s \"'s .'re9 99abc's É́. éx. naïve!!", "Ünï' x\x01y á. ñ'.'s ΑΣ. ǅ, I'Ll THEY'RE <|x|>. ²³. a². İstanbul! ŒUVRE? ſ, ǆ.", "a<|endoftext|>. b~c ~ ~~ d~.", "ﬁn. été, ÉTÉ; Straße: ẞ.", ""]
+    for plain in (False, True):
+        t = tokenizer(vocabulary_path(), plain)
+        assert [x.tolist() for x in WordEncoder(plain=plain)([s.encode() for s in texts])] == [t.encode(s, add_special_tokens=False).ids for s in texts]
+
+
+def test_sql_of_the_contracts(spark, sf_dir):
+    for query, sql, keys in ((decontaminate.op3_decontaminate, decontaminate.OP3_SQL, ["doc_id"]), (chat_format.op6_chat_format, chat_format.OP6_SQL, ["conv_id"]),
+                             (substring_dedup.op10_substring_dedup, substring_dedup.OP10_SQL, ["doc_id"]), (search.op2_top_k, search.OP2_SQL, ["query_id", "rank"])):
+        same_as_sql(spark, sf_dir, query, sql, keys)
+
+
+def test_near_dedup_against_brute_force(spark):
+    """All pairs of sf0.01 by exact similarity: no link is lost and classes are equal."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text").collect()
+    hasher, windows = near_dedup.WordHasher(), near_dedup.Windows()
+    sets = {r.doc_id: near_dedup.weighted_shingles(near_dedup.lower_space_words((r.text or "").encode()), hasher, windows) for r in docs if (r.text or "").split()}
+    by: dict = {}
+    for d, (grams, _) in sets.items():
+        for g in grams.tolist():
+            by.setdefault(g, []).append(d)
+    own = {r.doc_id: r.doc_id for r in docs}
+    for a, b in sorted({(a, b) for x in by.values() for a in x for b in x if a < b}):
+        if own[a] != own[b] and near_dedup.probability_jaccard(sets[a], sets[b]) >= near_dedup.THRESHOLD:
+            low, high = sorted((own[a], own[b]))
+            own = {k: low if v == high else v for k, v in own.items()}
+    got = {r.doc_id: r.class_id for r in near_dedup.near_duplicate_classes(spark.read.parquet("/root/testdata/sf0.01/documents.parquet")).collect()}
+    assert got == own
+
+
+def test_packing_cases(spark, docs):
+    assert packing.pack(docs.where("false")).count() == 0
+    # equal texts tie; every id of every repeated row is there once
+    d = spark.createDataFrame([(1, "same words here", "k"), (2, "same words here", "k"), (2, "same words here", "k"), (None, "", "k"), (3, "a " * 5000, "k")], "doc_id long, text string, k1 string")
+    rows = packing.pack(d).collect()
+    assert Counter(r.doc_id for r in rows if r.start == 0) == {1: 1, 2: 2, None: 1, 3: 1}
+    t = tokenizer(vocabulary_path(), False)
+    ids = np.array([*t.encode("a " * 5000, add_special_tokens=False).ids, 1], "<u4")
+    for r in rows:
+        if r.doc_id == 3:
+            assert r.ids_crc32 == zlib.crc32(ids[r.start : r.start + r.length].tobytes())
+
+
 def test_tokens_and_packing(spark, docs):
     texts = ["it's THE <|endoftext|>x a~b ~ ½ Σας", "", "z" * 5000]
     t = tokenizer(vocabulary_path(), False)
@@ -145,14 +227,28 @@ def test_packing_finds_neighbours_beyond_the_scan_order(spark):
     assert sum(bool(at[i] & at[i + 20]) for i in range(20)) >= 15
 
 
-def test_token_scan(spark, docs):
+def test_token_scan(spark, docs, tmp_path):
     t = tokenizer(vocabulary_path(), True)
-    want = Counter(len(t.encode(x[1] or "", add_special_tokens=False).ids) for x in ROWS)
-    found = token_scan.separators(token_scan.token_blocks(docs, block_tokens=50))
-    assert Counter(r.n_tokens for r in token_scan.stitch(found).collect()) == want
-    open_ = spark.createDataFrame([("f", 0, np.array([1, 2, 9, 3], "<u2").tobytes(), None), ("f", 1, np.array([4], "<u2").tobytes(), None)], token_scan.BLOCKS)
-    got = sorted((r.ordinal, r.start, r.n_tokens, r.terminated) for r in token_scan.stitch(token_scan.separators(open_, 9)).collect())
-    assert got == [(0, 0, 2, True), (1, 3, 2, False)]
+    want = Counter((x[0], len(t.encode(x[1] or "", add_special_tokens=False).ids)) for x in ROWS)
+    manifest = token_scan.token_files(docs.repartition(2), f"file://{tmp_path}/a").cache()
+    files = manifest.where("bytes is not null").select("file", "bytes")
+    names = {(r.file, r["first"] + i): d for r in manifest.collect() for i, d in enumerate(r.doc_ids)}
+    for block in (50, 7, 1 << 19):
+        found = token_scan.stitch(token_scan.separators(files, block_tokens=block)).collect()
+        assert Counter((names[r.file, r.ordinal], r.n_tokens) for r in found) == want and all(r.terminated for r in found)
+    assert token_scan.token_files(docs.where("false"), f"file://{tmp_path}/b").count() == 0
+    # files of others: an open end, no separator at all, nothing at all
+    (tmp_path / "c").mkdir()
+    for name, ids in (("x", [1, 2, 9, 3, 4]), ("y", [5, 6]), ("z", []), ("w", [9, 9])):
+        (tmp_path / "c" / name).write_bytes(np.array(ids, "<u2").tobytes())
+    got = token_scan.stitch(token_scan.separators(token_scan.existing_files(spark, f"file://{tmp_path}/c"), 9, block_tokens=2)).collect()
+    assert sorted((r.file[-1], r.ordinal, r.start, r.n_tokens, r.terminated) for r in got) == [("w", 0, 0, 0, True), ("w", 1, 1, 0, True), ("x", 0, 0, 2, True), ("x", 1, 3, 2, False), ("y", 0, 0, 2, False)]
+
+
+def test_token_scan_query(spark, sf_dir):
+    t = tokenizer(vocabulary_path(), True)
+    want = sorted((r.doc_id, len(t.encode(r.text or "", add_special_tokens=False).ids)) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect())
+    assert sorted((r.doc_id, r.n_tokens) for r in token_scan.op7_token_scan(spark, sf_dir).collect()) == want
 
 
 def test_search(spark, docs):
@@ -182,6 +278,31 @@ def test_block_max_wand_against_brute_force():
             assert np.allclose(score, [s for _, s in want], atol=2e-6)
 
 
+def test_block_max_wand_jumps_blocks_unread():
+    # a common word everywhere with small impacts, a rare one in three blocks: once these are found the rest is jumped
+    n = 64 * 200
+    rare = np.array([5, 6, 7, 64 * 9 + 1, 64 * 150])
+    docs = np.concatenate([np.arange(n), rare])
+    impact = np.concatenate([np.full(n, 0.1), np.full(5, 2.0)])
+    postings = search.Postings(np.array([n, 5]), docs, impact, np.arange(n))
+    work = search.Work()
+    score, doc = search.block_max_wand(postings, np.array([0, 1]), np.array([1.0, 1.0]), 3, work=work)
+    assert doc.tolist() == [5, 6, 7] and np.allclose(score, 2.1)
+    assert work.pivots < 15 and work.bounds < 30 and work.scored < 15
+    # the threshold of an earlier shard leaves nothing to read
+    work = search.Work()
+    search.block_max_wand(postings, np.array([0, 1]), np.array([1.0, 1.0]), 3, np.array([9.0, 8.0, 7.0]), np.array([90000, 90001, 90002]), work)
+    assert work.pivots == work.postings == 0
+
+
+def test_search_whole_long_queries_against_sql(spark, tmp_path):
+    rng = np.random.default_rng(5)
+    words = np.array([f"w{i}" for i in range(3000)])
+    rows = [(i, " ".join(words[(rng.zipf(1.3, int(rng.integers(1, 600))) - 1) % 3000])) for i in range(300)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    same_as_sql(spark, str(tmp_path), search.op2_top_k, search.OP2_SQL, ["query_id", "rank"])
+
+
 def test_search_repeated_rows_take_one_place(spark):
     rows = [(1, "alpha beta beta")] * 12 + [(i, "alpha " + "gamma " * i) for i in range(2, 20)] + [(None, "alpha"), (50, None), (51, "")]
     d = spark.createDataFrame(rows, "doc_id long, text string").withColumn("score", F.lit("clash")).repartition(1)
@@ -207,18 +328,69 @@ def test_toxicity_held_out(spark):
     assert right.sum() / got.toxic.sum() > 0.85 and right.sum() / got.predicted.sum() > 0.9
 
 
-def test_elias_fano_and_language_model(spark):
-    v = np.unique(np.random.default_rng(2).integers(0, 1 << 50, 3000).astype(np.uint64))
+def brute_language_model(rows, k2, k3):
+    """(score, base score, tokens, known tokens) of (doc_id, text, train) rows."""
+    texts = [[*(x or "").encode().lower().split(), None] for _, x, _ in rows]
+    one, two, three, n_train = Counter(), Counter(), Counter(), sum(r[2] for r in rows)
+    for y, r in zip(texts, rows, strict=True):
+        if r[2]:
+            p = [False, *y[:-1]]
+            one.update(y)
+            two.update(zip(p, y, strict=True))
+            three.update(zip(p[:-1], p[1:], y[1:], strict=True))
+    n, kinds = sum(one.values()), len(one)
+    out = []
+    for y in texts:
+        score = base = 0.0
+        p = [False, *y[:-1]]
+        for i, (v, w) in enumerate(zip(p, y, strict=True)):
+            p1 = (one[w] + 0.5) / (n + 0.5 * (kinds + 1))
+            base += math.log10(p1)
+            c = n_train if v is False else one[v]
+            q = two[v, w] / (c + k2) if two[v, w] else k2 / (c + k2) * p1
+            if i:
+                u = p[i - 1]
+                q = three[u, v, w] / (two[u, v] + k3) if three[u, v, w] else k3 / (two[u, v] + k3) * q
+            score += math.log10(q)
+        out.append((score, base, len(y), sum(one[w] > 0 for w in y)))
+    return out
+
+
+def test_elias_fano_and_levels():
+    rng = np.random.default_rng(2)
+    v = np.unique(rng.integers(0, 1 << 50, 3000).astype(np.uint64))
     e = language_model.EliasFano(v, lambda x: x)
     q = np.concatenate([v, v + np.uint64(1), np.array([0, 1 << 51], np.uint64)])
-    assert (e.find(q) == np.searchsorted(v, q)).all()
+    assert (e.find(q) == np.searchsorted(v, q)).all() and (e.get(np.arange(len(v))) == v).all()
+    both = np.unique(rng.integers(0, 500, 4000) * 1000 + rng.integers(0, 900, 4000))
+    parent, child = both // 1000, both % 1000
+    level = language_model.Level(parent, child, 501, lambda x: x)
+    assert (level.find(parent, child) == np.arange(len(both))).all()
+    assert (level.find(np.array([-1, 500, parent[0]]), np.array([1, 1, 950])) == -1).all()
+
+
+def test_language_model(spark):
     rows = [(1, "a b a"), (2, None), (3, "A c"), (None, "b"), (3, "A c")]
     train = [True, True, False, True, False]
-    d = spark.createDataFrame([(*r, t) for r, t in zip(rows, train, strict=True)], "doc_id long, text string, train boolean")
-    got = sorted((r.doc_id or 0, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 9)) for r in language_model.score_texts(d).collect())
-    tok = [(x[1] or "").lower().split() + [None] for x in rows]
-    c = Counter(w for t, y in zip(tok, train, strict=True) if y for w in t)
-    n, kinds = sum(c.values()), len(c)
-    want = sorted((x[0] or 0, len(t), sum(c[w] > 0 for w in t), n, round(sum(math.log10((c[w] + 0.5) / (n + 0.5 * (kinds + 1))) for w in t), 9)) for x, t in zip(rows, tok, strict=True))
-    assert got == want
+    d = spark.createDataFrame([(*r, t, 0.0) for r, t in zip(rows, train, strict=True)], "doc_id long, text string, train boolean, score double")
+    got = sorted((r.doc_id or 0, r.n_tokens, r.n_known, round(r.base_score, 9), r.score) for r in language_model.score_texts(d).collect())
+    brute = brute_language_model([(*r, t) for r, t in zip(rows, train, strict=True)], language_model.K2, language_model.K3)
+    want = sorted((r[0] or 0, n, k, round(b, 9), s) for r, (s, b, n, k) in zip(rows, brute, strict=True))
+    assert [g[:4] for g in got] == [w[:4] for w in want]
+    assert all(abs(g[4] - w[4]) <= g[1] * 2 / language_model.QUANTA for g, w in zip(got, want, strict=True))
     assert language_model.score_texts(d.where("false")).count() == 0
+
+
+def test_language_model_above_any_table_size(spark):
+    # sf0.01 holds over 2**18 training tokens; many small shards and hot contexts, with and without the table of common words
+    d = "/root/testdata/sf0.01"
+    docs = spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "text").collect()
+    rows = [(r.doc_id, r.text, zlib.crc32(str(r.doc_id).encode()) % 5 != 1) for r in docs]
+    brute = dict(zip([r[0] for r in rows], brute_language_model(rows, language_model.K2, language_model.K3), strict=True))
+    frame = spark.createDataFrame(rows, "doc_id long, text string, train boolean")
+    for options in ({"shard_tokens": 40_000}, {"rare": 1e-3}):
+        got = language_model.score_texts(frame, **options).collect()
+        assert len(got) == len(rows) and got[0].train_tokens > 1 << 18
+        for r in got:
+            s, b, n, k = brute[r.doc_id]
+            assert (r.n_tokens, r.n_known) == (n, k) and abs(r.base_score - b) < 1e-6 and abs(r.score - s) <= n * 2 / language_model.QUANTA
