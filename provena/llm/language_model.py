@@ -40,31 +40,19 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import read, staged, table_input
-from .words import U64, Batches, WordHasher, lower_space_words, mix, per_batch, signed, utf8
+from .words import U64, Batches, WordHasher, lower_space_words, mix, per_batch, pressed, released, signed, utf8
 
-K2, K3, RARE, SHARD_TOKENS, BATCH_TOKENS, BATCH_DOCS = 200.0, 3.0, 2.0**-20, 2_000_000, 1_000_000, 32_000
+K2, K3, RARE, SHARD_TOKENS, BATCH_TOKENS, BATCH_DOCS = 200.0, 3.0, 2.0**-20, 1_500_000, 1_000_000, 32_000
 END, BEGIN = U64(0xE5D0E5D0E5D0E5D0), U64(0xB0551B0551B0551B)
 QUANTA = 2048.0  # steps per unit of log10
 HELD = np.uint32(1 << 31)
 
 
-def pressed(x: np.ndarray) -> bytes:
-    """An array's bytes, plane by plane, compressed."""
-    planes = np.ascontiguousarray(x).view(np.uint8).reshape(len(x), -1).T
-    return zstandard.ZstdCompressor(level=1).compress(planes.tobytes())
-
-
-def released(raw: bytes, dtype) -> np.ndarray:
-    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(raw), np.uint8)
-    return np.ascontiguousarray(planes.reshape(np.dtype(dtype).itemsize, -1).T).view(dtype).ravel()
-
-
 _ONES = np.array([x.bit_count() for x in range(256)], np.uint8)  # of a byte, and below the place of its r-th one, first bit first
 _PLACE = np.array([(p := [i for i in range(8) if x >> (7 - i) & 1]) + [0] * (8 - len(p)) for x in range(256)], np.uint8)
 
