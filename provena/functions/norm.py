@@ -2,12 +2,22 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Accented Latin letters and their plain forms, in the same order.
-ACCENTED = "áàâãäåçéèêëíìîïñóòôõöúùûüýÿ"
-PLAIN = "aaaaaaceeeeiiiinooooouuuuyy"
+def _letters() -> dict[str, str]:
+    """Small Latin letters that are a plain letter with accents, from Unicode's own decompositions."""
+    found = {}
+    for code in (*range(0xC0, 0x250), *range(0x1E00, 0x1F00)):
+        base, *marks = unicodedata.normalize("NFD", chr(code).lower())
+        if base.isascii() and base.isalpha() and marks and len(chr(code).lower()) == 1:
+            found[chr(code).lower()] = base
+    return found
+
+
+_PLAIN = _letters()
 
 
 def _c(x: Column | str) -> Column:
@@ -15,8 +25,8 @@ def _c(x: Column | str) -> Column:
 
 
 def fold(x: Column | str) -> Column:
-    """Lower case without accents."""
-    return F.translate(F.lower(_c(x)), ACCENTED, PLAIN)
+    """Lower case without accents, be they part of a letter or marks of their own."""
+    return F.regexp_replace(F.translate(F.lower(_c(x)), "".join(_PLAIN), "".join(_PLAIN.values())), "[\u0300-\u036f]", "")
 
 
 def digits(x: Column | str) -> Column:
@@ -88,7 +98,7 @@ def period_kind(start: Column | str, is_balance: Column) -> Column:
 def whole_word(text: Column | str, term: Column | str) -> Column:
     """The folded term occurs between non-alphanumerics (the term is literal)."""
     t = fold(term)
-    literal = F.regexp_replace(t, r"([^a-z0-9 ])", r"\\\\$1")
+    literal = F.regexp_replace(t, r"([^a-z0-9 ])", r"\\$1")
     return (F.length(t) > 0) & F.rlike(F.concat(F.lit(" "), fold(text), F.lit(" ")), F.concat(F.lit("[^a-z0-9]"), literal, F.lit("[^a-z0-9]")))
 
 

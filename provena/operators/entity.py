@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from provena.functions.norm import digits, fold
@@ -37,12 +37,19 @@ def _scored(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield f.assign(similarity=[jaro_winkler(x, y) for x, y in zip(f["_t"], f["_a"], strict=True)])[["term", "id", "similarity"]]
 
 
+def _deletions(x: Column) -> Column:
+    """The text and all that it becomes without one of its letters."""
+    without = F.transform(F.sequence(F.lit(1), F.length(x)), lambda i: F.concat(F.substring(x, F.lit(1), i - 1), F.substring(x, i + 1, F.length(x))))
+    return F.array_distinct(F.concat(F.array(x), F.when(F.length(x) > 0, without).otherwise(F.array().cast("array<string>"))))
+
+
 def resolve(terms: DataFrame, aliases: DataFrame, fuzzy: int = 3, least: float = 0.85) -> DataFrame:
     """``(term, id, stage, similarity)`` of ``terms(term)`` against ``aliases(id, alias, code)``.
 
     Exact alias, equal digits and all-words run for every term; alias inside the term
     and fuzzy names only for terms without a hit.  All but the all-words step
-    are equi-joins (on the folded name, the digits, a shared word or the first two letters).
+    are equi-joins: on the folded name, the digits, a shared word, or, for fuzzy names, on what is left of either name
+    without one of its letters or none, which finds every pair that is one letter apart, wherever it is.
     """
     t = terms.select("term", fold("term").alias("_t"), digits("term").alias("_d")).distinct()
     a = aliases.select("id", fold("alias").alias("_a"), digits("code").alias("_c")).distinct()
@@ -59,8 +66,8 @@ def resolve(terms: DataFrame, aliases: DataFrame, fuzzy: int = 3, least: float =
     ac = a.select("id", "_a", F.size(words(F.col("_a"))).alias("_k"), F.explode(words(F.col("_a"))).alias("w"))
     inside = rest.select("term", F.explode(words(F.col("_t"))).alias("w")).join(ac, "w").groupBy("term", "id", "_a", "_k").agg(F.count("*").alias("_m")).where("_m = _k")
     hit = stage(inside, 6)
-    left = rest.join(hit.select("term").distinct(), "term", "left_anti").withColumn("_b", F.substring("_t", 1, 2))
-    near = left.join(a.withColumn("_b", F.substring("_a", 1, 2)), "_b").select("term", "id", "_t", "_a").mapInPandas(_scored, "term string, id long, similarity double")
+    left = rest.join(hit.select("term").distinct(), "term", "left_anti").withColumn("_b", F.explode(_deletions(F.col("_t"))))
+    near = left.join(a.withColumn("_b", F.explode(_deletions(F.col("_a")))), "_b").select("term", "id", "_t", "_a").distinct().mapInPandas(_scored, "term string, id long, similarity double")
     w = Window.partitionBy("term").orderBy(F.desc("similarity"), "id")
     near = near.where(F.col("similarity") >= least).groupBy("term", "id").agg(F.max("similarity").alias("similarity")).withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= fuzzy)
     both = first.unionByName(hit).unionByName(near.select("term", "id", F.lit(7).alias("stage"), "similarity"))

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import re
+from bisect import bisect_right
 from collections.abc import Iterator
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -24,20 +25,21 @@ def agreed(readings: DataFrame, keys: list[str], reading: str = "reading") -> Da
 
 
 def value_on_page(value: Column, quote: Column, page: Column) -> Column:
-    """Is the number on the quote or page (any thousands and decimal marks), or else the quote's start on the page.
+    """Is a number of two digits or more on the quote or page (any thousands and decimal marks), or its mantissa in the quote.
 
-    The quote must hold a word of three letters.
+    For a number of one digit or none the quote's start must be on the page.  The quote must hold a word of three letters.
     """
     plain = F.regexp_replace(F.format_string("%.6f", F.abs(value.cast("double"))), r"0+$", "")
     number = F.regexp_replace(F.regexp_replace(plain, r"\D", ""), "^0+", "")
     mantissa = F.regexp_replace(number, "0+$", "")
     pattern = lambda d: F.concat(F.lit(r"(?<!\d)0?[.,]?"), F.array_join(F.split(d, "(?<=.)(?=.)"), r"[.,\s]?"), F.lit(r"(?:[.,]0+)?(?!\d)"))
     both = F.concat_ws("\n", quote, page)
-    big = fold(both).rlike(r"\b(mil|milhao|milhoes|bilhao|bilhoes|thousand|million|millions|billion|billions)\b")
-    seen = F.when(F.length(number) > 0, F.rlike(both, pattern(number)) | (big & (F.length(mantissa) > 0) & F.rlike(both, pattern(mantissa)))).otherwise(F.lit(False))
+    enough = lambda d: F.length(d) >= 2
+    seen = (enough(number) & F.rlike(both, pattern(number))) | (enough(mantissa) & F.rlike(quote, pattern(mantissa)))
     squeeze = lambda x: F.regexp_replace(fold(x), r"\s+", " ")
     start = F.substring(F.trim(squeeze(quote)), 1, 40)
-    return fold(quote).rlike("[a-z]{3}") & (seen | ((F.length(start) >= 20) & F.contains(squeeze(page), start)))
+    quoted = F.coalesce(F.length(number) < 2, F.lit(True)) & (F.length(start) > 0) & F.contains(squeeze(page), start)
+    return F.coalesce(fold(quote).rlike("[a-z]{3}") & (F.coalesce(seen, F.lit(False)) | quoted), F.lit(False))
 
 
 def revalidated(facts: DataFrame, pages: DataFrame, keys: list[str]) -> DataFrame:
@@ -54,32 +56,36 @@ def candidate_pages(pages: DataFrame, doc: str, page: str, text: str, pattern: s
     return top_n(hits, [doc], [F.desc("hits"), F.desc(page)], n)
 
 
+def _spans(text: str, size: int, overlap: int) -> Iterator[tuple[int, int]]:
+    """Windows over the text; all but the last end behind a break (line end, or full stop and space) of their second half, if it has one."""
+    marks = [(m.start() + 1, m.end()) for m in re.finditer(r"\n|\. ", text)]
+    closed = [end for _, end in marks]
+    lo = 0
+    while lo < len(text):
+        hi = lo + size
+        if hi >= len(text):
+            yield lo, len(text)
+            return
+        at = bisect_right(closed, hi) - 1
+        if at >= 0 and marks[at][0] > lo + size // 2:
+            hi = marks[at][0]
+        yield lo, hi
+        lo = max(hi - overlap, lo + 1)
+
+
 def chunks(pages: DataFrame, text: str = "text", size: int = 1200, overlap: int = 200, least: int = 80) -> DataFrame:
-    """Pages cut into chunks at the last newline or sentence end of their second half; ``pos`` and ``chunk`` are added."""
-
-    def cut(s: str | None) -> list[str]:
-        out, at, s = [], 0, s or ""
-        while at < len(s):
-            end = min(at + size, len(s))
-            if end < len(s):
-                half = at + size // 2
-                best = max(s.rfind("\n", half, end), s.rfind(". ", half, end))
-                end = best + 1 if best > 0 else end
-            piece = s[at:end].strip()
-            if len(piece) >= least:
-                out.append(piece)
-            if end >= len(s):
-                break
-            at = max(at + 1, end - overlap)
-        return out
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            f = f.assign(chunk=[list(enumerate(cut(t))) for t in f[text]]).drop(columns=[text]).explode("chunk").dropna(subset=["chunk"])
-            yield f.assign(pos=[c[0] for c in f.chunk], chunk=[c[1] for c in f.chunk])
-
-    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pages.schema if f.name != text)
-    return pages.mapInPandas(run, f"{kept}, chunk string, pos long")
+    """Pages cut into overlapping chunks; ``chunk`` and ``pos`` are added in place of the text.
+
+    Runs of blanks become one and runs of empty lines one empty line first; chunks, and pages, of under ``least`` characters are left out.
+    """
+    squeezed = F.trim(F.regexp_replace(F.regexp_replace(F.col(text), r"[ \t]+", " "), r"\n{3,}", "\n\n"), F.lit(" \t\n\r\f\x0b"))
+
+    @F.udf("array<string>", useArrow=True)
+    def cut(s: str) -> list[str]:
+        pieces = (s[lo:hi].strip() for lo, hi in _spans(s, size, overlap))
+        return [x for x in pieces if len(x) >= least]
+
+    return pages.withColumn("_t", squeezed).where(F.length("_t") >= least).select("*", F.posexplode(cut("_t")).alias("pos", "chunk")).drop("_t", text).withColumn("pos", F.col("pos").cast("long"))
 
 
 #: Starter patterns, first match wins.

@@ -6,21 +6,25 @@ changes, and never look at rows on the driver beyond a count.
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def ancestors(tree: DataFrame, node: str = "node", parent: str = "parent", most: int = 64) -> DataFrame:
-    """``(node, ancestor, distance)``; a walk ends at a root, at a node seen before, or after ``most`` steps."""
+def ancestors(tree: DataFrame, node: str = "node", parent: str = "parent", most: int | None = None) -> DataFrame:
+    """``(node, ancestor, distance)``; a walk ends at a root or at a node seen before; one longer than ``most`` steps is an error."""
     edge = tree.select(F.col(node).alias("_n"), F.col(parent).alias("_p"))
     now = tree.where(F.col(parent).isNotNull()).select(F.col(node).alias("node"), F.col(parent).alias("ancestor"), F.array(node, parent).alias("seen"))
     out = now.select("node", "ancestor", F.lit(1).alias("distance"))
-    for d in range(2, most + 1):
+    for d in count(2):
         now = now.join(edge, now.ancestor == edge._n).where("_p is not null").where(~F.array_contains("seen", F.col("_p")))
         now = now.select("node", F.col("_p").alias("ancestor"), F.concat("seen", F.array("_p")).alias("seen"))
         now = now.checkpoint() if now.sparkSession.conf.get("spark.checkpoint.dir", None) else now.cache()
         if now.isEmpty():
             break
+        if most is not None and d > most:
+            raise ValueError(f"a path is longer than {most} steps")
         out = out.unionByName(now.select("node", "ancestor", F.lit(d).alias("distance")))
     return out
 

@@ -85,8 +85,8 @@ def activity(users: DataFrame, conversations: DataFrame, messages: DataFrame) ->
 
 
 def visible(expires: Column, temporary: Column, now: Column) -> Column:
-    """Retention: kept for ever, or temporary rows that have not expired yet."""
-    return F.when(expires.isNull(), F.lit(True)).when(F.coalesce(temporary, F.lit(False)), expires > now).otherwise(expires > now)
+    """Retention: permanent rows until they expire; rows of unknown kind only without an expiry; temporary rows never."""
+    return F.when(temporary, F.lit(False)).when(temporary.isNull(), expires.isNull()).otherwise(expires.isNull() | (expires > now))
 
 
 def expired(df: DataFrame, expires: str, now: Column, n: int) -> DataFrame:

@@ -184,27 +184,26 @@ def page_routes(spark, d):
 
 
 _TERMS = "list_filter(string_split_regex(lower(strip_accents(coalesce(text, ''))), '[^a-z0-9]+'), lambda x: x <> '')"
-SEARCHES = [(1, "the idiot said nothing"), (2, "maison de la ville"), (3, "einheit und freiheit")]
 
 
-@query(f"""WITH d AS (SELECT doc_id, {_TERMS} AS w FROM documents), q(query_id, term) AS (VALUES (1,'the'),(1,'idiot'),(1,'said'),(1,'nothing'),(2,'maison'),(2,'de'),(2,'la'),(2,'ville'),(3,'einheit'),(3,'und'),(3,'freiheit')),
+@query(f"""WITH d AS (SELECT doc_id, {_TERMS} AS w FROM documents), q AS (SELECT DISTINCT doc_id AS query_id, unnest(w) AS term FROM d WHERE doc_id % 50 = 0),
 st AS (SELECT count(*) AS n, avg(len(w)) AS mean FROM d), tf AS (SELECT doc_id, len(w) AS l, t AS term, count(*) AS tf FROM (SELECT doc_id, w, unnest(w) AS t FROM d) GROUP BY ALL),
 df AS (SELECT term, count(*) AS df FROM tf GROUP BY 1),
 s AS (SELECT query_id, doc_id, sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * l / mean))) AS b FROM q JOIN tf USING (term) JOIN df USING (term), st GROUP BY ALL)
 SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY round(b, 9) DESC, doc_id) - 1 AS pos, round(b, 5) AS bm25 FROM s QUALIFY pos < 20""")
 def bm25_search(spark, d):
-    """BM25 for several queries at once (T4, T5)."""
-    q = spark.createDataFrame(SEARCHES, "query_id int, query string")
+    """BM25 with every document whose id is divisible by 50 as a query, against all (T4, T5)."""
+    q = read(spark, d, "documents").where("doc_id % 50 = 0").select(F.col("doc_id").alias("query_id"), F.col("text").alias("query"))
     return _round(search.ranked(search.bm25(read(spark, d, "documents"), q), "bm25", "doc_id", 20), "bm25", digits=5).withColumn("pos", F.col("pos").cast("long"))
 
 
-@query("""WITH q AS (SELECT vec_id AS query_id, embedding AS e FROM embeddings WHERE vec_id < 5),
+@query("""WITH q AS (SELECT vec_id AS query_id, embedding AS e FROM embeddings WHERE vec_id % 50 = 0),
 s AS (SELECT query_id, vec_id, list_dot_product(CAST(v.embedding AS DOUBLE[]), CAST(q.e AS DOUBLE[])) / (sqrt(list_dot_product(CAST(v.embedding AS DOUBLE[]), CAST(v.embedding AS DOUBLE[]))) * sqrt(list_dot_product(CAST(q.e AS DOUBLE[]), CAST(q.e AS DOUBLE[])))) AS sim FROM embeddings v, q)
 SELECT query_id, vec_id, round(sim, 6) AS similarity, row_number() OVER (PARTITION BY query_id ORDER BY round(sim, 9) DESC, vec_id) - 1 AS pos FROM s QUALIFY pos < 10""")
 def vector_search(spark, d):
-    """Cosine top ten of five stored vectors."""
+    """Cosine top ten of every vector whose id is divisible by 50, against all."""
     v = read(spark, d, "embeddings")
-    q = v.where("vec_id < 5").select(F.col("vec_id").alias("query_id"), "embedding")
+    q = v.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
     return _round(search.vector_top_k(v, q, 10), "similarity", digits=6).withColumn("pos", F.col("pos").cast("long"))
 
 
@@ -253,12 +252,14 @@ def agreed_readings(spark, d):
     return facts.agreed(r, ["doc_id", "key"]).select("doc_id", "key")
 
 
-@query(None)
+@query("""WITH a AS (SELECT c_custkey AS id, lower(c_name) AS name FROM customer), t AS (SELECT c_name[1:4] || c_name[6:] AS term FROM customer)
+SELECT DISTINCT term, id, 7 AS stage, round(jaro_winkler_similarity(lower(term), name), 6) AS similarity FROM t, a WHERE levenshtein(lower(term), name) <= 1 AND jaro_winkler_similarity(lower(term), name) >= 0.85
+QUALIFY row_number() OVER (PARTITION BY term ORDER BY similarity DESC, id) <= 3""")
 def resolved_entities(spark, d):
     """Customer names with a letter dropped, resolved to customers."""
-    s = read(spark, d, "supplier")
-    a = s.select(F.col("s_suppkey").alias("id"), F.col("s_name").alias("alias"), F.col("s_suppkey").cast("string").alias("code"))
-    return entity.resolve(a.select(F.regexp_replace("alias", "^(.{4}).", "$1").alias("term")), a)
+    s = read(spark, d, "customer")
+    a = s.select(F.col("c_custkey").alias("id"), F.col("c_name").alias("alias"), F.col("c_custkey").cast("string").alias("code"))
+    return _round(entity.resolve(a.select(F.regexp_replace("alias", "^(.{4}).", "$1").alias("term")), a), "similarity", digits=6)
 
 
 @query("""WITH k(key, base) AS (VALUES ('cl', 1.0::DOUBLE), ('click', 2.0::DOUBLE), ('pur', 3.0::DOUBLE), ('view', 4.0::DOUBLE)),

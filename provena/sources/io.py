@@ -29,15 +29,19 @@ def tagged_union(spark: SparkSession, paths: list[str], pattern: str, names: lis
 
 
 def series_json(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """[{data: dd/mm/yyyy, valor: text}] -> (date, value), one row a date."""
+    """[{data: dd/mm/yyyy, valor: text}] -> (date, value), one row a date; of a repeated date the greatest value."""
     d = spark.read.schema("data string, valor string").json(path, multiLine=True)
-    return d.select(F.try_to_date("data", F.lit("dd/MM/yyyy")).alias("date"), F.col("valor").try_cast("double").alias("value")).where("date is not null").dropDuplicates(["date"])
+    d = d.select(F.try_to_date("data", F.lit("dd/MM/yyyy")).alias("date"), F.col("valor").try_cast("double").alias("value")).where("date is not null")
+    return d.groupBy("date").agg(F.max("value").alias("value"))
 
 
-def preamble_text(spark: SparkSession, path: str, skip: int, columns: list[str], encoding: str = "ISO-8859-1", sep: str = "\t") -> DataFrame:
-    """Separated text with lines before the data and repeated or missing names; columns go by position."""
+def preamble_text(spark: SparkSession, path: str | list[str], skip: int, columns: list[str], encoding: str = "ISO-8859-1", sep: str = "\t") -> DataFrame:
+    """Separated text with ``skip`` lines before the data of every file and repeated or missing names; columns go by position."""
     d = spark.read.csv(path, sep=sep, header=False, encoding=encoding, inferSchema=False, schema=", ".join(f"`{c}` string" for c in columns))
-    return d.withColumn("_i", F.monotonically_increasing_id()).where(F.col("_i") >= skip).drop("_i")
+    d = d.select(*[F.col(f"`{c}`") for c in columns], F.monotonically_increasing_id().alias("_i"), F.col("_metadata.file_path").alias("_f"), F.col("_metadata.file_block_start").alias("_b"))
+    head = d.where("_b = 0").groupBy("_f").agg(F.min("_i").alias("_first"))  # one row a file
+    j = d.join(head, "_f", "left").where((F.col("_b") > 0) | F.col("_first").isNull() | (F.col("_i") >= F.col("_first") + skip))
+    return j.select(*[F.col(f"`{c}`") for c in columns])
 
 
 def since_period(spark: SparkSession, path: str, glob: str, pattern: str, since: str) -> DataFrame:
@@ -47,16 +51,16 @@ def since_period(spark: SparkSession, path: str, glob: str, pattern: str, since:
 
 
 def publish(df: DataFrame, path: str) -> str:
-    """A new version beside the others; readers follow the pointer, which is moved last."""
-    version = uuid.uuid4().hex
+    """A new version beside the others; its pointer is added last and none is taken away, so readers always find one."""
+    version, spark = uuid.uuid4().hex, df.sparkSession
     df.write.parquet(f"{path}/v={version}")
-    spark = df.sparkSession
-    spark.createDataFrame([(version,)], "version string").coalesce(1).write.mode("overwrite").json(f"{path}/_current")
+    at = spark.sql("SELECT unix_micros(current_timestamp()) AS at")
+    at.withColumn("version", F.lit(version)).coalesce(1).write.mode("append").json(f"{path}/_current")
     return version
 
 
 def published(spark: SparkSession, path: str) -> DataFrame:
-    version = spark.read.json(f"{path}/_current").first()["version"]
+    version = spark.read.schema("at long, version string").json(f"{path}/_current").agg(F.max_by("version", "at")).first()[0]
     return spark.read.parquet(f"{path}/v={version}")
 
 
@@ -87,8 +91,8 @@ def dictionary(spark: SparkSession, catalog: DataFrame) -> DataFrame:
 
 
 def guarded_sql(spark: SparkSession, sql: str, most: int = 200) -> DataFrame:
-    """A query over registered views, at most ``most`` rows and one more to tell that it was cut."""
-    d = spark.sql(sql)
-    if not d.schema.fields:
-        raise ValueError("only queries are allowed")
-    return d.limit(most + 1)
+    """A query over registered views, at most ``most`` rows and one more to tell that it was cut.
+
+    It runs as a subquery, where commands and writes don't parse, so nothing takes effect before it is refused.
+    """
+    return spark.sql(f"SELECT * FROM (\n{sql.strip().rstrip(';')}\n) AS guarded LIMIT {int(most) + 1}")

@@ -81,3 +81,41 @@ def test_reconcile_and_company(spark):
     assert {r.k: r.tonnes for r in company.in_tonnes(d).collect()} == {"a": 2.0, "b": 2000.0, "c": None}
     done, wanted = spark.createDataFrame([("x",), ("y",)], "f string"), spark.createDataFrame([("y",), ("z",)], "f string")
     assert {r.f: r.action for r in reconcile.refresh_plan(done, wanted, ["f"]).collect()} == {"x": "stale", "y": "keep", "z": "pending"}
+
+
+def test_fold_and_whole_word(spark):
+    d = spark.createDataFrame([("ČESKÝ Źdźbło São\u0301", "C++ & x", "c++"), ("a", "abc", "b")], "s string, text string, term string")
+    got = [tuple(r) for r in d.select(N.fold("s"), N.whole_word("text", "term")).collect()]
+    assert got == [("cesky zdzbło sao", True), ("a", False)]
+
+
+def test_chunks(spark):
+    text = "x" * 700 + ". " + "y" * 600 + "\n" + "z" * 300
+    d = spark.createDataFrame([(1, None, "k"), (2, "short", "k"), (3, text, "k"), (4, "a  \t b" * 40, "k"), (5, "w" * 2500, "k")], "id long, text string, pos_ string")
+    got: dict = {}
+    for r in facts.chunks(d).orderBy("id", "pos").collect():
+        got.setdefault(r.id, []).append(r.chunk)
+    assert got[3] == ["x" * 700 + ".", "x" * 199 + ". " + "y" * 600 + "\n" + "z" * 300]
+    assert got[4] == [("a b" * 40)] and [len(c) for c in got[5]] == [1200, 1200, 500] and 1 not in got and 2 not in got
+    assert facts.chunks(d.where("id < 3")).count() == 0 and facts.chunks(d.where("false")).count() == 0
+
+
+def test_visible(spark):
+    rows = [(None, False, True), (5, False, False), (20, False, True), (None, None, True), (20, None, False), (20, True, False), (None, True, False)]
+    d = spark.createDataFrame(rows, "expires int, temporary boolean, want boolean")
+    assert all(r.want == r.got for r in d.select("want", ledger.visible(F.col("expires"), F.col("temporary"), F.lit(10)).alias("got")).collect())
+
+
+def test_long_paths(spark):
+    chain = spark.createDataFrame([(i, i - 1 if i else None) for i in range(80)], "node long, parent long")
+    assert graph.depths(chain).agg(F.max("depth")).first()[0] == 79
+    with pytest.raises(ValueError, match="longer"):
+        graph.ancestors(chain, most=4).count()
+
+
+def test_names_one_letter_apart_are_found_wherever_the_letter_is(spark):
+    names = ["north water", "south water", "river power", "solar field"]
+    a = spark.createDataFrame([(i, n, None) for i, n in enumerate(names)], "id long, alias string, code string")
+    terms = ["orth water", "north watr", "sout water", "xiver power", "solar fielt", "unlike all"]
+    got = {r.term: (r.id, r.stage) for r in entity.resolve(spark.createDataFrame([(t,) for t in terms], "term string"), a).collect()}
+    assert got == {"orth water": (0, 7), "north watr": (0, 7), "sout water": (1, 7), "xiver power": (2, 7), "solar fielt": (3, 7)}

@@ -1,3 +1,4 @@
+import pytest
 from pyspark.sql import functions as F
 
 from provena.sources import io
@@ -23,3 +24,25 @@ def test_publish_and_csv(spark, tmp_path):
     assert io.published(spark, str(tmp_path / "t")).count() == 2
     io.write_quoted_csv(d.coalesce(1), str(tmp_path / "c"))
     assert [r.s for r in io.delimited(spark, str(tmp_path / "c"), sep=",").orderBy("i").collect()] == ['a"b', None]
+
+
+def test_guarded_sql_refuses_before_anything_happens(spark):
+    assert io.guarded_sql(spark, "with t as (select 1 as a) select * from t;").collect()[0].a == 1
+    assert io.guarded_sql(spark, "select id from range(500)").count() == 201
+    for bad in ("create temp view should_not_be as select 1", "drop table x", "set a=b", "select 1) t; drop view y --"):
+        with pytest.raises(Exception):  # noqa: B017, PT011
+            io.guarded_sql(spark, bad)
+    assert not spark.catalog.tableExists("should_not_be")
+
+
+def test_preambles_of_several_files(spark, tmp_path):
+    for n in "ab":
+        (tmp_path / f"{n}.txt").write_text(f"title {n}\nnotes\n1\t{n}\n2\t{n}\n", encoding="latin-1")
+    got = io.preamble_text(spark, str(tmp_path), 2, ["k", "v"]).collect()
+    assert sorted((r.k, r.v) for r in got) == [("1", "a"), ("1", "b"), ("2", "a"), ("2", "b")]
+
+
+def test_published_versions(spark, tmp_path):
+    for n in (2, 3):
+        io.publish(spark.range(n), str(tmp_path))
+        assert io.published(spark, str(tmp_path)).count() == n
