@@ -44,7 +44,7 @@ from .words import U64, Batches, WordHasher, Windows, lower_space_words, mix, pe
 
 SHINGLE, THRESHOLD, BANDS, ROWS = 5, 0.8, 20, 4
 _CHUNK = 400_000  # shingles sketched at a time; bounds memory only
-_SHARD = 4_000_000  # shingles whose texts one task counts
+_SHARD = 1_000_000  # shingles whose texts one task counts
 _SHARE, _LEADERS = 1_000_000, 256  # shingles of the members and number of leaders that one task compares; larger buckets are dealt to several
 
 

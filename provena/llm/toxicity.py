@@ -121,7 +121,7 @@ class Reader(dict):
         self.fixed = dict(self)
 
     def __missing__(self, word: str):
-        if len(self) > 500_000:
+        if len(self) > 150_000:
             self.clear()
             self.update(self.fixed)
             if word in self:

@@ -46,7 +46,7 @@ class _Memo(dict):
 class WordHasher:
     """Word -> 64-bit hash with a bounded memo."""
 
-    def __init__(self, limit: int = 1_000_000):
+    def __init__(self, limit: int = 500_000):
         self.limit, self.memo = limit, _Memo()
 
     def __call__(self, words: list[bytes]) -> np.ndarray:
