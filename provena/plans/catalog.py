@@ -1,4 +1,4 @@
-"""All registered queries of the reference's operators: name -> (query, SQL or None).
+"""Registered queries of the reference's operators.
 
 Every query reads the given tables whole; sums that a float's order of adding could change are rounded alike in both forms.
 """
@@ -14,15 +14,8 @@ from provena.operators import measures as M
 from provena.sources.io import read
 from provena.streaming import ops as streaming
 
-QUERIES: dict = {}
-
-
-def query(sql: str | None = None):
-    def add(f):
-        QUERIES[f.__name__] = (f, sql)
-        return f
-
-    return add
+from .registry import query
+from .registry import rounded as _round
 
 
 def _sales(spark: SparkSession, d: str) -> DataFrame:
@@ -38,12 +31,6 @@ _SALES = "sales AS (SELECT l.*, year(o_orderdate) AS year, c_mktsegment, c_natio
 MEASURES = [M.Measure("disc_ratio", "ratio", "disc_value", "l_extendedprice", 100.0), M.Measure("mean_disc", "weighted", "l_discount", "l_quantity"), M.Measure("revenue", "sum", "l_extendedprice")]
 
 
-def _round(df: DataFrame, *columns: str, digits: int = 4) -> DataFrame:
-    for c in columns:
-        df = df.withColumn(c, F.round(c, digits))
-    return df
-
-
 @query(f"""WITH {_SALES}, latest AS (SELECT * FROM sales QUALIFY year = max(year) OVER (PARTITION BY c_mktsegment)),
 g AS (SELECT c_mktsegment, year, 100 * sum(disc_value) / nullif(sum(l_extendedprice), 0) AS disc_ratio, sum(l_discount * l_quantity) / nullif(sum(l_quantity), 0) AS mean_disc, sum(l_extendedprice) AS revenue,
 count(DISTINCT l_orderkey) AS sources FROM latest GROUP BY ALL)

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from provena.functions import norm as N
 from provena.operators import company, entity, facts, graph, ledger, measures, reconcile, temporal
-from provena.plans.catalog import QUERIES
+from provena.plans import QUERIES
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
