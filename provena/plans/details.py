@@ -261,7 +261,7 @@ p AS (SELECT t.company, t.year, any_value(tco2e) AS tco2e, max(y) AS accounts_ye
 SELECT company, year, tco2e, accounts_year, round(1e6 * tco2e / (accounts_year * 1000.0), 4) AS per_million FROM p""")
 def emission_intensity(spark, d):
     """Largest confident figure by scope, market before location, per million of the latest revenue."""
-    c = read(spark, d, "customer").where("c_custkey % 3 > 0").select(F.col("c_custkey").alias("company"), F.explode(F.array(F.lit(1993), F.lit(1996))).cast("long").alias("year"))
+    c = read(spark, d, "customer").where("c_custkey % 3 > 0").select(F.col("c_custkey").alias("company"), F.explode(F.array(F.lit(1993).cast("long"), F.lit(1996).cast("long"))).alias("year"))
     return _round(_round(company.intensity(_emissions(spark, d), c.withColumn("revenue", F.col("year") * 1000.0)), "tco2e", digits=2), "per_million").select("company", "year", "tco2e", "accounts_year", "per_million")
 
 
