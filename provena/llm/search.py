@@ -1,7 +1,8 @@
 """Exact BM25 top-k by block-max WAND over a sharded inverted index.
 
 The scan cuts the documents into shards of at most ``shard_docs`` (or that many with ``shard_words``
-words); each shard's
+words) and orders a shard's documents by their most
+frequent word and length, so that blocks hold like documents and their bounds are close; each shard's
 inverted index (postings by term, with term counts, and a table of document
 ids and lengths) is staged once.  Document frequencies, the number of documents and the mean length are
 added up over all shards, so every shard scores with global statistics.  A block of
@@ -52,7 +53,19 @@ def _index(shard_docs: int, shard_words: int):
         key, doc = key[order], doc[order]
         first = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (doc[1:] != doc[:-1])])) if len(key) else np.zeros(0, np.int64)
         tf = np.diff(np.append(first, len(key))).astype(np.uint32)
-        key, doc = key[first], doc[first].astype(np.uint16)
+        key, doc = key[first], doc[first]
+        # like documents next to each other: by their most frequent word, then by length
+        top = np.zeros(len(ids), np.uint64)
+        by_doc = np.lexsort((tf, doc))
+        ends = np.flatnonzero(np.concatenate([doc[by_doc][1:] != doc[by_doc][:-1], [True]])) if len(doc) else np.zeros(0, np.int64)
+        top[doc[by_doc[ends]]] = key[by_doc[ends]].astype(np.uint64)
+        rows = np.lexsort((size, top))
+        place = np.empty(len(ids), np.int64)
+        place[rows] = np.arange(len(ids))
+        doc = place[doc]
+        order = np.lexsort((doc, key))
+        key, doc, tf = key[order], doc[order].astype(np.uint16), tf[order]
+        size, ids = size[rows], np.array(ids, np.int64)[rows]
         start = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
         edge = np.append(start, len(key))
 
@@ -63,7 +76,7 @@ def _index(shard_docs: int, shard_words: int):
 
         terms = pa.concat_arrays([signed(key[start]), pa.array([None], pa.int64())])
         n = pa.array(np.append(np.diff(edge), len(ids)).astype(np.int64))
-        return pa.record_batch([pa.array(np.full(len(n), number)), terms, n, lists(doc, np.array(ids, np.int64).tobytes()), lists(tf, size.astype(np.uint32).tobytes())], names=names)
+        return pa.record_batch([pa.array(np.full(len(n), number)), terms, n, lists(doc, ids.tobytes()), lists(tf, size.astype(np.uint32).tobytes())], names=names)
 
     def run(batches: Batches) -> Batches:
         hasher = WordHasher()
@@ -108,9 +121,9 @@ class Postings:
     """
 
     def __init__(self, n: np.ndarray, docs: np.ndarray, impact: np.ndarray, ids: np.ndarray):
-        self.docs, self.impact, self.ids = docs, impact, ids
+        self.impact, self.ids = impact, ids
         edge = np.append(0, np.cumsum(n))
-        block = docs // BLOCK
+        block, self.low = docs // BLOCK, docs % BLOCK
         new = np.concatenate([[True], block[1:] != block[:-1]])
         new[edge[:-1]] = True
         first = np.flatnonzero(new)
@@ -146,7 +159,7 @@ def block_max_wand(p: Postings, terms: np.ndarray, weights: np.ndarray, k: int,
     terms, weights, bound = terms[order], weights[order], bound[order]
     upto = np.cumsum(bound)
     cursor, end = p.term_entry[terms].copy(), p.term_entry[terms + 1]
-    place = np.full(p.blocks, -1)
+    place, flag = np.full(p.blocks, -1), np.zeros(p.blocks, bool)
     now, step = 0, 8  # all cursors stand at the first entry of a block >= now
     while True:
         least = best[-1] - SLACK if len(best) == k else 0.0
@@ -173,14 +186,17 @@ def block_max_wand(p: Postings, terms: np.ndarray, weights: np.ndarray, k: int,
         high = high[high + (upto[ess - 1] if ess else 0.0) >= least]
         now, step = int(pivots[-1]) + 1, min(2 * step, 64)
         if len(able):
-            entry, w = near[np.isin(at, able)], weight[np.isin(at, able)]
+            flag[able] = True
+            here = flag[at]
+            entry, w = near[here], weight[here]
             if ess:  # move the other cursors to these pivots
                 first = cursor[:ess]
                 upper = np.minimum(end[:ess], first + now)
                 others = _ranges(first, upper)
                 their = p.entry_block[others]
-                here = np.isin(their, able)
+                here = flag[their]
                 passed = their < now
+                flag[able] = False
                 owner = np.repeat(np.arange(ess), upper - first)
                 cursor[:ess] += np.bincount(owner[passed], minlength=ess)
                 others, ow = others[here], weights[owner[here]]
@@ -190,6 +206,7 @@ def block_max_wand(p: Postings, terms: np.ndarray, weights: np.ndarray, k: int,
                 place[able] = -1
                 able = able[high >= least]
                 entry, w = np.concatenate([entry, others]), np.concatenate([w, ow])
+            flag[able] = False
             if len(able):
                 best, ids = _score(p, able, entry, w, k, best, ids, least, place, work)
     return best, ids
@@ -205,7 +222,7 @@ def _score(p: Postings, blocks: np.ndarray, entry: np.ndarray, weight: np.ndarra
     lo, hi = p.entry_edge[e], p.entry_edge[e + 1]
     post = _ranges(lo, hi)
     work.scored, work.postings = work.scored + len(blocks), work.postings + len(post)
-    spot = np.repeat(here[chosen] * BLOCK, hi - lo) + p.docs[post] % BLOCK
+    spot = np.repeat(here[chosen] * BLOCK, hi - lo) + p.low[post]
     total = np.round(np.bincount(spot, p.impact[post] * np.repeat(weight[chosen], hi - lo), len(blocks) * BLOCK), 6)
     hit = np.flatnonzero((total > 0) & (total >= least))
     if not len(hit):
