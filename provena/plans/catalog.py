@@ -239,14 +239,38 @@ def agreed_readings(spark, d):
     return facts.agreed(r, ["doc_id", "key"]).select("doc_id", "key")
 
 
-@query("""WITH a AS (SELECT c_custkey AS id, lower(c_name) AS name FROM customer), t AS (SELECT c_name[1:4] || c_name[6:] AS term FROM customer)
-SELECT DISTINCT term, id, 7 AS stage, round(jaro_winkler_similarity(lower(term), name), 6) AS similarity FROM t, a WHERE levenshtein(lower(term), name) <= 1 AND jaro_winkler_similarity(lower(term), name) >= 0.85
-QUALIFY row_number() OVER (PARTITION BY term ORDER BY similarity DESC, id) <= 3""")
+@query("""WITH t AS (SELECT 'K' || c_name[3:4] || c_name[6:] AS term FROM customer WHERE c_custkey % 50 = 0)
+SELECT term, c_custkey AS id, 7 AS stage, round(jaro_winkler_similarity(lower(c_name), lower(term)), 6) AS similarity FROM t, customer WHERE jaro_winkler_similarity(lower(c_name), lower(term)) > 0
+QUALIFY row_number() OVER (PARTITION BY term ORDER BY round(jaro_winkler_similarity(lower(c_name), lower(term)), 9) DESC, c_custkey) <= 3""")
 def resolved_entities(spark, d):
-    """Customer names with a letter dropped, resolved to customers."""
+    """Customers whose id is divisible by 50, their names three letters off, resolved to the most similar of all names."""
     s = read(spark, d, "customer")
-    a = s.select(F.col("c_custkey").alias("id"), F.col("c_name").alias("alias"), F.col("c_custkey").cast("string").alias("code"))
-    return _round(entity.resolve(a.select(F.regexp_replace("alias", "^(.{4}).", "$1").alias("term")), a), "similarity", digits=6)
+    a = s.select(F.col("c_custkey").alias("id"), F.col("c_name").alias("alias"), F.lit(None).cast("string").alias("code"))
+    t = s.where("c_custkey % 50 = 0").select(F.concat(F.lit("K"), F.substring("c_name", 3, 2), F.expr("substring(c_name, 6)")).alias("term"))
+    return _round(entity.resolve(t, a).drop("how"), "similarity", digits=6)
+
+
+@query("""WITH c AS (SELECT *, c_custkey // 50 % 6 AS kind FROM customer),
+a AS (SELECT c_custkey AS id, lower(c_name) AS name, CAST(c_custkey + 1000000 AS VARCHAR) AS code FROM customer),
+g AS (SELECT s_suppkey + 10000000000000 AS id, lower(s_name) AS name, 'ag' || s_suppkey AS acronym FROM supplier),
+t AS (SELECT kind, c_custkey AS k, CASE kind WHEN 0 THEN upper(c_name) WHEN 1 THEN 'no. ' || (c_custkey + 1000000) WHEN 2 THEN 'the ' || lower(c_name) || ' group' WHEN 3 THEN c_name[10:] || ' ustomer' WHEN 4 THEN 'AG' || c_custkey // 50 ELSE 'ref ' || (c_custkey // 50 + 10000000000000) END AS term
+      FROM c WHERE c_custkey % 50 = 0)
+SELECT term, id, 1 AS stage, 'alias' AS how FROM t JOIN a ON lower(term) = name
+UNION ALL SELECT term, id, 2, 'code' FROM t JOIN a ON kind = 1 AND contains(code, regexp_replace(term, '[^0-9]', '', 'g'))
+UNION ALL SELECT term, id, 6, 'alias inside the term' FROM t JOIN a ON kind = 2 AND contains(term, name)
+UNION ALL SELECT term, id, 3, 'all words' FROM t JOIN a ON kind = 3 AND contains(name, split_part(term, ' ', 1)) AND contains(name, 'ustomer')
+UNION ALL SELECT term, id, 4, 'acronym or name outside the registry' FROM t JOIN g ON kind = 4 AND lower(term) = acronym
+UNION ALL SELECT term, id, 2, 'id outside the registry' FROM t JOIN g ON kind = 5 AND CAST(id AS VARCHAR) = regexp_replace(term, '[^0-9]', '', 'g')""")
+def entity_ladder(spark, d):
+    """Terms of six kinds made of every fiftieth customer, each found by its own step; similar names left out."""
+    c = read(spark, d, "customer")
+    a = c.select(F.col("c_custkey").alias("id"), F.col("c_name").alias("alias"), (F.col("c_custkey") + 1000000).cast("string").alias("code"))
+    s = read(spark, d, "supplier")
+    g = s.select((F.col("s_suppkey") + 10000000000000).alias("id"), F.col("s_name").alias("name"), F.concat(F.lit("ag"), F.col("s_suppkey").cast("string")).alias("acronym"), F.lit(True).alias("distributes"))
+    n, k = F.col("c_name"), F.floor(F.col("c_custkey") / 50)
+    kinds = [F.upper(n), F.concat(F.lit("no. "), (F.col("c_custkey") + 1000000).cast("string")), F.concat(F.lit("the "), F.lower(n), F.lit(" group")), F.concat(F.expr("substring(c_name, 10)"), F.lit(" ustomer")), F.concat(F.lit("AG"), k.cast("string")), F.concat(F.lit("ref "), (k + 10000000000000).cast("string"))]
+    t = c.where("c_custkey % 50 = 0").select(F.element_at(F.array(*kinds), (k % 6 + 1).cast("int")).alias("term"))
+    return entity.resolve(t, a, g).where("stage < 7").drop("similarity")
 
 
 @query("""WITH k(key, base) AS (VALUES ('cl', 1.0::DOUBLE), ('click', 2.0::DOUBLE), ('pur', 3.0::DOUBLE), ('view', 4.0::DOUBLE)),
