@@ -1,13 +1,9 @@
-"""Structured Streaming forms: usage rollups, request histograms, running balances, upserts, timeouts."""
+"""Structured Streaming forms that also work on tables: usage rollups, request histograms, sessions, upserts.  Keyed state is in ``state``."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 
 def usage_rollup(events: DataFrame, at: str = "ts", window: str = "1 hour", late: str = "10 minutes", keys: tuple[str, ...] = ("event_type",)) -> DataFrame:
@@ -31,39 +27,3 @@ def sessions(events: DataFrame, at: str = "ts", gap: str = "30 minutes", late: s
 def unique_messages(stream: DataFrame, keys: list[str], at: str = "ts", late: str = "1 hour") -> DataFrame:
     """The first row of each key."""
     return stream.withWatermark(at, late).dropDuplicatesWithinWatermark(keys) if stream.isStreaming else stream.dropDuplicates(keys)
-
-
-def running_balance(events: DataFrame, refill: float, every_s: float, at: str = "ts", key: str = "user_id", amount: str = "value", late: str = "10 minutes") -> DataFrame:
-    """Balance per key with floor 0; when a spend would reach 0 and the interval has passed, it is refilled first.
-
-    Event time is the clock; events of a micro-batch are taken in time order.
-    """
-
-    def step(k: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        balance, last = state.get if state.exists else (refill, float("-inf"))
-        out = []
-        for f in frames:
-            f = f.sort_values(at, kind="stable")
-            for t, x in zip(f[at], f[amount], strict=True):
-                s = t.timestamp()
-                if balance + x <= 0 and s - last >= every_s:
-                    balance, last = balance + refill, s
-                balance = max(0.0, balance + float(x))
-                out.append((k[0], t, balance))
-        state.update((balance, last))
-        yield pd.DataFrame(out, columns=[key, at, "balance"])
-
-    e = events.withWatermark(at, late)
-    return e.groupBy(key).applyInPandasWithState(step, f"{key} long, {at} timestamp, balance double", "balance double, last double", "append", GroupStateTimeout.NoTimeout)
-
-
-def overdue(events: DataFrame, key: str, at: str = "ts", status: str = "status", after: str = "5 minutes", late: str = "1 minute") -> DataFrame:
-    """Keys whose session of pending rows has ended without another status."""
-    e = events.withWatermark(at, late) if events.isStreaming else events
-    g = e.groupBy(F.session_window(at, after), key).agg(F.bool_and(F.col(status) == "pending").alias("stuck"), F.max(at).alias("last"))
-    return g.where("stuck").select(key, "last")
-
-
-def publish_batches(stream: DataFrame, path: str, checkpoint: str):
-    """All that is available now, in files, resumable from the checkpoint."""
-    return stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
