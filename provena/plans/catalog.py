@@ -181,7 +181,7 @@ SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY round
 def bm25_search(spark, d):
     """BM25 with every document whose id is divisible by 50 as a query, against all (T4, T5)."""
     q = read(spark, d, "documents").where("doc_id % 50 = 0").select(F.col("doc_id").alias("query_id"), F.col("text").alias("query"))
-    return _round(search.ranked(search.bm25(read(spark, d, "documents"), q), "bm25", "doc_id", 20), "bm25", digits=5).withColumn("pos", F.col("pos").cast("long"))
+    return _round(search.ranked(search.bm25(read(spark, d, "documents"), q, k=20), "bm25", "doc_id", 20), "bm25", digits=5).withColumn("pos", F.col("pos").cast("long"))
 
 
 @query("""WITH q AS (SELECT vec_id AS query_id, embedding AS e FROM embeddings WHERE vec_id % 50 = 0),
