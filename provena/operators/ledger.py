@@ -99,15 +99,6 @@ def since_message(messages: DataFrame, message_id) -> DataFrame:
     return messages.join(F.broadcast(p), "conv_id").where("at > _at").drop("_at")  # one row
 
 
-def purge_prefix(chain: DataFrame, key: str, seq: str, at: str, cut: Column) -> tuple[DataFrame, DataFrame]:
-    """(rows kept, checkpoint per chain): what precedes the first row at or after the cut goes."""
-    first = chain.where(F.col(at) >= cut).groupBy(key).agg(F.min(seq).alias("_first"))
-    j = chain.join(first, key, "left")
-    kept = j.where(F.col("_first").isNotNull() & (F.col(seq) >= F.col("_first"))).drop("_first")
-    gone = j.where(F.col("_first").isNull() | (F.col(seq) < F.col("_first"))).groupBy(key).agg(F.max(seq).alias("last_purged"), F.max_by("hash", seq).alias("hash"))
-    return kept, gone
-
-
 def shared_view(messages: DataFrame, salt: str, columns: list[str]) -> DataFrame:
     """Allow-listed columns with pseudonymous ids; parents follow their messages."""
     p = lambda c: F.when(F.col(c).isNotNull(), F.substring(F.sha2(F.concat(F.lit(salt), F.col(c).cast("string")), 256), 1, 21))

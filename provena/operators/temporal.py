@@ -100,14 +100,3 @@ def floored_balance(df: DataFrame, keys: list[str], order: list[str], amount: st
     w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     s = df.withColumn("_s", F.sum(amount).over(w) + opening)
     return s.withColumn("balance", F.col("_s") - F.least(F.lit(0.0), F.min("_s").over(w))).drop("_s")
-
-
-def chain_verdict(df: DataFrame, chain: str, seq: str, prev_hash: str, own_hash: str, expected: Column, genesis: str) -> DataFrame:
-    """The first fault of every hash chain: gap, broken link, wrong hash or bad genesis; null if sound."""
-    w = Window.partitionBy(chain).orderBy(seq)
-    first = F.row_number().over(w) == 1
-    fault = (
-        F.when(first & (F.col(prev_hash) != genesis), "genesis").when(~first & (F.col(seq) != F.lag(seq).over(w) + 1), "gap")
-        .when(~first & (F.col(prev_hash) != F.lag(own_hash).over(w)), "link").when(F.col(own_hash) != expected, "hash")
-    )
-    return df.withColumn("_f", fault).groupBy(chain).agg(F.count("*").alias("n"), F.min(F.when(F.col("_f").isNotNull(), F.struct(F.col(seq).alias("seq"), F.col("_f").alias("fault")))).alias("m")).select(chain, "n", F.col("m.seq").alias("bad_seq"), F.col("m.fault").alias("fault"))

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from provena.functions import norm as N
-from provena.operators import company, entity, facts, graph, knowledge, ledger, panel, reconcile, search, temporal, timeline
+from provena.operators import chains, company, entity, facts, graph, knowledge, ledger, panel, reconcile, search, temporal, timeline
 from provena.operators import measures as M
 from provena.sources.io import read
 from provena.streaming import ops as streaming
@@ -145,15 +145,53 @@ def strictly_increasing(spark, d):
     return temporal.strictly_increasing(e, ["user_id"], ["event_id"], "t")
 
 
-@query("""WITH e AS (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS seq, sha256(CAST(event_id AS VARCHAR)) AS hash FROM events),
-c AS (SELECT *, CASE WHEN seq = 1 THEN 'genesis' WHEN seq = 5 AND user_id % 2 = 0 THEN 'x' ELSE lag(hash) OVER (PARTITION BY user_id ORDER BY seq) END AS prev_hash FROM e)
-SELECT user_id, count(*) AS n, min(CASE WHEN prev_hash = 'x' THEN seq END) AS bad_seq, min(CASE WHEN prev_hash = 'x' THEN 'link' END) AS fault FROM c GROUP BY 1""")
-def audit_chain(spark, d):
-    """Hash chains with a planted broken link."""
+
+def _chain_json(prev: str, value: str = "v", e: str = "") -> str:
+    """SQL of an audit row's canonical JSON."""
+    at = f"strftime({e}ts, '%Y-%m-%dT%H:%M:%S.%gZ')"
+    return f"""'{{"action":"' || {e}event_type || '","actor":{{"id":' || {e}user_id || ',"type":"user"}},"at":"' || {at} || '","metadata":{{"n":' || {e}event_id || '}},"prev_hash":"' || {prev} || '","seq":' || {e}seq || ',"value":' || {e}{value} || '}}'"""
+
+
+_CHAIN = f"""RECURSIVE e AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS seq, CAST(CAST(floor(value * 8) AS BIGINT) AS VARCHAR) AS v FROM events),
+w AS (SELECT e.*, repeat('0', 64) AS prev_hash, sha256({_chain_json("repeat('0', 64)")}) AS hash FROM e WHERE seq = 1
+  UNION ALL SELECT e.*, w.hash, sha256({_chain_json("w.hash", e="e.")}) FROM w JOIN e ON e.user_id = w.user_id AND e.seq = w.seq + 1)"""
+
+
+def _chains(spark, d):
+    """Events as audit rows of one chain a user, and their hashes."""
     w = Window.partitionBy("user_id").orderBy("event_id")
-    e = read(spark, d, "events").select("user_id", "event_id", F.row_number().over(w).cast("long").alias("seq"), F.sha2(F.col("event_id").cast("string"), 256).alias("hash"))
-    prev = F.when(F.col("seq") == 1, "genesis").when((F.col("seq") == 5) & (F.col("user_id") % 2 == 0), "x").otherwise(F.lag("hash").over(w))
-    return temporal.chain_verdict(e.withColumn("prev_hash", prev), "user_id", "seq", "prev_hash", "hash", F.sha2(F.col("event_id").cast("string"), 256), "genesis")
+    e = read(spark, d, "events").select("user_id", F.row_number().over(w).cast("long").alias("seq"), F.col("event_type").alias("action"), F.struct(F.lit("user").alias("type"), F.col("user_id").alias("id")).alias("actor"), F.col("ts").cast("timestamp_ntz").alias("at"), F.create_map(F.lit("n"), F.col("event_id")).alias("metadata"), F.floor(F.col("value") * 8).cast("double").alias("value"))
+    columns = ["action", "actor", "at", "metadata", "seq", "value"]
+    return e.join(chains.linked(e, columns, "user_id", "seq", "0" * 64).withColumnRenamed("chain", "user_id"), ["user_id", "seq"]), columns
+
+
+@query(f"""WITH {_CHAIN},
+f AS (SELECT user_id, seq, CASE WHEN user_id % 7 = 2 AND seq = 7 THEN v || '1' ELSE v END AS v, CASE WHEN (user_id % 7 = 3 AND seq = 4) OR (user_id % 7 = 6 AND seq = 1) THEN 'x' ELSE prev_hash END AS prev_hash, hash, event_type, ts, event_id
+      FROM w WHERE NOT (user_id % 7 = 1 AND seq = 5) AND NOT (user_id % 7 IN (4, 5) AND seq < 3)),
+l AS (SELECT *, sha256({_chain_json("prev_hash")}) AS expected, lag(hash) OVER u AS before, lag(seq) OVER u AS last FROM f WINDOW u AS (PARTITION BY user_id ORDER BY seq)),
+b AS (SELECT user_id, seq, CASE WHEN last IS NULL AND seq = 1 AND prev_hash <> repeat('0', 64) THEN 'link' WHEN last IS NULL AND seq > 1 AND user_id % 7 = 4 THEN 'start' WHEN last IS NOT NULL AND seq <> last + 1 THEN 'gap' WHEN last IS NOT NULL AND prev_hash <> before THEN 'link' WHEN hash <> expected THEN 'hash' END AS fault, last FROM l)
+SELECT user_id AS chain, count(*) AS n, min(seq) AS first_seq, min(CASE WHEN fault = 'gap' THEN last + 1 WHEN fault IS NOT NULL THEN seq END) AS bad_seq, arg_min(fault, seq) FILTER (WHERE fault IS NOT NULL) AS fault FROM b GROUP BY 1""")
+def audit_chain(spark, d):
+    """Hash chains with planted gaps, altered rows, broken links, cut beginnings with and without a checkpoint and a false genesis; all hashes recomputed."""
+    e, columns = _chains(spark, d)
+    k = F.col("user_id") % 7
+    f = e.where(~((k == 1) & (F.col("seq") == 5)) & ~(k.isin(4, 5) & (F.col("seq") < 3)))
+    f = f.withColumn("value", F.when((k == 2) & (F.col("seq") == 7), F.col("value") * 10 + 1).otherwise(F.col("value")))
+    f = f.withColumn("prev_hash", F.when(((k == 3) & (F.col("seq") == 4)) | ((k == 6) & (F.col("seq") == 1)), "x").otherwise(F.col("prev_hash")))
+    points = e.where((k == 5) & (F.col("seq") == 2)).select(F.col("user_id").alias("chain"), F.col("seq").alias("through_seq"), "hash")
+    return chains.verified(f, columns, "user_id", "seq", "0" * 64, points)
+
+
+@query(f"""WITH {_CHAIN},
+c AS (SELECT user_id, min(seq) FILTER (WHERE ts >= TIMESTAMP '2024-01-15') AS first FROM w GROUP BY 1),
+g AS (SELECT w.user_id, CAST(count_if(first IS NULL OR seq < first) AS BIGINT) AS deleted, CAST(count_if(seq >= first) AS BIGINT) AS kept, any_value(first) - 1 AS through_seq, max(prev_hash) FILTER (WHERE seq = first) AS hash FROM w JOIN c USING (user_id) GROUP BY 1)
+SELECT user_id AS chain, kept, CASE WHEN deleted > 0 THEN deleted END AS deleted, CASE WHEN deleted > 0 THEN through_seq END AS through_seq, CASE WHEN deleted > 0 THEN hash END AS hash, NULL::VARCHAR AS fault FROM g WHERE kept > 0""")
+def purged_chains(spark, d):
+    """Chains whose old prefix goes: rows kept, checkpoints, and that the rest verifies with them (C11)."""
+    e, columns = _chains(spark, d)
+    left, gone = chains.purged(e, "user_id", "seq", "at", F.lit("2024-01-15").cast("timestamp_ntz"))
+    v = chains.verified(left, columns, "user_id", "seq", "0" * 64, gone.select("chain", "through_seq", "hash"))
+    return v.select("chain", F.col("n").alias("kept"), "fault").join(gone, "chain", "left")
 
 
 @query("SELECT p_partkey, lower(strip_accents(p_name)) AS folded, regexp_matches(' ' || lower(p_name) || ' ', '[^a-z0-9]' || lower(split_part(p_type, ' ', 1)) || '[^a-z0-9]') AS word, CASE WHEN lower(p_name) = 'part' THEN 100 WHEN starts_with(lower(p_name), 'part') THEN 80 WHEN contains(lower(p_name), 'part') THEN 50 ELSE 10 END AS relevance FROM part")

@@ -215,14 +215,6 @@ def retained_events(spark, d):
     return e.select("event_id", ledger.visible(F.col("expires"), temporary, F.lit("2024-01-20").cast("timestamp_ntz")).alias("visible"))
 
 
-@query("""WITH c AS (SELECT user_id AS chain, event_id AS seq, ts, 'h' || event_id AS hash FROM events), f AS (SELECT chain, min(seq) AS lo FROM c WHERE ts >= TIMESTAMP '2024-01-15' GROUP BY 1)
-SELECT c.chain, max(seq) AS last_purged, max_by(hash, seq) AS hash FROM c LEFT JOIN f USING (chain) WHERE lo IS NULL OR seq < lo GROUP BY 1""")
-def purged_chains(spark, d):
-    """Checkpoints of chains whose old prefix goes (C11)."""
-    c = read(spark, d, "events").select(F.col("user_id").alias("chain"), F.col("event_id").alias("seq"), F.col("ts").cast("timestamp_ntz").alias("at"), F.concat(F.lit("h"), "event_id").alias("hash"))
-    return ledger.purge_prefix(c, "chain", "seq", "at", F.lit("2024-01-15").cast("timestamp_ntz"))[1]
-
-
 @query("""SELECT event_id, token_type, raw, round(CASE WHEN token_type = 'completion' AND event_id % 4 = 0 THEN ceil(raw * 2.5 * 1.15) ELSE raw * 2.5 END, 4) AS value, CASE WHEN event_id % 2 = 0 THEN input_tokens ELSE greatest(0, input_tokens - 30 - 20) END AS uncached
 FROM (SELECT event_id, event_id % 97 AS input_tokens, unnest([{'token_type': 'prompt', 'raw': event_id % 97}, {'token_type': 'completion', 'raw': event_id % 31}], recursive := true) FROM events) WHERE raw > 0""")
 def ledger_entries(spark, d):
