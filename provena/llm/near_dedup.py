@@ -39,7 +39,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import OWN, carried, components, read, restored, staged, table_input
+from .common import OWN, carried, components, join_hot, read, restored, staged, table_input
 from .words import U64, Batches, WordHasher, Windows, lower_space_words, mix, per_batch, pressed, released, signed, utf8
 
 SHINGLE, THRESHOLD, BANDS, ROWS = 5, 0.8, 20, 4
@@ -338,10 +338,10 @@ def near_duplicate_classes(docs: DataFrame, threshold: float = THRESHOLD, bands:
     """``(doc_id, class_id)``, one row per row of ``docs``; class_id is the class's smallest doc_id."""
     docs = table_input(docs, "doc_id", "text")
     sketch = staged(docs.mapInArrow(_sketch(bands, rows), "doc_id long, content binary, bands array<long>"), "sketches")
-    first = staged(sketch.groupBy("content").agg(F.min(F.struct("doc_id", "bands")).alias("m")).select("content", "m.*"), "distinct")
+    first = staged(sketch.groupBy("content").agg(F.min(F.struct("doc_id", "bands")).alias("m"), F.count("*").alias("n")).select("content", "m.*", "n"), "distinct")
     bucket = first.select(F.explode("bands").alias("key"), F.col("doc_id").alias("node"))
-    lead = bucket.groupBy("key").agg(F.min("node").alias("leader"), F.count("*").alias("n")).where("n > 1").select("key", "leader")
-    member = staged(bucket.join(lead, "key").where("node <> leader"), "members")
+    lead = bucket.groupBy("key").agg(F.min("node").alias("leader"), F.count("*").alias("n")).where("n > 1")
+    member = staged(join_hot(bucket, lead, ["key"], first.count() * bands).where("node <> leader"), "members")
     tried = staged(member.select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct(), "pairs")
     comp = staged(components(staged(verified(tried, docs, threshold), "links")), "components")
 
@@ -363,17 +363,30 @@ def near_duplicate_classes(docs: DataFrame, threshold: float = THRESHOLD, bands:
         rest = unresolved.select("key", "node").join(leaders, ["key", "node"], "left_anti")
         unresolved, most = _unresolved(labelled(rest, "node", "c")), most * 8
     # every document: its content's first document, and that one's component
-    rep = sketch.select("doc_id", "content").join(first.select("content", F.col("doc_id").alias("first")), "content")
+    rep = join_hot(sketch.select("doc_id", "content"), first.select("content", F.col("doc_id").alias("first"), "n"), ["content"], sketch.count())
     own = labelled(rep, "first", "class_id").groupBy("doc_id").agg(F.min("class_id").alias("class_id"))
     out = docs.select("doc_id").join(own, "doc_id", "left")
     return out.select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"))
 
 
 def one_of_each(docs: DataFrame, **options) -> DataFrame:
-    """The first document of every class (of rows that repeat its id the one of the smallest text); rows with a null doc_id stay."""
-    keep = near_duplicate_classes(docs, **options).where("doc_id = class_id").select("doc_id").distinct()
-    own = carried(docs, "doc_id", "text").join(keep, "doc_id", "left_semi")
-    kept = own.groupBy("doc_id").agg(F.min_by(F.struct("text", OWN), F.coalesce("text", F.lit(""))).alias("row")).select("doc_id", "row.*")
+    """One row of every class: that of the smallest doc_id.  Texts are what is classed, so unlike texts that share a doc_id
+    are looked at one by one and none is lost with another; of rows alike in doc_id and text one stays.  Rows with a null doc_id all stay.
+    """
+    rows, h = carried(docs.where("doc_id is not null"), "doc_id", "text"), F.xxhash64("text")
+    # doc_ids with unlike texts: all texts but the first get an id of their own
+    several = rows.groupBy("doc_id").agg(F.min(h).alias("lo"), F.max(h).alias("hi")).where("lo <> hi")
+    several = staged(several.select("doc_id", "lo"), "several")
+    alike = several.isEmpty()
+    node = F.col("doc_id") if alike else F.when(F.col("lo").isNull() | (h == F.col("lo")), F.col("doc_id")).otherwise(F.xxhash64("doc_id", "text"))
+    rows = (rows if alike else rows.join(several, "doc_id", "left")).withColumn("node", node).select("node", "doc_id", "text", OWN)
+    classes = near_duplicate_classes(rows.select(F.col("node").alias("doc_id"), "text"), **options)
+    if alike:
+        keep = classes.where("doc_id = class_id").select(F.col("doc_id").alias("node")).distinct()
+    else:
+        each = rows.select("node", F.col("doc_id").alias("own")).distinct().join(classes.select(F.col("doc_id").alias("node"), "class_id").distinct(), "node")
+        keep = each.groupBy("class_id").agg(F.min(F.struct("own", F.col("node") != F.col("own"), "node")).alias("first")).select("first.node")
+    kept = rows.join(keep, "node", "left_semi").groupBy("node").agg(F.first(F.struct("doc_id", "text", OWN)).alias("row")).select("row.*")
     return restored(kept, docs, "doc_id", "text").unionByName(docs.where("doc_id is null"))
 
 

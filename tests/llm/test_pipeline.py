@@ -67,7 +67,11 @@ def test_stages_keep_columns_of_any_name(spark, tables):
 def test_stages_keep_repeated_and_null_ids(spark, tables):
     rows = [(1, "one two three four five six"), (1, "another text of the same id"), (None, "x y"), (None, None), (2, "one two three four five six")]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    assert sorted((r.doc_id or 0, r.text or "") for r in near_dedup.one_of_each(docs).collect()) == [(0, ""), (0, "x y"), (1, "another text of the same id")]
+    assert sorted((r.doc_id or 0, r.text or "") for r in near_dedup.one_of_each(docs).collect()) == [(0, ""), (0, "x y"), (1, "another text of the same id"), (1, "one two three four five six")]
+    # a near copy under an id that also has another text: the class keeps its smallest id, the other text stays
+    words = prose(77, 60).split()
+    many = spark.createDataFrame([(5, " ".join(words)), (5, "unlike " + prose(78, 60)), (9, " ".join(words[:-1])), (5, " ".join(words)), (9, prose(79, 60))], "doc_id long, text string")
+    assert sorted((r.doc_id, r.text[:6]) for r in near_dedup.one_of_each(many).collect()) == sorted([(5, words[0]), (5, "unlike"), (9, prose(79, 60)[:6])])
     bench = spark.read.parquet(f"{tables}/benchmark.parquet")
     assert decontaminate.clean(docs, bench).count() == substring_dedup.clean(docs).count() == 5
     assert toxicity.reject_toxic(docs, spark.read.parquet(f"{tables}/labels.parquet")).count() == 5
