@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def longest_key(items: DataFrame, keys: DataFrame, model: str = "model", key: str = "key") -> DataFrame:
@@ -99,16 +100,25 @@ def since_message(messages: DataFrame, message_id) -> DataFrame:
     return messages.join(F.broadcast(p), "conv_id").where("at > _at").drop("_at")  # one row
 
 
-def shared_view(messages: DataFrame, salt: str, columns: list[str]) -> DataFrame:
-    """Allow-listed columns with pseudonymous ids; parents follow their messages."""
-    p = lambda c: F.when(F.col(c).isNotNull(), F.substring(F.sha2(F.concat(F.lit(salt), F.col(c).cast("string")), 256), 1, 21))
-    return messages.select(p("message_id").alias("message_id"), p("parent_id").alias("parent_id"), *columns)
-
-
-def imported(chat_json: DataFrame, column: str = "json") -> DataFrame:
-    """Exports with a ``mapping`` object -> (conversation, node, parent, role, text); empty texts are left out."""
-    schema = "title string, mapping map<string, struct<id:string, parent:string, message:struct<author:struct<role:string>, content:struct<parts:array<string>>>>>"
-    c = chat_json.select(F.from_json(column, schema).alias("c")).where("c is not null")
-    m = c.select(F.col("c.title").alias("conversation"), F.explode(F.map_entries("c.mapping")).alias("e")).select("conversation", "e.value.*")
-    out = m.select("conversation", F.col("id").alias("node"), "parent", F.col("message.author.role").alias("role"), F.array_join("message.content.parts", "\n").alias("text"))
-    return out.where(F.length("text") > 0)
+def without_fields(kind: T.DataType, value: Column, names: set[str]) -> Column:
+    """A value without the named fields, at any depth of structs, arrays and maps; a struct that is left with no field becomes null."""
+    if isinstance(kind, T.StructType):
+        parts = [without_fields(f.dataType, value[f.name], names).alias(f.name) for f in kind.fields if f.name not in names]
+        return F.when(value.isNotNull(), F.struct(*parts)) if parts else F.lit(None).cast("string")
+    if isinstance(kind, T.ArrayType):
+        return F.transform(value, lambda x: without_fields(kind.elementType, x, names))
+    if isinstance(kind, T.MapType):
+        clean = F.map_filter(value, lambda k, _: ~k.isin(*names)) if isinstance(kind.keyType, T.StringType) else value
+        return F.transform_values(clean, lambda _, x: without_fields(kind.valueType, x, names))
+    return value
+
+
+def shared_view(messages: DataFrame, salt: str, columns: list[str], secret: tuple[str, ...] = (), root: str | None = None) -> DataFrame:
+    """Allow-listed columns with pseudonymous ids; parents follow their messages, and ``root`` (the parent of a first message) stays as it is.
+
+    Fields named in ``secret`` are dropped from the allowed columns at any depth.
+    """
+    new = lambda c: F.concat(F.lit("msg_"), F.substring(F.sha2(F.concat(F.lit(salt), F.col(c).cast("string")), 256), 1, 21))
+    p = lambda c: F.when(F.col(c).isNotNull(), F.when(F.col(c).cast("string").eqNullSafe(F.lit(root)), F.col(c).cast("string")).otherwise(new(c)))
+    clean = [without_fields(messages.schema[c].dataType, F.col(c), set(secret)).alias(c) for c in columns if c not in secret]
+    return messages.select(p("message_id").alias("message_id"), p("parent_id").alias("parent_id"), *clean)
