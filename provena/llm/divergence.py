@@ -28,7 +28,7 @@ from .common import read, staged
 from .words import Batches
 
 LEAST_DOCS, SMOOTHING, SCALE, TOP = 30, 5, 1_000_000_000, 50
-SLICE_BYTES, CELLS = 16 << 20, 1 << 18
+SLICE_BYTES, CELLS = 16 << 20, 1 << 15
 
 #: For the term rule [^\x00-\x40\x5B-\x60\x7B-\x7F]+ after lower-casing A-Z: every other byte becomes zero.
 _LOWER = np.array([c + 32 if 0x41 <= c <= 0x5A else c if 0x61 <= c <= 0x7A or c >= 0x80 else 0 for c in range(256)], np.uint8)
