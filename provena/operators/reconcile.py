@@ -105,3 +105,16 @@ def names_and_more(names: Column, n: int) -> Column:
     d = F.array_distinct(names)
     head = F.array_join(F.slice(d, 1, n), ", ")
     return F.when(F.size(d) > n, F.concat(head, F.lit(" and "), (F.size(d) - n).cast("string"), F.lit(" more"))).otherwise(head)
+
+
+def sample(df: DataFrame, n: int, ident: str, groups: tuple[str, ...] = (), seed: str = "0") -> DataFrame:
+    """Exactly ``n`` rows (all, if fewer), of each group where groups are named: those of least seeded hash of the id, then of least id.
+
+    The same rows come out however the table is partitioned, and a larger ``n`` only adds rows.  Each task passes on at
+    most ``n`` rows a group.  Rows without an id come last.
+    """
+    order = [F.md5(F.concat(F.lit(f"{seed}|"), F.col(ident).cast("string"))).asc_nulls_last(), F.col(ident).asc_nulls_last()]
+    if not groups:
+        return df.orderBy(*order).limit(n)
+    w = Window.partitionBy(*groups).orderBy(*order)
+    return df.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= n).drop("_rn")
