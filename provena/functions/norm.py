@@ -150,7 +150,7 @@ def clean_text(x: Column | str) -> Column:
 def title_parts(x: Column | str) -> Column:
     """'name (dd/mm/yyyy): subject' -> struct(date, subject)."""
     v = _c(x)
-    return F.struct(F.try_to_date(F.regexp_extract(v, r"\((\d{2}/\d{2}/\d{4})\)", 1), F.lit("dd/MM/yyyy")).alias("date"), F.trim(F.regexp_extract(v, r"\):\s*(.*)$", 1)).alias("subject"))
+    return F.struct(F.try_to_date(F.regexp_extract(v, r"\((\d{2}/\d{2}/\d{4})\)", 1), "dd/MM/yyyy").alias("date"), F.trim(F.regexp_extract(v, r"\):\s*(.*)$", 1)).alias("subject"))
 
 
 def first_url(x: Column | str) -> Column:

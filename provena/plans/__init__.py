@@ -1,4 +1,4 @@
 """The registered queries and their SQL."""
 
-from . import cards, catalog, details  # noqa: F401 - they register their queries
+from . import cards, catalog, details, proofs  # noqa: F401 - they register their queries
 from .registry import QUERIES  # noqa: F401

@@ -19,7 +19,7 @@ regexp_replace(lpad(regexp_replace(s_name, '\\D', '', 'g'), 14, '0'), '^(\\d{2})
 contains(lower(s_name), '#00000001') OR regexp_replace(s_name, '\\D', '', 'g') = '00000001' AS matched, s_acctbal BETWEEN 0 AND 5000 AND s_nationkey IN (1, 2, 3) AS chosen,
 contains(lower(s_name), 'supplier') AND contains(lower(s_name), '7') AS words FROM supplier""")
 def identities(spark, d):
-    """Ids from free text, entity match, optional ranges and sets, all words."""
+    """Ids from free text, entity match, optional ranges and sets, all words."""
     return read(spark, d, "supplier").select(
         "s_suppkey", N.digits("s_name").alias("digits"), N.padded_id("s_name").alias("padded"), N.formatted_id("s_name").alias("formatted"), N.matches_entity("s_name", "s_name", "#00000001").alias("matched"),
         (N.between("s_acctbal", 0, 5000) & N.one_of("s_nationkey", [1, 2, 3])).alias("chosen"), N.all_words("s_name", "supplier 7").alias("words"),
@@ -30,7 +30,7 @@ def identities(spark, d):
 CASE WHEN o_orderstatus = 'F' THEN 'saldo' WHEN month(o_orderdate) = 1 AND day(o_orderdate) = 1 THEN 'acumulado' ELSE 'trimestre' END AS kind, CASE WHEN o_orderkey % 5 <> 0 THEN o_totalprice END AS value,
 CASE WHEN o_orderstatus = 'F' THEN 'operating' WHEN o_orderstatus = 'O' THEN 'planned' ELSE 'unknown' END AS status, o_orderdate + to_months(CAST(o_orderkey % 14 AS INTEGER)) AS later FROM orders""")
 def amounts(spark, d):
-    """Scaled amounts, quarter labels, period kinds, finite values, status, interval arithmetic."""
+    """Scaled amounts, quarter labels, period kinds, finite values, status, interval arithmetic."""
     o = read(spark, d, "orders").withColumn("o_orderdate", F.col("o_orderdate").cast("timestamp"))
     return o.select(
         "o_orderkey", F.round(N.scaled_amount(F.col("o_totalprice").cast("string"), F.when(F.col("o_orderkey") % 2 == 0, " mil ").otherwise("UNIDADE")), 2).alias("amount"), N.quarter_label("o_orderdate").alias("label"),
@@ -42,7 +42,7 @@ def amounts(spark, d):
 @query("""SELECT c_custkey, c_mktsegment, rank() OVER (PARTITION BY c_mktsegment ORDER BY c_acctbal NULLS LAST) AS rank, count(*) OVER (PARTITION BY c_mktsegment) AS class_size,
 round(2 * (c_acctbal - avg(c_acctbal) OVER ()) / stddev_pop(c_acctbal) OVER (), 5) AS score FROM customer""")
 def customer_scores(spark, d):
-    """Ranks in a class with its size, and weighted z-scores."""
+    """Ranks in a class with its size, and weighted z-scores (L24, part of L21)."""
     c = read(spark, d, "customer").select("c_custkey", "c_mktsegment", "c_acctbal")
     out = M.z_scores(M.rank_in_class(c, "c_mktsegment", "c_acctbal"), {"c_acctbal": 2.0})
     return _round(out, "score", digits=5).select("c_custkey", "c_mktsegment", F.col("rank").cast("long"), "class_size", "score")
@@ -58,14 +58,14 @@ def line_provenance(spark, d):
 
 @query("""SELECT o_custkey, max(CASE WHEN o_orderpriority = '1-URGENT' THEN o_totalprice END) AS urgent, max(CASE WHEN o_orderpriority = '5-LOW' THEN o_totalprice END) AS low FROM orders WHERE o_orderpriority IN ('1-URGENT', '5-LOW') GROUP BY 1""")
 def account_pivot(spark, d):
-    """Codes as columns."""
+    """Codes as columns."""
     o = read(spark, d, "orders").select("o_custkey", "o_orderpriority", "o_totalprice")
     return M.pivot_accounts(o, ["o_custkey"], "o_orderpriority", "o_totalprice", {"1-URGENT": "urgent", "5-LOW": "low"})
 
 
 @query("""SELECT user_id, count(*) AS n, round(sum(value), 2) AS value, round(CASE WHEN bool_and(event_type <> 'error') THEN sum(value * 2) END, 2) AS cost FROM events GROUP BY 1""")
 def cost_rollup(spark, d):
-    """Sums whose cost is null where any row lacks one."""
+    """Sums whose cost is null where any row lacks one."""
     e = read(spark, d, "events").select("user_id", "value", F.when(F.col("event_type") != "error", F.col("value") * 2).alias("cost"))
     return _round(M.priced_rollup(e, ["user_id"], "value", "cost"), "value", "cost", digits=2)
 
@@ -130,7 +130,7 @@ def moved_files(spark, d):
 
 @query("SELECT min(doc_id) AS doc_id, any_value(n_chars) AS n_chars FROM documents WHERE text IS NOT NULL GROUP BY text")
 def exact_copies(spark, d):
-    """One document of equal texts; only those that share a length are hashed."""
+    """One document of equal texts; only those that share a length are hashed."""
     t = read(spark, d, "documents").where("text is not null").select("doc_id", "n_chars", "text")
     return reconcile.exact_copies(t, "n_chars", "text", [F.asc("doc_id")]).select("doc_id", "n_chars")
 
@@ -184,7 +184,7 @@ def permitted_resources(spark, d):
 @query("""WITH b AS (SELECT tag, count(*) AS n FROM (SELECT DISTINCT o_orderkey, o_orderpriority AS tag FROM orders) GROUP BY 1), a AS (SELECT tag, count(*) AS n FROM (SELECT DISTINCT o_orderkey, unnest([o_orderstatus, o_orderpriority]) AS tag FROM orders WHERE o_orderkey % 2 = 0) GROUP BY 1),
 c AS (SELECT o_orderpriority AS tag, count(*) AS n FROM orders WHERE o_orderkey % 3 > 0 GROUP BY 1) SELECT tag, greatest(0, coalesce(c.n, 0) + coalesce(a.n, 0) - coalesce(b.n, 0)) AS n FROM c FULL JOIN a USING (tag) FULL JOIN b USING (tag)""")
 def tag_totals(spark, d):
-    """Tag counts after a change of tags, never under zero."""
+    """Tag counts after a change of tags, never under zero."""
     o = read(spark, d, "orders")
     before, after = o.select(F.array("o_orderpriority").alias("tags")), o.where("o_orderkey % 2 = 0").select(F.array("o_orderstatus", "o_orderpriority").alias("tags"))
     counts = o.where("o_orderkey % 3 > 0").groupBy(F.col("o_orderpriority").alias("tag")).agg(F.count("*").alias("n"))
@@ -193,7 +193,7 @@ def tag_totals(spark, d):
 
 @query("""WITH m AS (SELECT conv_id % 50 AS "user", conv_id, turn FROM conversations) SELECT "user", count(DISTINCT conv_id) AS conversations, count(*) AS messages FROM m GROUP BY 1""")
 def user_activity(spark, d):
-    """Conversations and messages of each user."""
+    """Conversations and messages of each user."""
     m = read(spark, d, "conversations").select((F.col("conv_id") % 50).alias("user"), "conv_id")
     return ledger.activity(m.select("user"), m.distinct(), m)
 
@@ -201,7 +201,7 @@ def user_activity(spark, d):
 @query("""WITH m AS (SELECT conv_id AS "user", role || '-' || turn AS key, length(coalesce(text, '')) AS tokens FROM conversations)
 SELECT "user", string_agg(i || '. ' || key || ': ' || tokens, chr(10) ORDER BY i) AS digest, CAST(sum(tokens) AS BIGINT) AS tokens FROM (SELECT *, row_number() OVER (PARTITION BY "user" ORDER BY key) AS i FROM m) GROUP BY 1""")
 def memory_digest(spark, d):
-    """Numbered digest of a user's memories and their tokens."""
+    """Numbered digest of a user's memories and their tokens."""
     c = read(spark, d, "conversations").select(F.col("conv_id").alias("user"), F.concat_ws("-", "role", F.col("turn").cast("string")).alias("key"), F.length(F.coalesce("text", F.lit(""))).alias("tokens"))
     return ledger.digest(c.withColumn("value", F.col("tokens").cast("string")))
 
@@ -209,7 +209,7 @@ def memory_digest(spark, d):
 @query("""WITH e AS (SELECT event_id, CASE WHEN event_id % 3 > 0 THEN ts + to_days(CAST(event_id % 40 AS INTEGER)) END AS expires, CASE WHEN event_id % 7 = 0 THEN NULL ELSE event_id % 5 = 0 END AS temporary FROM events)
 SELECT event_id, CASE WHEN temporary THEN FALSE WHEN temporary IS NULL THEN expires IS NULL ELSE expires IS NULL OR expires > TIMESTAMP '2024-01-20' END AS visible FROM e""")
 def retained_events(spark, d):
-    """What retention shows."""
+    """What retention shows."""
     e = read(spark, d, "events").withColumn("expires", F.when(F.col("event_id") % 3 > 0, F.col("ts").cast("timestamp_ntz") + F.make_dt_interval((F.col("event_id") % 40).cast("int"))))
     temporary = F.when(F.col("event_id") % 7 == 0, None).otherwise(F.col("event_id") % 5 == 0)
     return e.select("event_id", ledger.visible(F.col("expires"), temporary, F.lit("2024-01-20").cast("timestamp_ntz")).alias("visible"))
@@ -218,7 +218,7 @@ def retained_events(spark, d):
 @query("""SELECT event_id, token_type, raw, round(CASE WHEN token_type = 'completion' AND event_id % 4 = 0 THEN ceil(raw * 2.5 * 1.15) ELSE raw * 2.5 END, 4) AS value, CASE WHEN event_id % 2 = 0 THEN input_tokens ELSE greatest(0, input_tokens - 30 - 20) END AS uncached
 FROM (SELECT event_id, event_id % 97 AS input_tokens, unnest([{'token_type': 'prompt', 'raw': event_id % 97}, {'token_type': 'completion', 'raw': event_id % 31}], recursive := true) FROM events) WHERE raw > 0""")
 def ledger_entries(spark, d):
-    """Ledger rows of usage with values and the uncached input."""
+    """Ledger rows of usage with values and the uncached input."""
     e = read(spark, d, "events").select("event_id", (F.col("event_id") % 97).alias("input_tokens"), (F.col("event_id") % 31).alias("output_tokens"))
     e = e.withColumn("uncached", ledger.split_input(F.col("event_id") % 2 == 0, F.col("input_tokens"), F.lit(30).cast("long"), F.lit(20).cast("long")))
     r = ledger.ledger_rows(e)
@@ -252,7 +252,7 @@ def _emissions(spark, d):
 p AS (SELECT t.company, t.year, any_value(tco2e) AS tco2e, max(y) AS accounts_year FROM t LEFT JOIN a ON a.company = t.company AND y <= t.year GROUP BY t.company, t.year)
 SELECT company, year, tco2e, accounts_year, round(1e6 * tco2e / (accounts_year * 1000.0), 4) AS per_million FROM p""")
 def emission_intensity(spark, d):
-    """Largest confident figure by scope, market before location, per million of the latest revenue."""
+    """Largest confident figure by scope, market before location, per million of the latest revenue."""
     c = read(spark, d, "customer").where("c_custkey % 3 > 0").select(F.col("c_custkey").alias("company"), F.explode(F.array(F.lit(1993).cast("long"), F.lit(1996).cast("long"))).alias("year"))
     return _round(_round(company.intensity(_emissions(spark, d), c.withColumn("revenue", F.col("year") * 1000.0)), "tco2e", digits=2), "per_million").select("company", "year", "tco2e", "accounts_year", "per_million")
 
@@ -260,13 +260,13 @@ def emission_intensity(spark, d):
 @query(f"""WITH {_EMISSIONS}, x AS (SELECT company, year, tco2e, list_filter(['1', '2', '3'], lambda s: NOT list_contains(have, s)) AS missing FROM t QUALIFY row_number() OVER (PARTITION BY company ORDER BY len(missing) = 0 DESC, year DESC) = 1)
 SELECT company, year, array_to_string(missing, ',') AS missing, price, round(tco2e * price, 2) AS cost FROM x, (VALUES (0.0::DOUBLE), (50.0::DOUBLE), (100.0::DOUBLE)) p(price)""")
 def carbon_exposure(spark, d):
-    """Cost of emissions by price, for the newest edition with all scopes."""
+    """Cost of emissions by price, for the newest edition with all scopes."""
     a = read(spark, d, "customer").select(F.col("c_custkey").alias("company"), F.lit(1990).alias("year"), F.lit(1.0).alias("ebitda"))
     return _round(company.exposure(_emissions(spark, d), a, (0, 50, 100)), "cost", digits=2).select("company", "year", F.array_join("missing", ",").alias("missing"), "price", "cost")
 
 
 @query("""SELECT o_orderkey, round(o_totalprice * CASE o_orderstatus WHEN 'F' THEN 1000 WHEN 'O' THEN 1 END, 2) AS tonnes, CASE WHEN o_orderstatus NOT IN ('F', 'O') THEN 'unknown unit ' || o_orderstatus END AS error FROM orders""")
 def tonnes(spark, d):
-    """Units to tonnes, unknown ones as an error."""
+    """Units to tonnes, unknown ones as an error."""
     unit = F.when(F.col("o_orderstatus") == "F", " kt").when(F.col("o_orderstatus") == "O", "T").otherwise(F.col("o_orderstatus"))
     return _round(company.in_tonnes(read(spark, d, "orders").select("o_orderkey", F.col("o_totalprice").alias("value"), unit.alias("unit"))), "tonnes", digits=2).select("o_orderkey", "tonnes", "error")

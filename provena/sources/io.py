@@ -31,7 +31,7 @@ def tagged_union(spark: SparkSession, paths: list[str], pattern: str, names: lis
 def series_json(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """[{data: dd/mm/yyyy, valor: text}] -> (date, value), one row a date; of a repeated date the greatest value."""
     d = spark.read.schema("data string, valor string").json(path, multiLine=True)
-    d = d.select(F.try_to_date("data", F.lit("dd/MM/yyyy")).alias("date"), F.col("valor").try_cast("double").alias("value")).where("date is not null")
+    d = d.select(F.try_to_date("data", "dd/MM/yyyy").alias("date"), F.col("valor").try_cast("double").alias("value")).where("date is not null")
     return d.groupBy("date").agg(F.max("value").alias("value"))
 
 
