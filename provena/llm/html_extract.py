@@ -7,14 +7,15 @@ to the number of blocks are fused (length ratio x (1 + punctuation ratio)),
 smoothed over page order, and thresholded.  The element that holds most of
 the text above the threshold is the article; its blocks are kept in page order,
 headings and short paragraphs included, without those in menus, headers,
-footers, sidebars, notices, adverts, forms or reader comments.  Of several ``article`` elements
-all that hold at least a third of what the largest does are kept.
+footers, sidebars, notices, adverts, forms or reader comments.  ``article`` (else ``main``) elements are taken in its
+place where one of them holds at least a fifth of what passes; of several all are kept but teasers, which are under a
+third of the largest and have a linked heading or a single block.
 
 A class, id or role marks such a part only if it is no wrapper: an element with an ``article`` or ``main``
 inside or with over half of the page's unlinked text is none of them, nor is a label like ``no-ads`` or
 ``has-sidebar``; lists of related pages are told from sections on related matters by their links.
-A link ends at the next block, an anchor without a target is none; linked paragraphs
-and headings inside the article are kept, linked list entries are not.
+A link ends at the next block, an anchor without a target is none; linked paragraphs, headings, list entries and
+cells inside the article are kept, but for entries of a list of links where no ``article`` says that it belongs there.
 
 Unclosed and stray tags, comments, CDATA, raw-text elements (script, style ...),
 quoted ``>`` and pages cut off anywhere are handled.  A null, empty or textless
@@ -207,13 +208,8 @@ def _smooth(x: list[float], radius: int = 1) -> list[float]:
     return out
 
 
-def main_text(page: str | None, cut: float = 0.8) -> str:
-    """The article's text; ``cut`` scales the threshold (in standard deviations of the fused ratio)."""
-    found = blocks(page or "")
-    text = sum(len(b.text) - min(b.linked, len(b.text)) for b in found)
-    found = [b for b in found if not _outside(b.at, text)]
-    if not found:
-        return ""
+def path_scores(found: list[Block]) -> list[float]:
+    """The smoothed, fused tag-path ratio of every block: text length a block of its path, times one plus its punctuation marks a block."""
     paths: dict[str, list[float]] = {}
     for b in found:
         p = paths.setdefault(b.at.path, [0.0, 0.0, 0.0])
@@ -221,13 +217,39 @@ def main_text(page: str | None, cut: float = 0.8) -> str:
         p[1] += len(PUNCTUATION.findall(b.text))
         p[2] += 1
     fused = {k: (size / n) * (1 + marks / n) for k, (size, marks, n) in paths.items()}
-    smooth = _smooth([fused[b.at.path] for b in found])
-    mean = sum(smooth) / len(smooth)
-    deviation = math.sqrt(sum((x - mean) ** 2 for x in smooth) / len(smooth))
-    threshold = min(cut * deviation, max(smooth) * 0.5)
+    return _smooth([fused[b.at.path] for b in found])
+
+
+def _teasers(elements: list[Element], found: list[Block]) -> set[int]:
+    """Numbers of the elements whose first heading links elsewhere, or that have nothing but one block."""
+    held = {e.number: [0, None] for e in elements}
+    for b in found:
+        e = b.at
+        while e is not None:
+            if e.number in held:
+                mine = held[e.number]
+                mine[0] += 1
+                if mine[1] is None and b.at.name in ("h1", "h2", "h3", "h4", "h5", "h6"):
+                    mine[1] = b.linked >= len(b.text)
+            e = e.parent
+    return {n for n, (size, linked) in held.items() if size < 2 or linked}
+
+
+def main_text(page: str | None, cut: float = 0.8, trust: float = 0.2) -> str:
+    """The article's text; ``cut`` scales the threshold (in standard deviations of the fused ratio), ``trust`` is the share
+    of what passes it that ``article`` and ``main`` elements must hold to be believed."""
+    found = blocks(page or "")
+    text = sum(len(b.text) - min(b.linked, len(b.text)) for b in found)
+    found = [b for b in found if not _outside(b.at, text)]
+    if not found:
+        return ""
+    scores = path_scores(found)
+    mean = sum(scores) / len(scores)
+    deviation = math.sqrt(sum((x - mean) ** 2 for x in scores) / len(scores))
+    threshold = min(cut * deviation, max(scores) * 0.5)
     total = 0.0
     elements: dict[int, Element] = {}
-    for b, score in zip(found, smooth, strict=True):
+    for b, score in zip(found, scores, strict=True):
         b.score = score
         if score >= threshold and len(b.text) > b.linked:
             gain = (len(b.text) - b.linked) * (1 + len(PUNCTUATION.findall(b.text)) / (1 + len(b.text.split())))
@@ -240,10 +262,12 @@ def main_text(page: str | None, cut: float = 0.8) -> str:
     if not total:
         return " ".join(b.text for b in found if len(b.text) > b.linked)
     named = [e for e in elements.values() if e.name in ("article", "main") and e.size > 0]
-    if named:  # the page says where its articles are
-        inner = [e for e in named if e.name == "article"] or named
+    inner = [e for e in named if e.name == "article"] or named
+    tagged = inner and max(e.size for e in inner) >= trust * total
+    if tagged:  # the page says where its articles are, and what scores is there
         largest = max(e.size for e in inner)
-        best = {e.number for e in inner if 3 * e.size >= largest}
+        small = _teasers([e for e in inner if 3 * e.size < largest], found)
+        best = {e.number for e in inner} - small
     else:  # the deepest element with most of the text that is above the threshold
         one = max((e for e in elements.values() if e.size >= 0.6 * total), key=lambda e: (e.path.count("/"), e.size, -e.number))
         if one.name in KEPT | {"li"} and one.parent is not None:
@@ -254,7 +278,9 @@ def main_text(page: str | None, cut: float = 0.8) -> str:
         e = b.at
         while e is not None and e.number not in best:
             e = e.parent
-        if e is not None and (len(b.text) > b.linked or b.at.name in KEPT):
+        around = b.at.parent or b.at
+        entry = tagged or 2 * around.linked <= around.chars  # of a list or table that isn't one of links
+        if e is not None and (len(b.text) > b.linked or b.at.name in KEPT or entry):
             texts.append(b.text)
     return " ".join(texts)
 

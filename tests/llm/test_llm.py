@@ -12,7 +12,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from provena.llm import chat_format, decontaminate, language_model, near_dedup, packing, search, substring_dedup, token_scan, toxicity
+from provena.llm import chat_format, decontaminate, html_extract, language_model, near_dedup, packing, search, substring_dedup, token_scan, toxicity
 from provena.llm.html_extract import extract, main_text
 from provena.llm.tokens import WordEncoder, tokenizer, vocabulary_path
 
@@ -142,6 +142,41 @@ def test_html_keeps_whole_articles(page, times):
     assert main_text(page).count("A sentence") == 4 * times and "Other things" not in main_text(page)
 
 
+PROSE = "One of the long sentences, with commas, of the article: it goes on for a while, and then it ends. "
+
+
+def test_html_scores_choose_the_nodes(monkeypatch):
+    """Pages without semantic tags, or with one that is wrong: a constant score gives another text."""
+    lines = "".join(f"<div class=row>Item number {i} of the stock list</div>" for i in range(40))
+    body = "".join(f"<div class=para>{PROSE}{i}.</div>" for i in range(6))
+    want = " ".join(f"{PROSE}{i}." for i in range(6))
+    pages = {
+        "lines before": f"<body><div id=x>{lines}</div><div id=y>{body}</div></body>", "lines after": f"<body><div id=y>{body}</div><div id=x>{lines}</div></body>",
+        "wrong article": f"<body><article>{lines.replace('div', 'p')}</article><div id=y>{body}</div></body>",
+    }
+    assert {k: main_text(x) for k, x in pages.items()} == dict.fromkeys(pages, want)
+    monkeypatch.setattr(html_extract, "path_scores", lambda found: [1.0] * len(found))
+    assert all(main_text(x) != want for x in pages.values())
+
+
+def test_html_keeps_linked_entries_and_second_articles():
+    first = "".join(f"<p>{PROSE}</p>" for _ in range(9))
+    listed = "<ul><li><a href=/x>Linked item</a></li></ul><table><tr><td><a href=/y>Linked cell</a></td></tr></table>"
+    nine = " ".join([PROSE.strip()] * 9)
+    assert main_text(f"<body><article>{first}{listed}</article></body>") == nine + " Linked item Linked cell"
+    second = f"<article><h2>Second</h2><p>{PROSE}</p><p>Short end.</p></article>"
+    assert main_text(f"<body><article>{first}</article>{second}</body>") == f"{nine} Second {PROSE.strip()} Short end."
+    card = f"<article><h3><a href=/z>Elsewhere</a></h3><p>{PROSE}</p></article>"
+    assert main_text(f"<body><article>{first}</article>{card}</body>") == nine
+    menu = "<ul>" + "".join(f"<li><a href=/{i}>Topic {i}</a></li>" for i in range(5)) + "</ul>"
+    assert main_text(f"<body><div id=c>{menu}{first}<ul><li>Plain</li><li><a href=/q>Linked</a></li><li>Plain too</li></ul></div></body>").endswith("Plain Linked Plain too")
+    assert main_text(f"<body><div id=c>{menu}{first}</div></body>") == nine
+
+
+def test_html_of_a_very_long_page():
+    assert main_text(f"<body><div id=c>{''.join(f'<p>{PROSE}{i}</p>' for i in range(3000))}</div><div class=footer>x</div></body>").count("One of the long") == 3000
+
+
 def test_html_odd_markup():
     assert main_text('<article><p title="x>One, two; three. <p class="b">Four, five; six.</article>') == "One, two; three. Four, five; six."
     assert "All of it linked" in main_text(f"<article>{P}<p><a href=x>All of it linked</a></p>{P}</article>")
