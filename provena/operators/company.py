@@ -110,3 +110,19 @@ def chart_series(points: DataFrame, keys: list[str], value: str) -> DataFrame:
     """Series with at least two points and something other than zero."""
     w = Window.partitionBy(*keys)
     return points.withColumn("_n", F.count(value).over(w)).withColumn("_m", F.max(F.abs(value)).over(w)).where("_n >= 2 and _m > 0").drop("_n", "_m")
+
+
+#: The nine hybrid measures: name -> (numerator columns, of which the second is taken off where there are two with "-", denominator, factor).
+HYBRID = {
+    "revenue_carbon": ("scope1 + scope2_market", "revenue / 1e6", 1.0), "generation_carbon": ("scope1_generation", "generation_mwh", 1e3), "green_capex": ("capex_green", "capex_total", 100.0),
+    "return_on_green_capex": ("ebitda_transition - ebitda_transition_before", "capex_green_to_date", 100.0), "clean_capacity": ("kw_clean", "kw_total", 100.0), "sf6_leak": ("sf6_refilled_kg", "sf6_bank_kg", 100.0),
+    "distribution_loss": ("mwh_injected - mwh_billed", "mwh_injected", 100.0), "transition_research": ("research_transition", "revenue", 100.0), "green_debt": ("debt_green", "debt_short + debt_long", 100.0),
+}
+
+
+def hybrid_measures(wide: DataFrame) -> DataFrame:
+    """The nine hybrid measures of one row per company and year; a missing part or a zero base gives null.  Columns that a table lacks count as missing."""
+    have = wide
+    for c in sorted({w for up, down, _ in HYBRID.values() for w in f"{up} {down}".split() if w.isidentifier()} - set(wide.columns)):
+        have = have.withColumn(c, F.lit(None).cast("double"))
+    return have.select(*wide.columns, *[(f * F.expr(up).cast("double") / F.nullif(F.expr(down).cast("double"), F.lit(0.0))).alias(name) for name, (up, down, f) in HYBRID.items()])

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from provena.operators.kept import kept
+
 from .temporal import top_n
 
 
@@ -61,6 +63,23 @@ def listed(documents: DataFrame, keys: list[str], newest: str, ident: str, n: in
     return documents.groupBy(*keys).agg(F.count("*").alias("n")), documents.orderBy(F.desc_nulls_last(newest), ident).limit(n)
 
 
+def pages_read(asked: DataFrame, documents: DataFrame, pages: DataFrame, most: int = 12_000) -> DataFrame:
+    """``asked(file, page)`` with the document's ``title`` and number of ``pages``, the page's ``text`` (its first ``most`` characters) or an ``error``."""
+    d = documents.select("file", "title", F.col("pages").alias("total_pages"), F.lit(True).alias("_known"))
+    j = asked.join(d, "file", "left").join(pages.select("file", "page", F.substring("text", 1, most).alias("text"), F.lit(True).alias("_there")), ["file", "page"], "left")
+    wrong = F.when(F.col("_known").isNull(), F.concat(F.lit("no file "), F.coalesce("file", F.lit("?")))).when(F.col("_there").isNull(), F.concat(F.lit("the document has "), F.col("total_pages").cast("string"), F.lit(" pages")))
+    return j.select("file", "page", "title", "total_pages", "text", wrong.alias("error"))
+
+
+def numbered(documents: DataFrame, order: list[str], name: str = "id") -> DataFrame:
+    """Rows with dense numbers from 0 in the order of the columns (null first): ranges are numbered in their tasks and moved on by the sizes of the ranges before."""
+    sort = [F.col(c).asc_nulls_first() for c in order]
+    ranged = kept(documents.repartitionByRange(*sort).sortWithinPartitions(*sort).withColumn("_part", F.spark_partition_id()).withColumn("_row", F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)))
+    sizes = ranged.groupBy("_part").agg(F.count("*").alias("_n"))
+    before = sizes.select("_part", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))  # one row a range
+    return ranged.join(before, "_part").withColumn(name, F.col("_row") + F.col("_before")).drop("_part", "_row", "_before")
+
+
 def with_metadata(files: DataFrame, metadata: DataFrame, path: str = "path") -> DataFrame:
     """Files with their metadata and the area (first path segment); a file without metadata is an error when it is read."""
     j = files.join(metadata.withColumn("_known", F.lit(True)), path, "left")

@@ -6,8 +6,10 @@ import re
 from bisect import bisect_right
 from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from provena.functions.norm import fold
 
@@ -80,12 +82,22 @@ def chunks(pages: DataFrame, text: str = "text", size: int = 1200, overlap: int
     """
     squeezed = F.trim(F.regexp_replace(F.regexp_replace(F.col(text), r"[ \t]+", " "), r"\n{3,}", "\n\n"), F.lit(" \t\n\r\f\x0b"))
 
-    @F.udf("array<string>", useArrow=True)
-    def cut(s: str) -> list[str]:
-        pieces = (s[lo:hi].strip() for lo, hi in _spans(s, size, overlap))
-        return [x for x in pieces if len(x) >= least]
+    rest = [c for c in pages.columns if c not in (text, "pos", "chunk")]
 
-    return pages.withColumn("_t", squeezed).where(F.length("_t") >= least).select("*", F.posexplode(cut("_t")).alias("pos", "chunk")).drop("_t", text).withColumn("pos", F.col("pos").cast("long"))
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            row, pos, chunk = [], [], []
+            for i, s in enumerate(batch["_t"].to_pylist()):
+                pieces = [x for x in (s[lo:hi].strip() for lo, hi in _spans(s, size, overlap)) if len(x) >= least]
+                row += [i] * len(pieces)
+                pos += range(len(pieces))
+                chunk += pieces
+            own = pa.record_batch([batch[c] for c in rest], names=rest).take(pa.array(row, pa.int64())) if rest else None
+            yield pa.record_batch([*(own.columns if own else ()), pa.array(pos, pa.int64()), pa.array(chunk, pa.string())], names=[*rest, "pos", "chunk"])
+
+    whole = pages.select(*rest, squeezed.alias("_t")).where(F.length("_t") >= least)
+    schema = T.StructType([*[pages.schema[c] for c in rest], T.StructField("pos", T.LongType()), T.StructField("chunk", T.StringType())])
+    return whole.mapInArrow(cut, schema)
 
 
 #: Starter patterns, first match wins.
@@ -107,8 +119,23 @@ def first_secret(text: Column | str, patterns: dict[str, str] | None = None) ->
     return out
 
 
-def citation_audit(reports: DataFrame, sources: DataFrame, text: str = "text") -> DataFrame:
-    """Findings (report, kind, detail): numbers without a citation, cited keys that do not exist, keys never cited."""
+def merged_quotes(text: Column, quotes: Column) -> Column:
+    """Quoted excerpts as a block of ``> `` lines, then the text, as a model gets them."""
+    block = F.array_join(F.transform(F.filter(quotes, lambda q: F.length(F.trim(q)) > 0), lambda q: F.concat(F.lit("> "), F.regexp_replace(q, "\n", "\n> "))), "\n\n")
+    body = F.coalesce(text, F.lit(""))
+    return F.when(F.length(F.coalesce(block, F.lit(""))) == 0, body).when(F.length(body) == 0, block).otherwise(F.concat(block, F.lit("\n\n"), body))
+
+
+def first_secret_of(text: Column | str, quotes: Column | str, patterns: dict[str, str] | None = None) -> Column:
+    """The first secret of the text, else of its quotes, else of both as one text (a secret may be split between them)."""
+    t, q = (F.col(x) if isinstance(x, str) else x for x in (text, quotes))
+    inside = F.array_compact(F.transform(q, lambda x: first_secret(x, patterns)))
+    return F.coalesce(first_secret(t, patterns), F.try_element_at(inside, F.lit(1)), first_secret(merged_quotes(t, q), patterns))
+
+
+def citation_audit(reports: DataFrame, sources: DataFrame, text: str = "text", tables: DataFrame | None = None) -> DataFrame:
+    """Findings (report, kind, detail): numbers without a citation, cited keys that do not exist, keys never cited, paragraphs that
+    end in a mark of cutting or in mid sentence (lists and headings may), and, where ``tables(table)`` is given, names like those of tables that are none."""
     p = reports.select("report", F.posexplode(F.split(text, r"\n\s*\n")).alias("pos", "paragraph"))
     bare = F.regexp_replace("paragraph", r"https?://\S+|\[[A-Z]\d+\]|\b\d{2}/\d{2}/\d{4}\b|\b(19|20)\d{2}\b", "")
     keys = F.regexp_extract_all("paragraph", F.lit(r"\[([A-Z]\d+)\]"), F.lit(1))
@@ -117,7 +144,17 @@ def citation_audit(reports: DataFrame, sources: DataFrame, text: str = "text") -
     known = sources.select("report", "key").distinct()
     gone = cited.join(known, ["report", "key"], "left_anti").select("report", F.lit("undefined key").alias("kind"), F.col("key").alias("detail"))
     idle = known.join(cited, ["report", "key"], "left_anti").select("report", F.lit("key never cited").alias("kind"), F.col("key").alias("detail"))
-    return uncited.unionByName(gone).unionByName(idle)
+    body = p.where(~F.col("paragraph").rlike(r"^\s*([#*|-]|\d+[.)] )") & (F.length(F.trim("paragraph")) > 0))
+    last = F.regexp_replace("paragraph", r"\s+$", "")
+    cut = F.when(last.rlike(r"(\u2026|\.\.\.)$"), "mark of cutting").when(~last.rlike(r"[.!?:;)\u201d\"'\]}]$"), "truncated")
+    ends = body.withColumn("kind", cut).where("kind is not null").select("report", "kind", F.col("pos").cast("string").alias("detail"))
+    out = uncited.unionByName(gone).unionByName(idle).unionByName(ends)
+    if tables is None:
+        return out
+    plain = F.regexp_replace("paragraph", r"https?://\S+|\S+\.(pdf|csv|xlsx?|parquet|json)\b|\[[A-Z]\d+\]", " ")
+    named = p.select("report", F.explode(F.regexp_extract_all(plain, F.lit(r"\b[a-z][a-z0-9]*(?:_[a-z0-9]+)+\b"), F.lit(0))).alias("detail")).distinct()
+    known = tables.select(F.lower("table").alias("detail")).distinct()
+    return out.unionByName(named.join(known, "detail", "left_anti").select("report", F.lit("unknown table").alias("kind"), "detail"))
 
 
 def has_sections(text: Column | str, titles: list[str]) -> Column:

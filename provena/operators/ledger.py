@@ -6,11 +6,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from provena.operators.names import all_inside
+
 
 def longest_key(items: DataFrame, keys: DataFrame, model: str = "model", key: str = "key") -> DataFrame:
-    """Each distinct model with the longest key it contains (later key on ties, exact match first).  Keys are a small price list."""
+    """Each distinct model with the longest key it contains (later key on ties, exact match first), all found in one reading of each model."""
     m = items.select(model).where(F.col(model).isNotNull()).distinct()
-    j = m.join(keys, F.contains(F.col(model), F.col(key)))
+    found = all_inside(m.select(F.col(model).alias("key"), F.col(model).alias("text")), keys.select(F.col(key).alias("group"), F.array(key).alias("patterns")), False)
+    j = found.select(F.col("key").alias(model), F.col("group").alias(key)).join(keys, key)
     w = Window.partitionBy(model).orderBy(F.desc(F.col(model) == F.col(key)), F.desc(F.length(key)), F.desc(key))
     return j.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn")
 

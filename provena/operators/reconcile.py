@@ -58,8 +58,9 @@ def exact_copies(files: DataFrame, size: str, content: str, preference: list[Col
     return unique.unionByName(kept)
 
 
-def reuse(new: DataFrame, old: DataFrame, keys: list[str], column: str) -> DataFrame:
-    """The old value where all keys are equal, else null; keys go by hash and equality."""
+def reuse(new: DataFrame, old: DataFrame, keys: list[str], column: str, model: str | None = None) -> DataFrame:
+    """The old value where all keys are equal, else null; keys go by hash and equality.  ``model`` names a column whose old and new values must be the same: vectors of another model are made anew."""
+    keys = [*keys, model] if model else keys
     o = old.dropDuplicates(keys).select(*keys, F.col(column))
     return new.drop(column).join(o, keys, "left")
 

@@ -37,9 +37,8 @@ count(DISTINCT l_orderkey) AS sources FROM latest GROUP BY ALL)
 SELECT c_mktsegment, year, round(disc_ratio, 4) AS disc_ratio, round(mean_disc, 4) AS mean_disc, round(revenue, 2) AS revenue, sources, CAST(rank() OVER (ORDER BY round(revenue, 2) DESC) AS BIGINT) AS place FROM g""")
 def measures_segment_year(spark, d):
     """Latest year of every segment: ratio, weighted mean, sum, rank and how many sources entered."""
-    s = _sales(spark, d)
-    top = s.groupBy("c_mktsegment").agg(F.max("year").alias("year"))  # one row a segment, so no window over all rows
-    g = s.join(F.broadcast(top), ["c_mktsegment", "year"]).groupBy("c_mktsegment", "year").agg(*[m.column_of() for m in MEASURES], F.count_distinct("l_orderkey").alias("sources"))
+    g = _sales(spark, d).groupBy("c_mktsegment", "year").agg(*[m.column_of() for m in MEASURES], F.count_distinct("l_orderkey").alias("sources"))
+    g = temporal.latest_version(g, ["c_mktsegment"], "year")  # of one row a segment and year
     g = _round(_round(g, "disc_ratio", "mean_disc"), "revenue", digits=2)
     return g.withColumn("place", F.rank().over(Window.orderBy(F.desc("revenue"))).cast("long"))
 
@@ -337,13 +336,19 @@ def message_stats(spark, d):
     return ledger.text_stats(c).select("conv_id", "turn", F.col("bytes").cast("long"), "quote_lines")
 
 
-@query("""WITH o AS (SELECT o_orderkey, o_totalprice AS revenue, -o_totalprice * 0.6 AS cost, o_totalprice * CASE WHEN o_orderkey % 7 = 0 THEN 0.5 ELSE 0.4 END AS gross FROM orders)
-SELECT o_orderkey, abs(gross - revenue - cost) > 0.005 * greatest(abs(revenue), 1) AS broken FROM o""")
+_FAULTS = """WITH o AS (SELECT o_orderkey, o_orderkey % 9 AS k, o_totalprice AS revenue FROM orders),
+c AS (SELECT *, CASE WHEN k = 1 THEN revenue * 0.6 ELSE -revenue * 0.6 END AS cost, CASE WHEN k = 2 THEN revenue * 1.1 WHEN k = 3 THEN revenue * 0.5 WHEN k = 1 THEN revenue * 1.6 WHEN k = 5 THEN NULL ELSE revenue * 0.4 END AS gross FROM o),
+e AS (SELECT *, -revenue * 0.1 AS expenses, gross - revenue * CASE WHEN k = 4 THEN 0.2 ELSE 0.1 END AS ebit FROM c), l AS (SELECT *, 0.005 * greatest(abs(revenue), 1) AS lim FROM e)"""
+
+
+@query(f"""{_FAULTS} SELECT o_orderkey, concat_ws('; ', CASE WHEN cost > 0 THEN 'cost is positive' END, CASE WHEN gross > revenue THEN 'gross exceeds revenue' END, CASE WHEN abs(gross - revenue - cost) > lim THEN 'gross is not revenue plus cost' END, CASE WHEN abs(ebit - gross - expenses) > lim THEN 'ebit is not gross plus expenses' END) AS alerts FROM l""")
 def statement_checks(spark, d):
-    """Statement identities with planted faults."""
-    o = read(spark, d, "orders").select("o_orderkey", F.col("o_totalprice").alias("revenue"), (F.col("o_totalprice") * -0.6).alias("cost"), (F.col("o_totalprice") * F.when(F.col("o_orderkey") % 7 == 0, 0.5).otherwise(0.4)).alias("gross"))
-    o = o.withColumn("expenses", F.lit(0.0)).withColumn("ebit", F.col("gross"))
-    return company.statement_alerts(o).select("o_orderkey", (F.size("alerts") > 0).alias("broken"))
+    """All four identities of a statement, each broken in some rows, one account missing in others."""
+    k, r = F.col("o_orderkey") % 9, F.col("revenue")
+    o = read(spark, d, "orders").select("o_orderkey", F.col("o_totalprice").alias("revenue"))
+    o = o.withColumn("cost", F.when(k == 1, r * 0.6).otherwise(-r * 0.6)).withColumn("gross", F.when(k == 2, r * 1.1).when(k == 3, r * 0.5).when(k == 1, r * 1.6).when(k == 5, None).otherwise(r * 0.4))
+    o = o.withColumn("expenses", -r * 0.1).withColumn("ebit", F.col("gross") - r * F.when(k == 4, 0.2).otherwise(0.1))
+    return company.statement_alerts(o).select("o_orderkey", F.array_join("alerts", "; ").alias("alerts"))
 
 
 @query("""SELECT user_id, CAST(date_trunc('month', ts) AS DATE) AS month, round(avg(value), 4) AS mean, count(*) AS intervals, count(DISTINCT CAST(ts AS DATE)) AS days, CAST(day(last_day(date_trunc('month', ts))) - count(DISTINCT CAST(ts AS DATE)) AS BIGINT) AS days_missing FROM events WHERE value IS NOT NULL GROUP BY user_id, date_trunc('month', ts)""")

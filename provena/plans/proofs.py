@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from provena.functions import norm as N
-from provena.operators import company, facts, graph, imports, ledger, reconcile, search
+from provena.operators import company, excerpts, facts, graph, imports, ledger, reconcile, search
 from provena.operators import measures as M
 from provena.sources.io import read
 from provena.streaming import ops as streaming
@@ -190,20 +190,21 @@ def page_texts(spark, d):
     )
 
 
-@query(r"""WITH r AS (SELECT conv_id AS report, turn, CASE turn % 3 WHEN 0 THEN '12 plants [A' || turn || '] stand' WHEN 1 THEN 'no figure' ELSE '7 lines' END AS p FROM conversations WHERE turn < 12), h AS (SELECT report, max(turn) AS m FROM r GROUP BY 1),
+@query(r"""WITH r AS (SELECT conv_id AS report, turn, CASE turn % 3 WHEN 0 THEN '12 plants [A' || turn || '] of no_such_table and cash_flow stand.' WHEN 1 THEN 'no figure' ELSE '7 lines ...' END AS p FROM conversations WHERE turn < 12), h AS (SELECT report, max(turn) AS m FROM r GROUP BY 1),
 pos AS (SELECT report, turn, p, row_number() OVER (PARTITION BY report ORDER BY turn) - 1 AS pos FROM r), k AS (SELECT report, 'A' || s AS key FROM h, (VALUES (0), (3), (4)) v(s))
 SELECT report, 'number without citation' AS kind, CAST(pos AS VARCHAR) AS detail FROM pos WHERE turn % 3 = 2
 UNION ALL SELECT report, 'undefined key', 'A' || turn FROM pos WHERE turn % 3 = 0 AND turn NOT IN (0, 3) UNION ALL SELECT report, 'key never cited', key FROM k WHERE NOT EXISTS (FROM pos WHERE pos.report = k.report AND turn % 3 = 0 AND 'A' || turn = key)
-UNION ALL SELECT report, 'sections', CASE WHEN report % 2 = 0 THEN 'right' ELSE 'wrong' END FROM h""")
+UNION ALL SELECT report, 'truncated', CAST(pos AS VARCHAR) FROM pos WHERE turn % 3 = 1 UNION ALL SELECT report, 'mark of cutting', CAST(pos AS VARCHAR) FROM pos WHERE turn % 3 = 2
+UNION ALL SELECT DISTINCT report, 'unknown table', 'no_such_table' FROM pos WHERE turn % 3 = 0 UNION ALL SELECT report, 'sections', CASE WHEN report % 2 = 0 THEN 'right' ELSE 'wrong' END FROM h""")
 def citation_findings(spark, d):
-    """Figures without a source, keys without a definition or a use, and whether the sections are in place."""
+    """Figures without a source, keys without a definition or a use, cut ends, tables that don't exist, and whether the sections are in place."""
     c = read(spark, d, "conversations").where("turn < 12").select(F.col("conv_id").alias("report"), "turn")
-    p = F.when(F.col("turn") % 3 == 0, F.concat(F.lit("12 plants [A"), "turn", F.lit("] stand"))).when(F.col("turn") % 3 == 1, "no figure").otherwise("7 lines")
+    p = F.when(F.col("turn") % 3 == 0, F.concat(F.lit("12 plants [A"), "turn", F.lit("] of no_such_table and cash_flow stand."))).when(F.col("turn") % 3 == 1, "no figure").otherwise("7 lines ...")
     r = c.groupBy("report").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", p.alias("p")))), lambda x: x["p"]), "\n\n").alias("text"))
     keys = r.select("report", F.explode(F.array(*map(F.lit, ("A0", "A3", "A4")))).alias("key"))
     heads = F.concat(F.lit("## One\nx\n## "), F.when(F.col("report") % 2 == 0, "Two").otherwise("Three"), F.lit(" \n"))
     s = r.select("report", F.lit("sections").alias("kind"), F.when(facts.has_sections(heads, ["One", "Two"]), "right").otherwise("wrong").alias("detail"))
-    return facts.citation_audit(r, keys).unionByName(s)
+    return facts.citation_audit(r, keys, tables=spark.createDataFrame([("cash_flow",)], "table string")).unionByName(s)
 
 
 @query(r"""WITH p AS (SELECT o_custkey AS doc, o_orderkey AS page, 'price ' || CAST(floor(o_totalprice) AS BIGINT) || ' of order ' || o_orderkey || repeat(' tariff', CAST(o_orderkey % 4 AS INTEGER)) AS text, floor(o_totalprice) + CASE WHEN o_orderkey % 3 = 0 THEN 5000000 ELSE 0 END AS value FROM orders)
@@ -268,3 +269,70 @@ def keyed_states(spark, d):
     x = state.expiries(e.withColumn("expires", F.col("ts") + F.make_dt_interval(hours=(F.col("event_id") % 50).cast("int"))), "user_id")
     row = lambda df, part, at: df.select(F.lit(part).alias("part"), "user_id", at.cast("timestamp_ntz").alias("at"))
     return row(o, "overdue", F.col("last")).unionByName(row(x, "expired", F.col("expired"))).unionByName(row(streaming.unique_messages(e, ["user_id"]), "unique", F.lit(None)))
+
+
+@query("""WITH w AS (SELECT doc_id, lang, source, unnest(list_filter(string_split_regex(strip_accents(lower(text)), '[^a-z0-9]+'), lambda x: x <> '')) AS term FROM documents),
+tf AS (SELECT doc_id, lang, source, term, count(*) AS tf FROM w GROUP BY ALL), len AS (SELECT doc_id, sum(tf) AS n FROM tf GROUP BY 1), st AS (SELECT (SELECT count(*) FROM documents) AS docs, (SELECT sum(tf) FROM tf) / (SELECT count(text) FROM documents) AS mean), df AS (SELECT term, count(*) AS df FROM tf GROUP BY 1),
+q AS (SELECT DISTINCT doc_id AS query_id, term, CASE WHEN doc_id % 100 = 0 THEN lang END AS ql, CASE WHEN doc_id % 150 = 0 THEN source END AS qs FROM tf WHERE doc_id % 50 = 0),
+s AS (SELECT query_id, tf.doc_id, sum(ln(1 + (docs - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * n / mean))) AS b FROM q JOIN tf USING (term) JOIN df USING (term) JOIN len USING (doc_id), st WHERE (ql IS NULL OR ql = lang) AND (qs IS NULL OR qs = source) GROUP BY ALL)
+SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY round(b, 9) DESC, doc_id) - 1 AS pos, round(b, 5) AS bm25 FROM s QUALIFY pos < 8""")
+def filtered_search(spark, d):
+    """BM25 of every fiftieth document among those of its language or source, where the query asks for that."""
+    docs = read(spark, d, "documents").select("doc_id", "text", "lang", "source")
+    i = F.col("doc_id")
+    q = docs.where("doc_id % 50 = 0").select(i.alias("query_id"), F.col("text").alias("query"), F.when(i % 100 == 0, F.col("lang")).alias("lang"), F.when(i % 150 == 0, F.col("source")).alias("source"))
+    return _round(search.ranked(search.bm25(docs, q, k=8, matching=("lang", "source")), "bm25", "doc_id", 8), "bm25", digits=5).withColumn("pos", F.col("pos").cast("long"))
+
+
+@query("""WITH q AS (SELECT vec_id AS query_id, embedding AS e, CASE WHEN vec_id % 100 = 0 THEN label END AS want FROM embeddings WHERE vec_id % 50 = 0),
+s AS (SELECT query_id, vec_id, list_dot_product(CAST(v.embedding AS DOUBLE[]), CAST(q.e AS DOUBLE[])) / (sqrt(list_dot_product(CAST(v.embedding AS DOUBLE[]), CAST(v.embedding AS DOUBLE[]))) * sqrt(list_dot_product(CAST(q.e AS DOUBLE[]), CAST(q.e AS DOUBLE[])))) AS sim FROM q, embeddings v WHERE want IS NULL OR want = label)
+SELECT query_id, vec_id, round(sim, 6) AS similarity, row_number() OVER (PARTITION BY query_id ORDER BY round(sim, 9) DESC, vec_id) - 1 AS pos FROM s QUALIFY pos < 10""")
+def filtered_vectors(spark, d):
+    """Cosine top ten of every fiftieth vector, of every hundredth among those of its label."""
+    v = read(spark, d, "embeddings")
+    q = v.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "embedding", F.when(F.col("vec_id") % 100 == 0, F.col("label")).alias("label"))
+    return _round(search.vector_top_k(v, q, 10, matching=("label",)), "similarity", digits=6).withColumn("pos", F.col("pos").cast("long"))
+
+
+@query("""WITH d AS (SELECT conv_id, count(*) AS n FROM conversations GROUP BY 1), a AS (SELECT conv_id AS file, p AS page FROM d, (VALUES (0), (2), (9999)) v(p) UNION ALL SELECT -5, 1)
+SELECT a.file, a.page, 'c' || d.conv_id AS title, n AS total_pages, coalesce(c.text, NULL)[1:40] AS text, CASE WHEN d.conv_id IS NULL THEN 'no file ' || a.file WHEN c.conv_id IS NULL THEN 'the document has ' || n || ' pages' END AS error
+FROM a LEFT JOIN d ON d.conv_id = a.file LEFT JOIN conversations c ON c.conv_id = a.file AND c.turn = a.page""")
+def read_pages(spark, d):
+    """Pages asked for, or why they can't be read."""
+    c = read(spark, d, "conversations").select(F.col("conv_id").alias("file"), F.col("turn").alias("page"), "text")
+    docs = c.groupBy("file").agg(F.count("*").alias("pages")).withColumn("title", F.concat(F.lit("c"), F.col("file").cast("string")))
+    asked = docs.select("file", F.explode(F.array(*[F.lit(p).cast("long") for p in (0, 2, 9999)])).alias("page")).unionByName(spark.createDataFrame([(-5, 1)], "file long, page long"))
+    return excerpts.pages_read(asked, docs, c, 40)
+
+
+@query("""SELECT event_id, CASE event_id % 5 WHEN 0 THEN 'email' WHEN 1 THEN 'email' WHEN 2 THEN 'bearer' END AS secret FROM events""")
+def quoted_secrets(spark, d):
+    """Secrets of a message, of its quotes, and of both read as one."""
+    k = F.col("event_id") % 5
+    text = F.when(k == 0, "write to a@b.org").when(k == 2, "abcdefghij0123456789klm").when(k == 3, "").otherwise("nothing here")
+    quotes = F.when(k == 1, F.array(F.lit("x"), F.lit("see c@d.net"))).when(k == 2, F.array(F.lit("the bearer"))).when(k == 3, F.array(F.lit(" "), F.lit("plain")))
+    return read(spark, d, "events").select("event_id", facts.first_secret_of(text, quotes).alias("secret"))
+
+
+@query("""WITH g AS (SELECT l_suppkey AS company, year(l_shipdate) AS year, sum(l_quantity) AS q, sum(l_extendedprice) AS p, sum(CASE WHEN l_returnflag = 'R' THEN l_extendedprice ELSE 0 END) AS r, sum(l_discount) AS c, sum(l_tax) AS t, sum(CASE WHEN l_linestatus = 'O' THEN l_quantity ELSE 0 END) AS o FROM lineitem GROUP BY ALL)
+SELECT company, year, round((q + c) / (p / 1e6), 4) AS revenue_carbon, round(1e3 * q / nullif(o, 0), 4) AS generation_carbon, round(100 * r / p, 4) AS green_capex, round(100 * (p - r) / q, 4) AS return_on_green_capex, round(100 * o / q, 4) AS clean_capacity,
+round(100 * t / nullif(c, 0), 4) AS sf6_leak, round(100 * (q - o) / q, 4) AS distribution_loss, round(100 * r / p, 4) AS transition_research, NULL::DOUBLE AS green_debt FROM g""")
+def hybrid_ratios(spark, d):
+    """The nine hybrid measures, one of them without its columns."""
+    l = read(spark, d, "lineitem")
+    s = lambda c, when=None: F.sum(F.when(when, F.col(c)).otherwise(0.0) if when is not None else F.col(c))
+    returned, open_ = F.col("l_returnflag") == "R", F.col("l_linestatus") == "O"
+    g = l.groupBy(F.col("l_suppkey").alias("company"), F.year("l_shipdate").alias("year")).agg(
+        s("l_quantity").alias("scope1"), s("l_discount").alias("scope2_market"), s("l_extendedprice").alias("revenue"), s("l_quantity").alias("scope1_generation"), s("l_quantity", open_).alias("generation_mwh"),
+        s("l_extendedprice", returned).alias("capex_green"), s("l_extendedprice").alias("capex_total"), s("l_extendedprice").alias("ebitda_transition"), s("l_extendedprice", returned).alias("ebitda_transition_before"), s("l_quantity").alias("capex_green_to_date"),
+        s("l_quantity", open_).alias("kw_clean"), s("l_quantity").alias("kw_total"), s("l_tax").alias("sf6_refilled_kg"), s("l_discount").alias("sf6_bank_kg"), s("l_quantity").alias("mwh_injected"), s("l_quantity", open_).alias("mwh_billed"),
+        s("l_extendedprice", returned).alias("research_transition"), F.lit(None).cast("double").alias("debt_green"),
+    )
+    m = company.hybrid_measures(g)
+    return _round(m.select("company", "year", *company.HYBRID), *company.HYBRID)
+
+
+@query("SELECT doc_id, row_number() OVER (ORDER BY source NULLS FIRST, lang NULLS FIRST, doc_id) - 1 AS id FROM documents")
+def numbered_documents(spark, d):
+    """Documents numbered from 0 in the order of the catalog."""
+    return excerpts.numbered(read(spark, d, "documents").select("doc_id", "source", "lang"), ["source", "lang", "doc_id"]).select("doc_id", "id")

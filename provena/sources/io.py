@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import re
+import threading
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -51,16 +54,22 @@ def since_period(spark: SparkSession, path: str, glob: str, pattern: str, since:
 
 
 def publish(df: DataFrame, path: str) -> str:
-    """A new version beside the others; its pointer is added last and none is taken away, so readers always find one."""
+    """A new version beside the others; its pointer is added last and none is taken away, so readers always find one.
+
+    Pointers are numbered on from the greatest that is there, whatever the writers' clocks say; of writers at the same
+    moment, the one of the greater version name is current, for every reader alike."""
     version, spark = uuid.uuid4().hex, df.sparkSession
     df.write.parquet(f"{path}/v={version}")
-    at = spark.sql("SELECT unix_micros(current_timestamp()) AS at")
-    at.withColumn("version", F.lit(version)).coalesce(1).write.mode("append").json(f"{path}/_current")
+    try:
+        n = spark.read.schema("n long, version string").json(f"{path}/_current").agg(F.coalesce(F.max("n"), F.lit(0)) + 1).first()[0]
+    except AnalysisException:  # the first version
+        n = 1
+    spark.sql(f"SELECT {n}L AS n, '{version}' AS version").coalesce(1).write.mode("append").json(f"{path}/_current")
     return version
 
 
 def published(spark: SparkSession, path: str) -> DataFrame:
-    version = spark.read.schema("at long, version string").json(f"{path}/_current").agg(F.max_by("version", "at")).first()[0]
+    version = spark.read.schema("n long, version string").json(f"{path}/_current").agg(F.max(F.struct("n", "version")).alias("m")).first().m.version
     return spark.read.parquet(f"{path}/v={version}")
 
 
@@ -90,9 +99,59 @@ def dictionary(spark: SparkSession, catalog: DataFrame) -> DataFrame:
     return d.join(catalog.select("table", "description"), "table", "left").withColumn("undocumented", F.col("description").isNull())
 
 
+def described(spark: SparkSession, table: str, catalog: DataFrame, rows: int = 3) -> dict:
+    """A table's columns with types, its description, source and caveats from the catalog, and sample rows."""
+    if not spark.catalog.tableExists(table):
+        raise ValueError(f"no table {table}")
+    info = catalog.where(F.col("table") == table).select(*[F.col(c) if c in catalog.columns else F.lit("").alias(c) for c in ("description", "source", "caveats")]).first()
+    text = lambda c: (info[c] if info else None) or ""
+    df = spark.table(table)
+    return {"table": table, **{c: text(c) for c in ("description", "source", "caveats")}, "columns": dict(df.dtypes), "sample": [r.asDict() for r in df.limit(rows).collect()]}
+
+
 def guarded_sql(spark: SparkSession, sql: str, most: int = 200) -> DataFrame:
     """A query over registered views, at most ``most`` rows and one more to tell that it was cut.
 
-    It runs as a subquery, where commands and writes don't parse, so nothing takes effect before it is refused.
+    The text must be one query by itself, and it runs as a subquery, where commands and writes don't parse, so nothing
+    takes effect before it is refused.
     """
-    return spark.sql(f"SELECT * FROM (\n{sql.strip().rstrip(';')}\n) AS guarded LIMIT {int(most) + 1}")
+    text = sql.strip().rstrip(";")
+    plan = spark.sql(f"EXPLAIN EXTENDED {text}").first()[0]  # a text that only parses inside something else fails here
+    if "== Analyzed Logical Plan ==\norg.apache.spark.sql.AnalysisException" in plan:
+        raise ValueError(plan.split("AnalysisException: ", 1)[-1].split("\n")[0])
+    return spark.sql(f"SELECT * FROM (\n{text}\n) AS guarded LIMIT {int(most) + 1}")
+
+
+def tables_read(spark: SparkSession, sql: str) -> list[str]:
+    """The views and tables that a query reads, also through others, as Spark resolves them."""
+    plan = spark.sql(f"EXPLAIN EXTENDED {sql.strip().rstrip(';')}").first()[0]
+    resolved = plan.split("== Analyzed Logical Plan ==", 1)[-1].split("== Optimized Logical Plan ==", 1)[0]
+    return sorted(set(re.findall(r"View \(`([^`]+)`", resolved)) | set(re.findall(r"Relation (?:\w+\.)+(\w+)\[", resolved)))
+
+
+def answered(spark: SparkSession, sql: str, most: int = 200, seconds: float = 30.0) -> dict:
+    """A guarded query's answer: ``tables`` it reads (none is refused), ``rows``, whether they are ``truncated``, and a ``notice``; it is cancelled after ``seconds``."""
+    tables = tables_read(spark, sql)
+    if not tables:
+        raise ValueError("the query reads no table")
+    group, late = f"guarded-{uuid.uuid4().hex}", threading.Event()
+    sc = spark.sparkContext
+
+    def stop() -> None:
+        late.set()
+        sc.cancelJobGroup(group)
+
+    clock = threading.Timer(seconds, stop)
+    sc.setJobGroup(group, "guarded query", interruptOnCancel=True)
+    clock.start()
+    try:
+        rows = guarded_sql(spark, sql, most).collect()
+    except Exception as e:
+        if late.is_set():
+            raise TimeoutError(f"the query took over {seconds:g} s; filter more or aggregate") from e
+        raise
+    finally:
+        clock.cancel()
+        sc.setLocalProperty("spark.jobGroup.id", None)
+    cut = len(rows) > most
+    return {"tables": tables, "rows": rows[:most], "truncated": cut, "notice": f"cut at {most} rows" if cut else None if rows else "no rows: check the filter"}
