@@ -104,12 +104,15 @@ def quarterly_statements(spark, d):
 
 
 @query("""WITH q AS (SELECT o_custkey AS company, date_trunc('quarter', o_orderdate) AS reference, round(sum(o_totalprice), 2) AS value FROM orders GROUP BY ALL)
-SELECT company, CAST(reference AS DATE) AS reference, value, count(*) OVER (PARTITION BY company) AS in_base, count(*) OVER (PARTITION BY company) > 4 AS cut FROM q QUALIFY row_number() OVER (PARTITION BY company ORDER BY reference DESC) <= 4""")
+SELECT 'quarter' AS part, company, CAST(reference AS DATE) AS reference, value, count(*) OVER (PARTITION BY company) AS in_base, count(*) OVER (PARTITION BY company) > 4 AS cut FROM q QUALIFY row_number() OVER (PARTITION BY company ORDER BY reference DESC) <= 4
+UNION ALL SELECT 'year', o_custkey, make_date(year(o_orderdate), 1, 1), round(sum(o_totalprice), 2), NULL, NULL FROM orders WHERE year(o_orderdate) BETWEEN 1994 AND 1996 GROUP BY ALL""")
 def indicator_cards(spark, d):
-    """The last four quarters of each company, how many there are, and whether some are cut."""
+    """The years of a range and the last four quarters of each company, how many quarters there are, and whether some are cut."""
     o = read(spark, d, "orders").select(F.col("o_custkey").alias("company"), F.year("o_orderdate").alias("year"), F.trunc("o_orderdate", "quarter").alias("reference"), "o_totalprice")
     q = o.groupBy("company", "reference").agg(F.round(F.sum("o_totalprice"), 2).alias("value"))
-    return cards.indicator_card(o.select("company", "year"), q, "company")[1]
+    years, last = cards.indicator_card(o.groupBy("company", "year").agg(F.round(F.sum("o_totalprice"), 2).alias("value")), q, "company", 1994, 1996)
+    y = years.select(F.lit("year").alias("part"), "company", F.make_date("year", F.lit(1), F.lit(1)).alias("reference"), "value", F.lit(None).cast("long").alias("in_base"), F.lit(None).cast("boolean").alias("cut"))
+    return last.select(F.lit("quarter").alias("part"), "company", "reference", "value", "in_base", "cut").unionByName(y)
 
 
 @query("""WITH g AS (SELECT o_custkey AS company, year(o_orderdate) AS year, round(sum(CASE WHEN o_orderstatus = 'F' THEN o_totalprice END), 2) AS value FROM orders GROUP BY ALL)
@@ -130,24 +133,26 @@ def scoreboard(spark, d):
     return cards.scoreboard(runs, cases)
 
 
-@query("""SELECT 'orders' AS "table", count(*) AS rows, 'All orders.' AS summary FROM orders UNION ALL SELECT 'customer', count(*), 'All customers.' FROM customer UNION ALL SELECT 'part', count(*), NULL FROM part""")
+@query("""SELECT 'orders' AS "table", count(*) AS rows, 'All orders.' AS summary, 'o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_totalprice double, o_orderdate timestamp_ntz, o_orderpriority string' AS columns FROM orders
+UNION ALL SELECT 'customer', count(*), 'All customers.', 'c_custkey bigint, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string' FROM customer UNION ALL SELECT 'nation', count(*), NULL, 'n_nationkey int, n_name string, n_regionkey int' FROM nation""")
 def listed_tables(spark, d):
-    """Tables with their rows and summaries."""
+    """Tables with their rows, columns and summaries."""
     s = spark.createDataFrame([("orders", "All orders."), ("customer", "All customers.")], "table string, summary string")
-    return cards.described({t: read(spark, d, t) for t in ("orders", "customer", "part")}, s).drop("columns")
+    return cards.described({t: read(spark, d, t) for t in ("orders", "customer", "nation")}, s)
 
 
-@query("""WITH u AS (SELECT event_id, event_type, event_id % 97 AS i, event_id % 13 AS w, event_id % 7 AS r, event_id % 31 AS o FROM events),
-p AS (SELECT *, CASE event_type WHEN 'click' THEN 2.0 WHEN 'view' THEN 4.0 ELSE 6.0 END AS rate FROM u), c AS (SELECT *, CASE event_type WHEN 'click' THEN 2.5 ELSE rate END AS wr, CASE event_type WHEN 'click' THEN 0.2 ELSE rate END AS rr FROM p)
-SELECT event_id, round((i * rate + w * wr + r * rr + o * 3 * rate) / 1e6, 9) AS usd, round(CASE WHEN i + w + r > 0 THEN (i * rate + w * wr + r * rr) / (i + w + r) ELSE rate END, 6) AS blended FROM c""")
+@query("""WITH u AS (SELECT event_id, event_type, event_id % 97 * CASE WHEN event_id % 19 = 0 THEN 5000 ELSE 1 END AS i, event_id % 13 AS w, event_id % 7 AS r, event_id % 31 AS o, CASE WHEN event_id % 17 = 0 THEN 1.5 END AS own FROM events),
+p AS (SELECT *, coalesce(own, CASE event_type WHEN 'click' THEN CASE WHEN i > 200000 THEN 3.0 ELSE 2.0 END WHEN 'view' THEN 4.0 ELSE 6.0 END) AS rate FROM u), c AS (SELECT *, CASE event_type WHEN 'click' THEN 2.5 ELSE rate END AS wr, CASE event_type WHEN 'click' THEN 0.2 ELSE rate END AS rr FROM p)
+SELECT event_id, rate, round((i * rate + w * wr + r * rr + o * 3 * rate) / 1e6, 9) AS usd, round(CASE WHEN i + w + r > 0 THEN (i * rate + w * wr + r * rr) / (i + w + r) ELSE rate END, 6) AS blended FROM c""")
 def call_costs(spark, d):
-    """What calls cost with cached parts, and their blended rates."""
-    k = spark.createDataFrame([("click", 2.0, 2.5, 0.2), ("view", 4.0, None, None)], "key string, base double, write double, read double").withColumn("premium", F.lit(None).cast("double"))
+    """What calls cost with cached parts, own rates and the tier for long inputs, and their blended rates."""
+    k = spark.createDataFrame([("click", 2.0, 3.0, 2.5, 0.2), ("view", 4.0, None, None, None)], "key string, base double, premium double, write double, read double")
     e = F.col("event_id")
-    u = read(spark, d, "events").select("event_id", F.col("event_type").alias("model"), (e % 97).alias("input_only"), (e % 97).alias("input_tokens"), (e % 13).alias("cache_write"), (e % 7).alias("cache_read"), (e % 31).alias("output_tokens"), F.lit(None).cast("double").alias("override"))
+    i = e % 97 * F.when(e % 19 == 0, 5000).otherwise(1)
+    u = read(spark, d, "events").select("event_id", F.col("event_type").alias("model"), i.alias("input_only"), i.alias("input_tokens"), (e % 13).alias("cache_write"), (e % 7).alias("cache_read"), (e % 31).alias("output_tokens"), F.when(e % 17 == 0, 1.5).alias("override"))
     r = usage.cache_rated(u, k).withColumn("completion_rate", F.col("rate") * 3)
     p = usage.prompt_value(*[F.col(c) for c in ("input_only", "cache_write", "cache_read", "rate", "write_rate", "read_rate")])
-    return usage.call_costs(r).select("event_id", F.round("usd", 9).alias("usd"), F.round(p["rate"], 6).alias("blended"))
+    return usage.call_costs(r).select("event_id", "rate", F.round("usd", 9).alias("usd"), F.round(p["rate"], 6).alias("blended"))
 
 
 _CALLS = "e AS (SELECT user_id AS conv_id, event_id AS idx, CASE WHEN event_id % 11 > 0 THEN event_id % 3 END AS run, CASE event_type WHEN 'error' THEN 'tool' WHEN 'view' THEN 'summarization' END AS kind, event_id % 31 AS output_tokens FROM events)"
@@ -281,8 +286,10 @@ def listed_documents(spark, d):
     return excerpts.listed(read(spark, d, "documents"), ["lang", "source"], "n_chars", "doc_id")[0]
 
 
-@query("""WITH m AS (SELECT p_partkey, 'x/' || p_brand || '/' || p_size || '/' || p_partkey || '.pdf' AS expected FROM part WHERE p_partkey % 5 > 0)
-SELECT p_partkey, expected, CASE WHEN p_partkey % 11 = 0 THEN 'missing' WHEN p_partkey % 7 = 0 THEN 'ambiguous' WHEN p_partkey % 3 = 0 THEN 'move' ELSE 'keep' END AS action FROM m""")
+@query("""WITH p AS (SELECT p_partkey, p_partkey || '.pdf' AS name, 'x/' || p_brand || '/' || p_size || '/' || p_partkey || '.pdf' AS expected FROM part),
+l AS (SELECT name, CASE WHEN p_partkey % 3 = 0 THEN 'inbox/' || name ELSE expected END AS path FROM p WHERE p_partkey % 11 > 0 UNION ALL SELECT name, 'z/' || name FROM p WHERE p_partkey % 11 > 0 AND p_partkey % 7 = 0),
+g AS (SELECT name, count(*) AS n, any_value(path) AS path FROM l GROUP BY 1)
+SELECT p_partkey, expected, CASE WHEN n IS NULL THEN 'missing' WHEN n > 1 THEN 'ambiguous' WHEN path = expected THEN 'keep' ELSE 'move' END AS action FROM p LEFT JOIN g USING (name) WHERE p_partkey % 5 > 0""")
 def relocation_plan(spark, d):
     """Where files belong, and what is to move, missing or named twice."""
     p = read(spark, d, "part").select("p_partkey", F.lit("x").alias("area"), F.col("p_brand").alias("company"), F.col("p_size").alias("year"), F.concat(F.col("p_partkey").cast("string"), F.lit(".pdf")).alias("name"))

@@ -70,12 +70,13 @@ def cost_rollup(spark, d):
     return _round(M.priced_rollup(e, ["user_id"], "value", "cost"), "value", "cost", digits=2)
 
 
-@query("""WITH g AS (SELECT o_custkey, year(o_orderdate) AS year, round(sum(o_totalprice), 2) AS value FROM orders GROUP BY ALL),
+@query("""WITH g AS (SELECT o_custkey, year(o_orderdate) AS year, round(sum(CASE WHEN o_orderkey % 3 = 0 THEN -o_totalprice ELSE o_totalprice END), 2) AS value FROM orders GROUP BY ALL),
 r AS (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY year DESC) AS i FROM g), p AS (SELECT o_custkey, max(year) FILTER (i = 1) AS period, max(value) FILTER (i = 1) AS "last", max(year) FILTER (i = 2) AS previous_period, max(value) FILTER (i = 2) AS previous FROM r WHERE i <= 2 GROUP BY 1)
-SELECT *, round(CASE WHEN previous <> 0 THEN ("last" - previous) / abs(previous) END, 6) AS change FROM p""")
+SELECT *, round(CASE WHEN previous <> 0 AND sign(previous) = sign("last") THEN ("last" - previous) / abs(previous) END, 6) AS change FROM p""")
 def last_two_years(spark, d):
-    """The last two periods and their change."""
-    g = read(spark, d, "orders").groupBy("o_custkey", F.year("o_orderdate").cast("long").alias("year")).agg(F.round(F.sum("o_totalprice"), 2).alias("value"))
+    """The last two periods and their change; none where the sign changes."""
+    v = F.when(F.col("o_orderkey") % 3 == 0, -F.col("o_totalprice")).otherwise(F.col("o_totalprice"))
+    g = read(spark, d, "orders").groupBy("o_custkey", F.year("o_orderdate").cast("long").alias("year")).agg(F.round(F.sum(v), 2).alias("value"))
     return _round(temporal.last_and_previous(g, ["o_custkey"], "year", "value"), "change", digits=6)
 
 
