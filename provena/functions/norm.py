@@ -166,6 +166,59 @@ def route(path: Column | str) -> Column:
     return F.when(F.length(p) == 0, "/").otherwise(p)
 
 
+#: Fixed values, in order: what a path looks like; ``#id`` and the like stand for one segment.
+TEMPLATES = (
+    "/api/agents/chat/stream/#id", "/api/agents/chat/status/#id", "/api/files/code/download/#id/#id", "/api/files/download-url/#id/#id", "/api/files/download/#id/#id", "/api/files/#id/preview",
+    "/api/skills/#id/files", "/api/messages/artifact/#id", "/api/messages/#id/#id", "/api/convos/#id/messages/#id", "/api/messages/#id", "/api/convos/#id", "/api/files/#id", "/api/agents/#id",
+    "/api/assistants/#id", "/api/share/#token", "/share/#id",
+)
+#: Prefixes of what no template knows.
+FALLBACKS = ("/api", "/images", "/avatars", "/t")
+
+
+def templated(path: Column | str, templates: tuple[str, ...] = TEMPLATES, known: tuple[str, ...] = ("/",), fallbacks: tuple[str, ...] = FALLBACKS) -> Column:
+    """Path without its query as the first template that it is or begins like; a known path as it is; else its first fallback prefix with ``#path``, or ``/#path``."""
+    p = F.regexp_replace(_c(path), r"\?.*$", "")
+    p = F.when(F.startswith(p, F.lit("/")), p).otherwise(F.concat(F.lit("/"), p))
+    out = None
+    like = lambda t: "^" + "/".join("[^/]+" if x.startswith("#") else x for x in t.split("/")) + "(?=/|$)"
+    for t in templates:
+        hit = p.rlike(like(t))
+        out = F.when(hit, F.lit(t)) if out is None else out.when(hit, F.lit(t))
+    found = F.when(p.isin(*known), p).when(out.isNotNull(), out)
+    for f in fallbacks:
+        found = found.when((p == f) | F.startswith(p, F.lit(f + "/")), F.lit(f + "/#path"))
+    return F.when(p.isNotNull(), found.otherwise("/#path"))
+
+
+def _decimal(x: Column, places: int) -> Column:
+    """1.234,5 with the last place rounded half away from zero; ``places`` is the most, zeros at the end go."""
+    text = F.format_number(F.round(x, places), places)
+    return _marks(F.regexp_replace(F.regexp_replace(text, r"(\.\d*?)0+$", "$1"), r"\.$", "") if places else text)
+
+
+def compact(x: Column | str) -> Column:
+    """1.284, 12,9 mil, 4,2 mi, 3,1 bi: one decimal above ten thousand and from ten to a hundred, none between, two below ten."""
+    v = _c(x)
+    a = F.abs(v)
+    unit = lambda d, u: F.concat(_decimal(v / d, 1), F.lit(u))
+    return F.when(a >= 1e9, unit(1e9, " bi")).when(a >= 1e6, unit(1e6, " mi")).when(a >= 1e4, unit(1e3, " mil")).when(a >= 100, _decimal(v, 0)).when(a >= 10, _decimal(v, 1)).otherwise(_decimal(v, 2))
+
+
+#: Unit -> (text before, None for a compact number or its decimals, text after).
+UNITS = {"brl": ("R$ ", None, ""), "pct": ("", 1, "%"), "x": ("", 2, "x"), "h": ("", 2, " h"), "brl_mwh": ("R$ ", 2, "/MWh"), "mw": ("", None, " MW"), "mwh": ("", None, " MWh"), "mwmed": ("", None, " MWmed"), "mwmes": ("", None, " MWm\u00eas")}
+
+
+def with_unit(x: Column | str, unit: Column | str) -> Column:
+    """A number as text with its unit; an unknown unit gives the compact number, no number a dash."""
+    v, u = _c(x), _c(unit)
+    out = None
+    for name, (before, places, after) in UNITS.items():
+        text = F.concat(F.lit(before), compact(v) if places is None else _decimal(v, places), F.lit(after))
+        out = F.when(u == name, text) if out is None else out.when(u == name, text)
+    return F.when(v.isNull(), "\u2013").otherwise(out.otherwise(compact(v)))
+
+
 def is_blank(x: Column | str) -> Column:
     return _c(x).isNull() | _c(x).isin("", "null")
 

@@ -45,6 +45,22 @@ def split_input(additive: Column, total: Column, read: Column, write: Column) ->
     return F.when(additive, c(total)).otherwise(F.greatest(F.lit(0), c(total) - c(read) - c(write)))
 
 
+def split_usage(usage: DataFrame) -> DataFrame:
+    """Adds ``input_only, total_input, completion`` to calls with ``input_tokens, output_tokens, total_tokens, cache_read, cache_write, includes_cache``.
+
+    Where ``includes_cache`` is null, the caches are taken to be part of the input if they fit in it.  A completion is
+    repaired where the total tells of more than input, output and additive caches (tokens of thought that weren't counted).
+    """
+    z = lambda c: F.coalesce(F.col(c), F.lit(0))
+    caches = z("cache_read") + z("cache_write")
+    inside = F.coalesce("includes_cache", caches <= z("input_tokens"))
+    beside = F.when(inside, F.lit(0)).otherwise(caches)
+    out = usage.withColumn("input_only", F.when(inside, F.greatest(F.lit(0), z("input_tokens") - caches)).otherwise(z("input_tokens")))
+    out = out.withColumn("total_input", z("input_tokens") + beside)
+    more = z("total_tokens") > z("input_tokens") + z("output_tokens") + beside
+    return out.withColumn("completion", F.when(more, z("total_tokens") - z("input_tokens") - beside).otherwise(z("output_tokens")))
+
+
 def effective_bits(acl: DataFrame, principals: DataFrame) -> DataFrame:
     """Permission bits of a set of principals per resource."""
     return acl.join(principals.distinct(), ["principal_type", "principal"], "left_semi").groupBy("resource").agg(F.bit_or("bits").alias("bits"))

@@ -22,6 +22,36 @@ def agreement(left: DataFrame, right: DataFrame, keys: list[str], value: str, gr
     return j.groupBy(*group).agg(F.count("*").alias("both"), F.count_if(F.abs(F.col("_a") - F.col("_b")) < tolerance).alias("equal"))
 
 
+def differences(left: DataFrame, right: DataFrame, keys: list[str], value: str, version: str | None = None, tolerance: float = 1.0, n: int = 10) -> tuple[DataFrame, DataFrame]:
+    """(the ``n`` rows of both sides that differ most, with both values; per key of both sides whether it agrees and has the same version).
+
+    A key with a null is on one side only.  Ties by key.
+    """
+    extra = [version] if version else []
+    a = left.select(*keys, F.col(value).alias("left_value"), *[F.col(c).alias("left_version") for c in extra])
+    b = right.select(*keys, F.col(value).alias("right_value"), *[F.col(c).alias("right_version") for c in extra])
+    j = a.join(b, keys).withColumn("agrees", F.coalesce(F.abs(F.col("left_value") - F.col("right_value")) < tolerance, F.lit(False)))
+    if version:
+        j = j.withColumn("same_version", F.col("left_version").eqNullSafe(F.col("right_version")))
+    worst = j.where("not agrees").orderBy(F.desc_nulls_first(F.abs(F.col("left_value") - F.col("right_value"))), *keys).limit(n)
+    return worst, j
+
+
+def out_of_bounds(chunks: DataFrame, documents: DataFrame, key: str = "file", page: str = "page", pages: str = "pages") -> DataFrame:
+    """Chunks whose document is unknown or whose page isn't one of its pages."""
+    d = documents.select(F.col(key), F.col(pages).alias("_pages"))
+    j = chunks.join(d, key, "left")
+    return j.where(F.col("_pages").isNull() | F.col(page).isNull() | (F.col(page) < 1) | (F.col(page) > F.col("_pages"))).drop("_pages")
+
+
+def refreshed(done: DataFrame, wanted: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
+    """(rows that stay, with the wanted side's metadata and what else is known of them; rows still to make)."""
+    known = [c for c in done.columns if c not in wanted.columns]
+    rest = done.select(*keys, *known).dropDuplicates(keys).withColumn("_d", F.lit(True))
+    j = wanted.join(rest, keys, "left")
+    return j.where("_d").drop("_d"), j.where("_d is null").select(*wanted.columns)
+
+
 def with_flag(df: DataFrame, others: DataFrame, key: str, name: str) -> DataFrame:
     """A boolean column: is the key among the others."""
     return df.join(others.select(key).distinct().withColumn(name, F.lit(True)), key, "left").withColumn(name, F.coalesce(name, F.lit(False)))

@@ -336,3 +336,40 @@ def hybrid_ratios(spark, d):
 def numbered_documents(spark, d):
     """Documents numbered from 0 in the order of the catalog."""
     return excerpts.numbered(read(spark, d, "documents").select("doc_id", "source", "lang"), ["source", "lang", "doc_id"]).select("doc_id", "id")
+
+
+@query("""WITH u AS (SELECT event_id, event_id % 97 AS i, event_id % 31 AS o, event_id % 40 AS r, event_id % 13 AS w, CASE WHEN event_id % 2 = 0 THEN event_id % 97 + event_id % 31 + event_id % 60 END AS t, CASE event_id % 3 WHEN 0 THEN true WHEN 1 THEN false END AS inc FROM events), c AS (SELECT *, coalesce(inc, r + w <= i) AS x FROM u)
+SELECT event_id, CASE WHEN x THEN greatest(0, i - r - w) ELSE i END AS input_only, i + CASE WHEN x THEN 0 ELSE r + w END AS total_input, CASE WHEN coalesce(t, 0) > i + o + CASE WHEN x THEN 0 ELSE r + w END THEN t - i - CASE WHEN x THEN 0 ELSE r + w END ELSE o END AS completion FROM c""")
+def usage_splits(spark, d):
+    """Input without caches and repaired completions, for caches inside, beside or unknown."""
+    e = F.col("event_id")
+    u = read(spark, d, "events").select("event_id", (e % 97).alias("input_tokens"), (e % 31).alias("output_tokens"), (e % 40).alias("cache_read"), (e % 13).alias("cache_write"), F.when(e % 2 == 0, e % 97 + e % 31 + e % 60).alias("total_tokens"), F.when(e % 3 == 0, True).when(e % 3 == 1, False).alias("includes_cache"))
+    return ledger.split_usage(u).select("event_id", "input_only", "total_input", "completion")
+
+
+@query("""WITH a AS (SELECT o_custkey AS k, year(o_orderdate) AS y, round(sum(o_totalprice), 2) AS v, count(*) AS n FROM orders GROUP BY ALL), b AS (SELECT k, y, v + CASE WHEN k % 5 = 0 THEN k + y ELSE 0.5 END AS v, n + CASE WHEN k % 7 = 0 THEN 1 ELSE 0 END AS n FROM a WHERE y <> 1995), j AS (SELECT k, y, round(abs(a.v - b.v), 2) AS gap, abs(a.v - b.v) < 1 AS agrees, a.n = b.n AS same FROM a JOIN b USING (k, y))
+SELECT 'worst' AS part, k, y, gap FROM (SELECT * FROM j WHERE NOT agrees ORDER BY gap DESC, k, y LIMIT 10) UNION ALL SELECT 'agree', NULL, y, count_if(agrees) FROM j GROUP BY y UNION ALL SELECT 'version', NULL, y, count_if(NOT same) FROM j GROUP BY y
+UNION ALL SELECT 'stays', k, y, n FROM a WHERE k % 3 = 0 UNION ALL SELECT 'pending', k, y, n FROM a WHERE k % 3 > 0 UNION ALL SELECT 'page', k, y, n FROM a WHERE k % 4 = 0 OR n > 2""")
+def reconciled_accounts(spark, d):
+    """Two versions of the accounts compared with their worst differences, what a refresh keeps and makes, and pages out of bounds."""
+    k, y = F.col("k"), F.col("y")
+    a = read(spark, d, "orders").groupBy(F.col("o_custkey").alias("k"), F.year("o_orderdate").cast("long").alias("y")).agg(F.round(F.sum("o_totalprice"), 2).alias("v"), F.count("*").alias("n"))
+    b = a.where("y <> 1995").withColumn("v", F.col("v") + F.when(k % 5 == 0, k + y).otherwise(0.5)).withColumn("n", F.col("n") + F.when(k % 7 == 0, 1).otherwise(0))
+    worst, j = reconcile.differences(a, b, ["k", "y"], "v", "n")
+    row = lambda df, part, value, key=k: df.select(F.lit(part).alias("part"), key.cast("long").alias("k"), "y", value.cast("double").alias("gap"))
+    per_year = j.groupBy("y").agg(F.count_if(F.col("agrees")).alias("same"), F.count_if(~F.col("same_version")).alias("other"))
+    stays, pending = reconcile.refreshed(a.where("k % 3 = 0").select("k", "y", F.lit("vector").alias("made"), F.lit(-1).alias("n")), a, ["k", "y"])
+    bad = reconcile.out_of_bounds(a.select("k", "y", "n"), a.where("k % 4 > 0").select("k", F.lit(2).alias("pages")).distinct(), "k", "n")
+    none = F.lit(None)
+    return (
+        row(worst, "worst", F.round(F.abs(F.col("left_value") - F.col("right_value")), 2)).unionByName(row(per_year, "agree", F.col("same"), none)).unionByName(row(per_year, "version", F.col("other"), none))
+        .unionByName(row(stays, "stays", F.col("n"))).unionByName(row(pending, "pending", F.col("n"))).unionByName(row(bad, "page", F.col("n")))
+    )
+
+
+@query("""SELECT event_id, CASE event_id % 8 WHEN 0 THEN '/api/messages/#id/#id' WHEN 1 THEN '/api/files/#id/preview' WHEN 2 THEN '/api/#path' WHEN 3 THEN '/images/#path' WHEN 4 THEN '/#path' WHEN 5 THEN '/' WHEN 6 THEN '/api/agents/chat/stream/#id' ELSE '/share/#id' END AS route FROM events""")
+def request_routes(spark, d):
+    """Request paths as routes of few kinds."""
+    i = F.col("event_id").cast("string")
+    made = [F.concat(F.lit("api/messages/c"), i, F.lit("/"), i, F.lit("?x=1")), F.concat(F.lit("/api/files/"), i, F.lit("/preview")), F.concat(F.lit("/api/other/"), i), F.concat(F.lit("/images/"), i, F.lit(".png")), F.concat(F.lit("/x"), i), F.lit("/?q=1"), F.concat(F.lit("/api/agents/chat/stream/"), i, F.lit("/more")), F.concat(F.lit("/share/"), i)]
+    return read(spark, d, "events").select("event_id", N.templated(F.element_at(F.array(*made), (F.col("event_id") % 8 + 1).cast("int"))).alias("route"))

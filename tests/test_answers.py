@@ -5,6 +5,7 @@ import time
 import pytest
 from pyspark.sql import functions as F
 
+from provena.functions import norm as N
 from provena.operators import excerpts, facts, ledger, reconcile, search
 from provena.sources import io
 
@@ -87,6 +88,12 @@ def test_hybrid_search(spark):
     assert {k: len(x) for k, x in got.items()} == {1: 6, 2: 6, 3: 6, 4: 6}
 
 
+def test_units(spark):
+    rows = [(1284.4, "mw", "1.284 MW"), (12_940.0, "brl", "R$ 12,9 mil"), (-4_250_000.0, "", "-4,3 mi"), (3.14e9, "mwh", "3,1 bi MWh"), (12.05, "pct", "12,1%"), (2.5, "x", "2,5x"), (0.126, "h", "0,13 h"), (7.0, "brl_mwh", "R$ 7/MWh"), (None, "x", "\u2013"), (55.55, "?", "55,6"), (0.0, "?", "0"), (100.0, "mwmes", "100 MWm\u00eas")]
+    d = spark.createDataFrame(rows, "v double, u string, want string")
+    assert [(r.want, r.got) for r in d.select("want", N.with_unit("v", "u").alias("got")).collect() if r.want != r.got] == []
+
+
 def test_small_ones(spark):
     d = spark.createDataFrame([(i % 5, i) for i in range(100)] + [(None, 7)], "g long, i long").repartition(6)
     assert [(r.g, r.i) for r in excerpts.numbered(d, ["g", "i"]).orderBy("id").select("g", "i").collect()] == [(None, 7), *sorted((i % 5, i) for i in range(100))]
