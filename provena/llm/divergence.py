@@ -172,7 +172,7 @@ def _compared(top: int):
             for t in more[np.argsort(-f[more], kind="stable")][:top]:  # terms are in order, so ties are too
                 for column, x in zip(out, (source, "term", names[t], int(f[t])), strict=True):
                     column.append(x)
-        return pa.table([pa.array([table["lang"][0].as_py()] * len(out[0])), *(pa.array(c, t) for c, t in zip(out, (pa.string(), pa.string(), pa.string(), pa.int64()), strict=True))], names=["lang", "source", "part", "item", "value"])
+        return pa.table([pa.array([table["lang"][0].as_py()] * len(out[0]), pa.string()), *(pa.array(c, t) for c, t in zip(out, (pa.string(), pa.string(), pa.string(), pa.int64()), strict=True))], names=["lang", "source", "part", "item", "value"])
 
     return run
 
