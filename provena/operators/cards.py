@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from provena.functions.norm import fold, period_kind, scaled_amount
@@ -128,6 +128,13 @@ def scoreboard(runs: DataFrame, cases: DataFrame) -> DataFrame:
     return j.select("case", said.alias("said"), used.alias("used"), ok.alias("passed"))
 
 
+def run_records(spark: SparkSession, path: str) -> DataFrame:
+    """``runs`` for ``scoreboard`` from JSON lines ``{case or question, answer, tools, seconds, error}``: the newest line of each case (by ``at``) counts; a line that isn't JSON is left out."""
+    d = spark.read.schema("case string, question string, answer string, tools array<string>, seconds double, error string, at string").option("mode", "DROPMALFORMED").json(path)
+    d = d.withColumn("case", F.coalesce("case", "question")).where("case is not null").drop("question")
+    return top_n(d, ["case"], [F.desc_nulls_last("at"), F.asc("error")])
+
+
 def described(spark_tables: dict[str, DataFrame], summaries: DataFrame) -> DataFrame:
     """``(table, rows, summary, columns)`` of the named tables; a count each, in one job."""
     one = lambda name, df: df.agg(F.count("*").alias("rows")).select(F.lit(name).alias("table"), "rows", F.lit(", ".join(f"{f.name} {f.dataType.simpleString()}" for f in df.schema)).alias("columns"))

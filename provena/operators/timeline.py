@@ -10,6 +10,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from provena.functions.norm import fold
+
 from .temporal import top_n
 
 #: Kinds of events in the order of a year's page.
@@ -35,12 +37,13 @@ IMPACT = {
 STEP = "struct<year int, role string, link string, n bigint, amount double, source string>"
 
 
-def yearly_events(rows: DataFrame, kind: str, item: str, amount: str, source: str, themes: str | None = None, per: tuple[str, ...] = (), most: int = 12) -> DataFrame:
-    """One event per company and year (and ``per``): rows, total, the ``most`` largest items and the themes seen.
+def yearly_events(rows: DataFrame, kind: str, item: str, amount: str, source: str, themes: str | None = None, per: tuple[str, ...] = (), most: int = 12, closed_before: int | None = None) -> DataFrame:
+    """One event per company and year (and ``per``): rows, total, the ``most`` largest items and the themes seen; with ``closed_before`` only of earlier years.
 
     A null amount counts as zero in the total and comes last among the items; ties by item.
     """
     keys = ["company", "year", *per]
+    rows = rows if closed_before is None else rows.where(F.col("year") < closed_before)
     w = Window.partitionBy(*keys).orderBy(F.desc_nulls_last(amount), item)
     seen = F.array_sort(F.array_distinct(F.flatten(F.collect_set(themes)))) if themes else F.array().cast("array<string>")
     total = rows.groupBy(*keys).agg(F.count("*").alias("n"), F.coalesce(F.sum(amount), F.lit(0.0)).alias("total"), seen.alias("themes"))
@@ -139,6 +142,68 @@ def asset_trajectories(assets: DataFrame, loans: DataFrame, auctions: DataFrame,
     return steps(lent, "financing", F.max("lent"), "name of the asset in the loan", "loans").unionByName(steps(sold, "contract", F.lit(None).cast("double"), "id of the asset", "auctions"))
 
 
+#: Themes of a report that announce a strategy.
+STRATEGIC = ("metas", "transicao", "renovavel", "investimento_ambiental", "descarbonizacao")
+
+
+def _step(df: DataFrame, year, role: str, link: str, n, amount, source: str) -> DataFrame:
+    """Rows of one role in the columns that ``trajectories`` takes."""
+    c = lambda x, name, kind: (F.col(x) if isinstance(x, str) else F.lit(x)).cast(kind).alias(name)
+    return df.select("company", "title", c(year, "year", "int"), F.lit(role).alias("role"), F.lit(link).alias("link"), c(n, "n", "long"), c(amount, "amount", "double"), F.lit(source).alias("source"))
+
+
+def contract_trajectories(contracts: DataFrame, works: DataFrame, loans: DataFrame, series: DataFrame, today: int) -> DataFrame:
+    """Steps of contract -> (loan that cites its number) -> investment -> operation.
+
+    ``contracts(company, contract, number, holder, signed)`` with a number like 12/2019 and a date, ``works(company,
+    contract, name, running, entered)`` with a date, ``loans(company, year, amount, name)``, ``series(company, year, value)``.
+    Works that ran before the signature aren't the contract's; a contract without works, signature or number has no steps.
+    """
+    number = lambda c, group: F.regexp_extract(fold(c), r"(?:contrato\D{0,40})?\b(\d+)/(\d{4})", group).try_cast("int")
+    c = contracts.where(F.col("signed").isNotNull()).withColumn("_a", number("number", 1)).withColumn("_y", number("number", 2)).where("_y is not null")
+    c = c.withColumn("since", F.year("signed")).withColumn("title", F.concat(F.lit("transmission "), "number", F.lit(" ("), F.coalesce("holder", F.lit("")), F.lit("): contract to operation")))
+    w = works.select("company", "contract", F.coalesce("running", F.lit(False)).alias("running"), "entered")
+    j = c.join(w, ["company", "contract"]).where(~(F.col("running") & F.coalesce(F.col("entered") < F.col("signed"), F.lit(False))))
+    g = j.groupBy("company", "title", "_a", "_y", "since").agg(F.count("*").alias("n"), F.count_if(F.col("running")).alias("on"), F.max(F.when(F.col("running"), F.year("entered"))).alias("entry"))
+    g = g.withColumn("until", F.coalesce("entry", "since")).withColumn("off", F.col("n") - F.col("on"))
+    cited = F.regexp_extract(fold("name"), r"contrato\D{0,40}\b(\d+/\d{4})", 1)
+    l = loans.select("company", F.col("year").alias("lent_in"), F.col("amount").alias("lent"), F.split(cited, "/").alias("_c")).where(F.size("_c") == 2)
+    l = l.select("company", "lent_in", "lent", F.col("_c")[0].cast("int").alias("_a"), F.col("_c")[1].cast("int").alias("_y"))
+    paid = top_n(g.join(l, ["company", "_a", "_y"]), ["company", "title"], [F.asc("lent_in"), F.desc("lent")])
+    parts = [
+        _step(g, "since", "contract", "", 1, None, "contracts"), _step(paid, "lent_in", "financing", "number of the contract in the loan", 1, "lent", "loans"),
+        _step(investment_step(g, series), "year", "investment", "", 1, "rise", "statements"), _step(g.where("on > 0"), "entry", "result", "same contract", "on", None, "works"),
+        _step(g.where("off > 0"), today, "not yet seen", "same contract", "off", None, "works"),
+    ]
+    return reduce(DataFrame.unionByName, parts)
+
+
+def report_trajectories(reports: DataFrame, series: DataFrame, entries: DataFrame, accounts: DataFrame) -> DataFrame:
+    """Steps of a strategy announced in year A -> the investment's rise in A + 1 -> what is seen in A + 2.
+
+    ``reports(company, year, title, themes, points)``: each year's event of most points with a strategic theme (ties by
+    title); ``series(company, year, value)`` of investment, without a rise there are no steps; ``entries(company, year, mw)`` of
+    renewable plants that went into operation; ``accounts(company, year, ebitda)``.  Seen are the plants of A + 2, else earnings
+    of A + 2 after known ones of A + 1; where the accounts end before A + 2 it is not yet seen.
+    """
+    told = reports.where(F.arrays_overlap("themes", F.array(*map(F.lit, STRATEGIC))))
+    best = top_n(told, ["company", "year"], [F.desc("points"), F.asc("title")])
+    best = best.withColumn("since", F.col("year")).withColumn("until", F.col("year") + 1).withColumn("title", F.concat("title", F.lit(" in the report of "), F.col("year").cast("string"), F.lit(": investment to result")))
+    rise = investment_step(best, series)
+    s = best.join(rise.select("company", "title", F.col("year").alias("rose"), "rise"), ["company", "title"]).withColumn("seen", F.col("since") + 2)
+    e = entries.groupBy("company", F.col("year").alias("seen")).agg(F.sum("mw").alias("mw"), F.count("*").alias("plants"))
+    a = accounts.where("ebitda is not null and ebitda <> 0").select("company", "year", "ebitda")
+    both = a.join(a.select("company", (F.col("year") + 1).alias("year"), F.lit(True).alias("_before")), ["company", "year"]).select("company", F.col("year").alias("seen"), "ebitda")
+    last = accounts.groupBy("company").agg(F.max("year").alias("last"))
+    s = s.join(e, ["company", "seen"], "left").join(both, ["company", "seen"], "left").join(last, "company", "left")
+    late = F.col("plants").isNull() & (F.col("seen") > F.coalesce("last", F.lit(0)))
+    parts = [
+        _step(s, "since", "strategy", "", 1, None, "reports"), _step(s, "rose", "investment", "", 1, "rise", "statements"), _step(s.where("plants > 0"), "seen", "result", "", "plants", "mw", "register"),
+        _step(s.where("plants is null and ebitda is not null"), "seen", "result", "", 1, "ebitda", "statements"), _step(s.where(late), "seen", "not yet seen", "", 1, None, "statements"),
+    ]
+    return reduce(DataFrame.unionByName, parts)
+
+
 def trajectories(steps: DataFrame, first: int, lead: int = 5, most: int = 8) -> DataFrame:
     """Steps in order of time, one row per company and title.
 

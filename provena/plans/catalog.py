@@ -317,7 +317,7 @@ def priced_events(spark, d):
     """Rates by the longest key contained."""
     k = spark.createDataFrame([("cl", 1.0), ("click", 2.0), ("pur", 3.0), ("view", 4.0)], "key string, base double")
     e = read(spark, d, "events").select(F.col("event_type").alias("model"), "value")
-    j = e.join(F.broadcast(ledger.longest_key(e, k)), "model", "left")
+    j = e.join(ledger.longest_key(e, k), "model", "left")
     return j.groupBy(F.col("model").alias("event_type")).agg(F.count("*").alias("n"), F.round(F.sum(F.col("value") * F.coalesce("base", F.lit(6.0))), 2).alias("cost"))
 
 

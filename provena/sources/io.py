@@ -86,6 +86,25 @@ def write_panel(df: DataFrame, path: str, declared: list[str]) -> None:
     df.select(F.to_json(F.struct(*declared)).alias("value")).write.mode("overwrite").text(path)
 
 
+def write_panels(panels: dict[str, DataFrame | None], declared: dict[str, list[str]], path: str, catalog: DataFrame) -> DataFrame:
+    """Each dataset as JSON lines in a folder of its own; returns ``(id, columns, rows, description, skipped)``, also of those that are missing.
+
+    Declared columns must exist: all are looked at before anything is written.
+    """
+    for name, df in panels.items():
+        gone = [c for c in declared.get(name, []) if df is not None and c not in df.columns]
+        if gone:
+            raise ValueError(f"{name}: columns declared but missing: {gone}")
+    for name, df in panels.items():
+        if df is not None:
+            write_panel(df, f"{path}/{name}", declared.get(name) or df.columns)
+    spark = catalog.sparkSession
+    count = lambda name, df: spark.read.text(f"{path}/{name}").count() if df is not None else None
+    rows = [(name, None if df is None else declared.get(name) or df.columns, count(name, df), df is None) for name, df in panels.items()]
+    d = spark.createDataFrame(rows, "id string, columns array<string>, rows long, skipped boolean")
+    return d.join(catalog.select(F.col("table").alias("id"), "description"), "id", "left").select("id", "columns", "rows", "description", "skipped")
+
+
 def write_per_key(df: DataFrame, key: str, path: str) -> DataFrame:
     """One JSON folder per key; returns the index of keys with content."""
     df.repartition(key).write.mode("overwrite").partitionBy(key).json(path)

@@ -6,7 +6,7 @@ from datetime import date
 
 import pytest
 
-from provena.operators import facts
+from provena.operators import cards, facts
 from provena.sources import io
 
 
@@ -79,3 +79,18 @@ def test_chunks_equal_brute_force(spark):
     squeeze = lambda x: re.sub(r"\n{3,}", "\n\n", re.sub(r"[ \t]+", " ", x)).strip(" \t\n\r\f\v")
     want = {i: c for i, x in enumerate(texts) if len(squeeze(x)) >= 10 and (c := slow_chunks(squeeze(x), 90, 20, 10))}
     assert got == want
+
+
+def test_panels_with_metadata_and_run_records(spark, tmp_path):
+    d = spark.createDataFrame([(1, "x"), (2, None)], "n int, s string")
+    c = spark.createDataFrame([("one", "The first."), ("gone", "Not here.")], "table string, description string")
+    got = {r.id: (r.columns, r.rows, r.description, r.skipped) for r in io.write_panels({"one": d, "gone": None, "two": d}, {"one": ["n"]}, str(tmp_path / "p"), c).collect()}
+    assert got == {"one": (["n"], 2, "The first.", False), "gone": (None, None, "Not here.", True), "two": (["n", "s"], 2, None, False)}
+    with pytest.raises(ValueError, match="one: columns declared but missing"):
+        io.write_panels({"two": d, "one": d}, {"one": ["z"]}, str(tmp_path / "q"), c)
+    assert not (tmp_path / "q").exists()
+    lines = [{"case": "1", "answer": "old", "at": "2026-01-01"}, {"case": "1", "answer": "ok 2020", "tools": ["search"], "at": "2026-01-02"}, {"question": "2", "error": "timeout"}]
+    (tmp_path / "log.jsonl").write_text("\n".join([*map(json.dumps, lines), "{broken"]))
+    runs = cards.run_records(spark, str(tmp_path / "log.jsonl"))
+    cases = spark.createDataFrame([("1", ["ok"], ["bad"], ["search"]), ("2", [], None, None), ("3", None, None, None)], "case string, must array<string>, must_not array<string>, tools array<string>")
+    assert {r.case: r.passed for r in cards.scoreboard(runs, cases).collect()} == {"1": True, "2": False, "3": False}

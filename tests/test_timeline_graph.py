@@ -45,6 +45,26 @@ def test_trajectories(spark):
     assert timeline.trajectories(steps.where("false"), 2018).count() == 0
 
 
+def test_contract_and_report_trajectories(spark):
+    day = "company string, contract string, number string, holder string, signed string"
+    c = spark.createDataFrame([("k", "c1", "12/2018", "H", "2018-05-01"), ("k", "c2", "x", "H", "2018-05-01"), ("k", "c3", "13/2018", "H", None), ("k", "c4", "14/2018", "H", "2018-05-01")], day).withColumn("signed", F.to_date("signed"))
+    w = spark.createDataFrame([("k", "c1", "w1", True, "2020-01-01"), ("k", "c1", "w2", True, "2021-01-01"), ("k", "c1", "w3", False, None), ("k", "c1", "old", True, "2017-01-01"), ("k", "c2", "w", True, "2020-01-01")], "company string, contract string, name string, running boolean, entered string").withColumn("entered", F.to_date("entered"))
+    l = spark.createDataFrame([("k", 2019, 50.0, "Implantacao, contrato de concessao n 012/2018-ANEEL"), ("k", 2018, 9.0, "contrato 99/2018"), ("k", 2020, 70.0, "Contrato 12/2018")], "company string, year int, amount double, name string")
+    s = spark.createDataFrame([("k", y, v) for y, v in ((2018, 1.0), (2019, 4.0), (2020, 5.0), (2021, 9.0), (2022, 9.5))], "company string, year int, value double")
+    steps = timeline.contract_trajectories(c, w, l, s, 2026)
+    got = {r.title: [(x.year, x.role, x.link, x.n, x.amount) for x in r.steps] for r in timeline.trajectories(steps, 2018).collect()}
+    assert got == {"transmission 12/2018 (H): contract to operation": [
+        (2018, "contract", None, 1, None), (2019, "financing", "number of the contract in the loan", 1, 50.0), (2021, "investment", "order in time", 1, 4.0), (2021, "result", "same contract", 2, None), (2026, "not yet seen", "same contract", 1, None)]}
+    r = spark.createDataFrame([("k", 2018, "T", ["metas"], 5.0), ("k", 2018, "U", ["metas"], 7.0), ("k", 2019, "V", ["renovavel"], 1.0), ("k", 2020, "N", ["other"], 9.0), ("k", 2021, "W", ["metas"], 1.0), ("k", 2022, "none", ["metas"], 1.0)], "company string, year int, title string, themes array<string>, points double")
+    e = spark.createDataFrame([("k", 2020, 3.0), ("k", 2020, 4.0)], "company string, year int, mw double")
+    a = spark.createDataFrame([("k", 2020, 10.0), ("k", 2021, 12.0), ("k", 2022, 0.0)], "company string, year int, ebitda double")
+    steps = timeline.report_trajectories(r, s, e, a)
+    got = {x.title[0]: [(y.year, y.role, y.n, y.amount) for y in x.steps] for x in timeline.trajectories(steps, 2018).collect()}
+    assert got == {"U": [(2018, "strategy", 1, None), (2019, "investment", 1, 3.0), (2020, "result", 2, 7.0)], "V": [(2019, "strategy", 1, None), (2020, "investment", 1, 1.0), (2021, "result", 1, 12.0)], "W": [(2021, "strategy", 1, None), (2022, "investment", 1, 0.5), (2023, "not yet seen", 1, None)]}
+    rows = spark.createDataFrame([("a", 2020, "x", 1.0), ("a", 2026, "y", 1.0)], "company string, year int, item string, amount double")
+    assert [x.year for x in timeline.yearly_events(rows, "usina", "item", "amount", "t", closed_before=2026).collect()] == [2020]
+
+
 def test_panel(spark):
     assert len(panel.DATASETS) == 13
     d = panel.DATASETS["pdd"]
