@@ -90,6 +90,21 @@ class _Words(dict):
         return _raw(self.tokenizer.encode(word.decode("utf-8", "replace"), add_special_tokens=False).ids)
 
 
+_KEPT = [_MEMOS]
+
+
+def remembered(memo: dict) -> dict:
+    """A memo that a worker keeps for later tasks, until tasks of another kind ``forget`` it."""
+    _KEPT.append(memo)
+    return memo
+
+
+def forget() -> None:
+    """Frees what a worker's earlier tasks remembered, for tasks of another kind."""
+    for memo in _KEPT:
+        memo.clear()
+
+
 class WordEncoder:
     """Text -> uint32 ids; the memos of words and pieces are bounded and kept for a worker's later tasks."""
 

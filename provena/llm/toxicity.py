@@ -39,6 +39,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T_
 
 from .common import carried, read, restored, staged, table_input
+from .tokens import forget, remembered
 from .words import WordHasher, Windows, lower_space_words, mix, per_batch, utf8
 
 MAX_TRAIN, PREFIXES = 20_000, (4, 5, 6, 7)
@@ -196,14 +197,14 @@ def _features_of(lexicon):
     return per_batch(run)
 
 
-_READERS: dict = {}
+_READERS = remembered({})
 
 
 def _reader(lexicon) -> Reader:
     """One reader for a broadcast lexicon in a worker."""
     key = lexicon.id if hasattr(lexicon, "id") else id(lexicon)
     if key not in _READERS:
-        _READERS.clear()
+        forget()
         _READERS[key] = Reader(lexicon.value)
     return _READERS[key]
 

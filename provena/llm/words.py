@@ -15,6 +15,8 @@ import pyarrow as pa
 import xxhash
 import zstandard
 
+from .tokens import forget
+
 U64 = np.uint64
 BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(BASE, -1, 1 << 64)
@@ -44,11 +46,15 @@ class _Memo(dict):
 
 
 class WordHasher:
-    """Word -> 64-bit hash with a bounded memo."""
+    """Word -> 64-bit hash with a bounded memo.  A task that begins with one frees what tasks of other kinds left in the worker."""
 
     def __init__(self, limit: int = 500_000):
+        forget()
         self.limit, self.memo = limit, _Memo()
 
+    def __reduce__(self) -> tuple:
+        return WordHasher, (self.limit,)
+
     def __call__(self, words: list[bytes]) -> np.ndarray:
         if len(self.memo) > self.limit:
             self.memo.clear()
