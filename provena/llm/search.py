@@ -3,12 +3,13 @@
 The scan cuts the documents into shards of at most ``shard_docs`` (or that many with ``shard_words``
 words) and orders a shard's documents by their most
 frequent word and length, so that blocks hold like documents and their bounds are close; each shard's
-inverted index (postings by term, with term counts, and a table of document
+inverted index (postings by buckets of terms, with term counts, and a table of document
 ids and lengths) is staged once.  Document frequencies, the number of documents and the mean length are
 added up over all shards, so every shard scores with global statistics.  A block of
 queries goes to ``WAYS`` tasks or more, each with a share of the shards, of which
-only the postings of the block's terms are sent there.  A task takes its queries through one shard after
+only the buckets that hold a term of the block are sent there.  A task takes its queries through one shard after
 another by block-max WAND with the query's k-th score in the shards so far as its threshold.
+Every query meets every shard, so the work grows with the product of queries and documents.
 The tasks' top-k merge exactly: a document lies in one shard and its
 score does not depend on the shard.
 
@@ -34,16 +35,20 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import read, staged, table_input
-from .words import U64, Batches, WordHasher, alnum_words, per_batch, signed, utf8
+from .words import U64, Batches, WordHasher, alnum_words, per_batch, utf8
 
-K, K1, B, BLOCK, SHARD_DOCS, SHARD_WORDS, QUERY_BLOCK = 10, 1.2, 0.75, 64, 8192, 4_000_000, 20_000
+K, K1, B, BLOCK, SHARD_DOCS, SHARD_WORDS, QUERY_BLOCK = 10, 1.2, 0.75, 4, 8192, 4_000_000, 20_000
 WAYS, SHARDS_A_TASK = 16, 64  # the shards are dealt to so many tasks for a block of queries: more where a task would get too many
+SPREAD, FIRST, REACH = 8, 0.25, 0.5  # see Postings and block_max_wand; they change what is read, not what is found
+ROUNDING = 1.001  # far more than single-precision sums of block bounds can be short by
+BUCKET_BITS = 13  # a shard's terms go into so many buckets (as a power of 2), by the first bits of their hashes: rows of some kilobytes
 SLACK = 1e-6  # scores are ranked after rounding; nothing within this of the k-th is skipped
 
 
 def _index(shard_docs: int, shard_words: int):
-    """Rows (shard, term, n, docs uint16, counts uint32); the row without a term holds ids and lengths."""
-    names = ["shard", "term", "n", "docs", "counts"]
+    """Rows (shard, bucket, terms, n of each, docs uint16, counts uint32) with all postings of a bucket of terms, in the order of the
+    hashes; the row without a bucket holds ids and lengths, and in n their number and the sum of the lengths."""
+    names = ["shard", "bucket", "terms", "n", "docs", "counts"]
 
     def shard(number: int, ids: list[int], hashes: list[np.ndarray]) -> pa.RecordBatch:
         size = np.array([len(h) for h in hashes])
@@ -67,16 +72,24 @@ def _index(shard_docs: int, shard_words: int):
         key, doc, tf = key[order], doc[order].astype(np.uint16), tf[order]
         size, ids = size[rows], np.array(ids, np.int64)[rows]
         start = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
-        edge = np.append(start, len(key))
+        terms = key[start]
+        bucket = bucket_of(terms)
+        part = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])) if len(terms) else np.zeros(0, np.int64)
+        edge = np.append(start, len(key))[np.append(part, len(terms))]
 
         def lists(x: np.ndarray, own: bytes) -> pa.Array:
             raw = x.tobytes() + own
             ends = np.append(edge * x.itemsize, len(raw)).astype(np.int32)
             return pa.Array.from_buffers(pa.binary(), len(ends) - 1, [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(raw)])
 
-        terms = pa.concat_arrays([signed(key[start]), pa.array([None], pa.int64())])
-        n = pa.array(np.append(np.diff(edge), len(ids)).astype(np.int64))
-        return pa.record_batch([pa.array(np.full(len(n), number)), terms, n, lists(doc, ids.tobytes()), lists(tf, size.astype(np.uint32).tobytes())], names=names)
+        def each(x: np.ndarray, own: list[int]) -> pa.Array:
+            ends = np.append(part, [len(terms), len(terms) + len(own)]).astype(np.int32)
+            return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.append(x.astype(np.int64), np.array(own, np.int64))))
+
+        bucket = pa.concat_arrays([pa.array(bucket[part].astype(np.int32)), pa.array([None], pa.int32())])
+        n = each(np.diff(np.append(start, len(key))), [len(ids), int(size.sum())])
+        shards = pa.array(np.full(len(n), number))
+        return pa.record_batch([shards, bucket, each(terms.view(np.int64), []), n, lists(doc, ids.tobytes()), lists(tf, size.astype(np.uint32).tobytes())], names=names)
 
     def run(batches: Batches) -> Batches:
         hasher = WordHasher()
@@ -96,6 +109,10 @@ def _index(shard_docs: int, shard_words: int):
     return run
 
 
+def bucket_of(terms: np.ndarray) -> np.ndarray:
+    return terms >> U64(64 - BUCKET_BITS)
+
+
 def _query_words(batch: pa.RecordBatch) -> pa.RecordBatch:
     hasher = WordHasher()
     rows: list[tuple] = []
@@ -116,27 +133,34 @@ def _ranges(first: np.ndarray, last: np.ndarray) -> np.ndarray:
 class Postings:
     """The postings of a shard's queried terms, term after term.
 
-    A term's list is a row of entries, one for every block of documents that it touches, with the entry's
-    maximum impact; ``list_max`` is the list's.
+    ``list_max`` holds the greatest impact of every list.  A long list (at least one posting to ``SPREAD`` blocks of the shard) also
+    has a row of ``block_max``: the greatest impact in every block of ``BLOCK`` documents, rounded up.  Postings of long lists
+    are there a second time in the order of the documents (``of_doc``, ``doc_impact``).
     """
 
     def __init__(self, n: np.ndarray, docs: np.ndarray, impact: np.ndarray, ids: np.ndarray):
-        self.impact, self.ids = impact, ids
-        edge = np.append(0, np.cumsum(n))
-        block, self.low = docs // BLOCK, docs % BLOCK
-        new = np.concatenate([[True], block[1:] != block[:-1]])
-        new[edge[:-1]] = True
-        first = np.flatnonzero(new)
+        self.docs, self.impact, self.ids = docs, impact, ids
+        self.edge = np.append(0, np.cumsum(n))
+        self.list_max = np.maximum.reduceat(impact, self.edge[:-1])
         self.blocks = -(-len(ids) // BLOCK)
-        self.entry_block, self.entry_max = block[first], np.maximum.reduceat(impact, first)
-        self.entry_edge = np.append(first, len(docs))
-        self.term_entry = np.searchsorted(first, edge)
-        self.list_max = np.maximum.reduceat(impact, edge[:-1])
+        self.long = n * SPREAD >= self.blocks
+        self.row = np.cumsum(self.long) - 1
+        own = np.repeat(self.long, n)
+        row, doc, high = np.repeat(self.row[self.long], n[self.long]).astype(np.int32), docs[own], impact[own]
+        self.block_max = np.zeros((int(self.long.sum()), self.blocks), np.float32)
+        if len(doc):
+            cell = row.astype(np.int64) * self.blocks + doc // BLOCK
+            first = np.flatnonzero(np.concatenate([[True], cell[1:] != cell[:-1]]))
+            self.block_max.ravel()[cell[first]] = np.nextafter(np.maximum.reduceat(high, first).astype(np.float32), np.float32(np.inf))
+        by_doc = np.argsort(doc.astype(np.uint16), kind="stable")
+        self.of_doc, self.doc_impact = row[by_doc], high[by_doc]
+        self.doc_edge = np.append(0, np.cumsum(np.bincount(doc, minlength=len(ids))))
+        self.weight = np.zeros(len(self.block_max))  # of the rows, during a search
         self.distinct = len(np.unique(ids)) == len(ids)
 
 
 class Work:
-    """What a search has read: pivot blocks, block bounds (entries) and postings."""
+    """What a search has read: pivot blocks, block bounds, blocks with scored documents and postings."""
 
     def __init__(self):
         self.pivots = self.bounds = self.scored = self.postings = 0
@@ -145,90 +169,110 @@ class Work:
 def block_max_wand(p: Postings, terms: np.ndarray, weights: np.ndarray, k: int, best: np.ndarray | None = None, ids: np.ndarray | None = None, work: Work | None = None):
     """(rounded scores, doc ids) of the top k distinct ids of the shards so far; ``terms`` are positions in ``p``.
 
-    Every term has a cursor in its list of block entries.  Terms are ordered by their list bounds; those that together
-    stay under the threshold can't make a pivot, so the next pivot is the next block that one of the others
-    touches, and all blocks before it are jumped without being read.  At the pivots the block bounds of the
-    pivot terms are read; only where they and the others' list bounds reach the threshold are the others' cursors moved there and
-    their block bounds read as well; only blocks that still reach it are scored.
-    Pivots are taken a few at a time, in the order of the documents, with a threshold that rises in between.
+    Terms are ordered by their list bounds.  Those that together stay under the threshold can't make a pivot: only
+    documents in the lists of the others, the pivot terms, can reach it.  These lists are read and added up by document.
+    A pivot document goes on if its sum and the list bounds of the terms left reach the threshold, and then, with the block bounds
+    of these terms, which are read at such documents' blocks only, if it still does.  The few that remain are
+    scored, the most promising first, so that the threshold rises before the others are looked at.
+    No posting of the terms left is read but those of scored documents.
+
+    While there is no threshold, the best by the greatest lists, at most a share ``FIRST`` of the postings, are scored to get one.
+    Lists are read until the terms left reach no more than ``REACH`` of the threshold: a few more lists leave far fewer documents.
     """
     work = work or Work()
     best, ids = (np.zeros(0), np.zeros(0, np.int64)) if best is None else (best, ids)
     bound = p.list_max[terms] * weights
-    order = np.argsort(bound, kind="stable")
+    least = _least(best, k)
+    if bound.sum() < least or not len(terms):
+        return best, ids  # no document of the shard reaches the threshold
+    # terms that may be left, by their bounds; the short lists are read in any case
+    order = np.lexsort((bound, ~p.long[terms]))
     terms, weights, bound = terms[order], weights[order], bound[order]
-    upto = np.cumsum(bound)
-    cursor, end = p.term_entry[terms].copy(), p.term_entry[terms + 1]
-    place, flag = np.full(p.blocks, -1), np.zeros(p.blocks, bool)
-    now, step = 0, 8  # all cursors stand at the first entry of a block >= now
-    while True:
-        least = best[-1] - SLACK if len(best) == k else 0.0
-        ess = int(np.searchsorted(upto, least)) if least > 0 else 0
-        if ess == len(terms):
-            break  # no document from here on reaches the threshold
-        # pivots: the next blocks that the pivot terms touch
-        lo = cursor[ess:]
-        hi = np.minimum(end[ess:], lo + step)
-        near = _ranges(lo, hi)
-        at = p.entry_block[near]
-        if not len(near):
+    n_long = int(p.long[terms].sum())
+    upto = np.append(0.0, np.cumsum(bound[:n_long]))  # upto[i]: what the first i terms may add
+    n = p.edge[terms + 1] - p.edge[terms]
+    rows, total, left = p.row[terms[:n_long]], np.zeros(len(p.ids)), n_long
+
+    def add_up(docs: np.ndarray, impact: np.ndarray, of: slice) -> None:
+        nonlocal total
+        impact *= np.repeat(weights[of], n[of])
+        total += np.bincount(docs, impact, len(total))
+        work.postings += len(docs)
+
+    def read(to: int) -> None:
+        """Add up the long lists of the terms ``to`` and after."""
+        nonlocal left
+        if to < left:
+            at = list(zip(p.edge[terms[to:left]].tolist(), p.edge[terms[to:left] + 1].tolist(), strict=True))
+            add_up(np.concatenate([p.docs[i:j] for i, j in at]), np.concatenate([p.impact[i:j] for i, j in at]), slice(to, left))
+            left = to
+
+    def score(docs: np.ndarray) -> None:
+        """Bring ``best, ids`` up to date with these documents."""
+        nonlocal best, ids, least
+        full = total[docs]
+        if left:
+            lo, hi = p.doc_edge[docs], p.doc_edge[docs + 1]
+            some = np.flatnonzero(hi > lo)
+            post = _ranges(lo[some], hi[some])
+            work.postings += len(post)
+            if len(some):
+                p.weight[rows[:left]] = weights[:left]
+                each = p.weight.take(p.of_doc.take(post))
+                each *= p.doc_impact.take(post)
+                full[some] += np.add.reduceat(each, np.cumsum(hi[some] - lo[some]) - (hi[some] - lo[some]))
+                p.weight[rows[:left]] = 0.0
+        work.scored += len(np.unique(docs // BLOCK))
+        best, ids = _merged(np.round(full, 6), p.ids[docs], p.distinct, k, best, ids, least)
+        least = _least(best, k)
+
+    short = _ranges(p.edge[terms[n_long:]], p.edge[terms[n_long:] + 1])
+    add_up(p.docs.take(short), p.impact.take(short), slice(n_long, None))
+    if least <= 0:
+        share = np.cumsum(n[::-1])[::-1]  # postings of the terms i and after
+        read(min(int(np.searchsorted(-share, -FIRST * share[0])), n_long))
+        score(_highest(total, np.flatnonzero(total > 0), 4 * k))
+    read(max(int(np.searchsorted(upto, REACH * least, "right")) - 1, 0) if least > 0 else 0)
+    able = np.flatnonzero((total + upto[left] >= least) & (total > 0))
+    blocks = np.unique(able // BLOCK)
+    work.pivots += len(blocks)
+    high = total[able]
+    if left and len(able):
+        work.bounds += left * len(blocks)
+        if 2 * len(blocks) > p.blocks:
+            add = weights[:left].astype(np.float32) @ p.block_max[rows[:left]]
+        else:
+            add = np.zeros(p.blocks, np.float32)
+            add[blocks] = weights[:left].astype(np.float32) @ p.block_max[rows[:left, None], blocks]
+        high = high + add[able // BLOCK] * ROUNDING
+    while len(able):
+        able, high = able[high >= least], high[high >= least]
+        if not len(able):
             break
-        pivots = np.unique(at)[:step]
-        mine = at <= pivots[-1]
-        near, at = near[mine], at[mine]
-        weight = np.repeat(weights[ess:], hi - lo)[mine]
-        cursor[ess:] += np.bincount(np.repeat(np.arange(len(lo)), hi - lo)[mine], minlength=len(lo))
-        work.pivots, work.bounds = work.pivots + len(pivots), work.bounds + len(near)
-        place[pivots] = np.arange(len(pivots))
-        high = np.bincount(place[at], p.entry_max[near] * weight, len(pivots))
-        place[pivots] = -1
-        able = pivots[high + (upto[ess - 1] if ess else 0.0) >= least]
-        high = high[high + (upto[ess - 1] if ess else 0.0) >= least]
-        now, step = int(pivots[-1]) + 1, min(2 * step, 64)
-        if len(able):
-            flag[able] = True
-            here = flag[at]
-            entry, w = near[here], weight[here]
-            if ess:  # move the other cursors to these pivots
-                first = cursor[:ess]
-                upper = np.minimum(end[:ess], first + now)
-                others = _ranges(first, upper)
-                their = p.entry_block[others]
-                here = flag[their]
-                passed = their < now
-                flag[able] = False
-                owner = np.repeat(np.arange(ess), upper - first)
-                cursor[:ess] += np.bincount(owner[passed], minlength=ess)
-                others, ow = others[here], weights[owner[here]]
-                work.bounds += len(others)
-                place[able] = np.arange(len(able))
-                high = high + np.bincount(place[p.entry_block[others]], p.entry_max[others] * ow, len(able))
-                place[able] = -1
-                able = able[high >= least]
-                entry, w = np.concatenate([entry, others]), np.concatenate([w, ow])
-            flag[able] = False
-            if len(able):
-                best, ids = _score(p, able, entry, w, k, best, ids, least, place, work)
+        first = _highest(high, np.arange(len(high)), 4 * k)
+        score(able[first])
+        rest = np.ones(len(able), bool)
+        rest[first] = False
+        able, high = able[rest], high[rest]
     return best, ids
 
 
-def _score(p: Postings, blocks: np.ndarray, entry: np.ndarray, weight: np.ndarray, k: int, best: np.ndarray, ids: np.ndarray, least: float, place: np.ndarray, work: Work):
-    """``best, ids`` (distinct ids, best first) brought up to date with the documents of the blocks."""
-    place[blocks] = np.arange(len(blocks))
-    here = place[p.entry_block[entry]]
-    place[blocks] = -1
-    chosen = here >= 0
-    e = entry[chosen]
-    lo, hi = p.entry_edge[e], p.entry_edge[e + 1]
-    post = _ranges(lo, hi)
-    work.scored, work.postings = work.scored + len(blocks), work.postings + len(post)
-    spot = np.repeat(here[chosen] * BLOCK, hi - lo) + p.low[post]
-    total = np.round(np.bincount(spot, p.impact[post] * np.repeat(weight[chosen], hi - lo), len(blocks) * BLOCK), 6)
+def _least(best: np.ndarray, k: int) -> float:
+    return best[-1] - SLACK if len(best) == k else 0.0
+
+
+def _highest(value: np.ndarray, at: np.ndarray, most: int) -> np.ndarray:
+    """Those of the places ``at`` with the ``most`` highest values."""
+    return at if len(at) <= most else at[np.argpartition(value[at], len(at) - most)[len(at) - most :]]
+
+
+def _merged(total: np.ndarray, doc: np.ndarray, distinct: bool, k: int, best: np.ndarray, ids: np.ndarray, least: float):
+    """``best, ids`` (distinct ids, best first) brought up to date with the scored documents."""
     hit = np.flatnonzero((total > 0) & (total >= least))
     if not len(hit):
         return best, ids
-    score, doc = np.concatenate([best, total[hit]]), np.concatenate([ids, p.ids[blocks[hit // BLOCK] * BLOCK + hit % BLOCK]])
-    if p.distinct and len(score) > 2 * k:  # an id is there twice at most: among the best so far and here
+    score, doc = np.concatenate([best, total[hit]]), np.concatenate([ids, doc[hit]])
+    if distinct and len(score) > 2 * k:  # an id is there twice at most: among the best so far and here
         high = score >= np.partition(score, len(score) - 2 * k)[len(score) - 2 * k]
         score, doc = score[high], doc[high]
     rank = np.lexsort((doc, -score))
@@ -241,31 +285,39 @@ class BlockSearch:
 
     def __init__(self, queries: pa.Table, k: int, mean_length: float):
         self.k, self.mean_length = k, max(mean_length, 1e-9)
-        self.queries = queries["term"].to_numpy()
+        self.queries = queries["query_id"].to_numpy()
         asked = pa.chunked_array(queries["asked"]).combine_chunks()
         asked = asked.chunk(0) if isinstance(asked, pa.ChunkedArray) else asked
         self.edge = np.append(0, np.cumsum(asked.value_lengths().to_numpy()))
         flat = asked.flatten()
-        self.terms, self.weights = flat.field("term").to_numpy(), flat.field("weight").to_numpy()
+        self.weights = flat.field("weight").to_numpy()
+        self.wanted, self.terms = np.unique(flat.field("term").to_numpy().view(U64), return_inverse=True)
         self.best = [(np.zeros(0), np.zeros(0, np.int64))] * len(self.queries)
 
     def visit(self, shard: pa.Table) -> None:
-        m = len(shard) - 1  # the shard's own row, without a term, comes last
-        if m < 1:
+        m = len(shard) - 1  # the shard's own row, without a bucket, comes last
+        if m < 1 or not len(self.wanted):
             return
         docs, counts = shard["docs"].to_pylist(), shard["counts"].to_pylist()
         ids = np.frombuffer(docs[m], np.int64)
         norm = K1 * (1 - B + B * np.frombuffer(counts[m], np.uint32) / self.mean_length)
-        doc, tf = np.frombuffer(b"".join(docs[:m]), np.uint16).astype(np.int64), np.frombuffer(b"".join(counts[:m]), np.uint32).astype(float)
-        p = Postings(np.array([len(x) // 2 for x in docs[:m]], np.int64), doc, tf * (K1 + 1) / (tf + norm[doc]), ids)
-        term = shard["term"].slice(0, m).to_numpy()
-        at = np.minimum(np.searchsorted(term, self.terms), m - 1)
-        known = term[at] == self.terms
+        flat = lambda name: np.concatenate([c.flatten().to_numpy() for c in shard[name].slice(0, m).chunks])
+        term, n = flat("terms").view(U64), flat("n")
+        at = np.minimum(np.searchsorted(self.wanted, term), len(self.wanted) - 1)
+        asked = self.wanted[at] == term
+        if not asked.any():
+            return
+        own = np.repeat(asked, n)
+        doc, tf = np.frombuffer(b"".join(docs[:m]), np.uint16)[own].astype(np.int64), np.frombuffer(b"".join(counts[:m]), np.uint32)[own].astype(float)
+        p = Postings(n[asked], doc, tf * (K1 + 1) / (tf + norm[doc]), ids)
+        place = np.full(len(self.wanted), -1)
+        place[at[asked]] = np.arange(int(asked.sum()))
+        at = place[self.terms]
         for i in range(len(self.queries)):
-            own = slice(self.edge[i], self.edge[i + 1])
-            mine = known[own]
-            if mine.any():
-                self.best[i] = block_max_wand(p, at[own][mine], self.weights[own][mine], self.k, *self.best[i])
+            mine = slice(self.edge[i], self.edge[i + 1])
+            known = at[mine] >= 0
+            if known.any():
+                self.best[i] = block_max_wand(p, at[mine][known], self.weights[mine][known], self.k, *self.best[i])
 
     def found(self) -> pa.RecordBatch:
         names = np.repeat(self.queries, [len(s) for s, _ in self.best])
@@ -274,7 +326,7 @@ class BlockSearch:
 
 
 def _search(k: int, mean_length: float):
-    """Rows sorted by slot, shard and term -> the best documents of every slot; a slot's queries (shard -1) come first."""
+    """Rows sorted by slot, shard and bucket -> the best documents of every slot; a slot's queries (shard -1) come first."""
 
     def run(batches: Batches) -> Batches:
         now, parts, search = None, [], None
@@ -313,13 +365,11 @@ def top_k(docs: DataFrame, queries: DataFrame, k: int = K, query_terms: int | No
     """``(query_id, rank, doc_id, score)`` for ``queries(query_id, text)`` over ``docs(doc_id, text)``."""
     if shard_docs > 1 << 16:
         raise ValueError("shard_docs must fit 16 bits")
-    index = staged(
-        table_input(docs, "doc_id", "text").where("doc_id is not null").mapInArrow(_index(shard_docs, shard_words), "shard long, term long, n long, docs binary, counts binary"), "index"
-    )
-    tables = index.where("term is null")
-    stats = tables.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("docs"), F.count("*").alias("shards")).first()
-    words = index.where("term is not null").groupBy("term").agg(F.sum("n").alias("df"))
-    total = _total_length(tables)
+    rows = "shard long, bucket int, terms array<long>, n array<long>, docs binary, counts binary"
+    index = staged(table_input(docs, "doc_id", "text").where("doc_id is not null").mapInArrow(_index(shard_docs, shard_words), rows), "index")
+    tables = index.where("bucket is null")
+    stats = tables.agg(*[F.coalesce(F.sum(F.get("n", F.lit(i))), F.lit(0)).alias(x) for i, x in enumerate(("docs", "words"))], F.count("*").alias("shards")).first()
+    words = index.where("bucket is not null").select(F.inline(F.arrays_zip(F.col("terms").alias("term"), "n"))).groupBy("term").agg(F.sum("n").alias("df"))
     q = table_input(queries, "query_id", "text").where("query_id is not null").mapInArrow(per_batch(_query_words), "query_id long, word binary, term long, tf long")
     q = q.groupBy("query_id", "word", "term").agg(F.sum("tf").alias("tf")).join(words, "term")
     idf = F.log(1 + (F.lit(float(stats["docs"])) - F.col("df") + 0.5) / (F.col("df") + 0.5))
@@ -341,28 +391,23 @@ def top_k(docs: DataFrame, queries: DataFrame, k: int = K, query_terms: int | No
     homes = F.array(*[F.lit(home.get(i, i)).cast("int") for i in range(n)])
     each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     none = F.lit(None)
-    wanted = asked.select("block", F.explode("asked.term").alias("term")).distinct()
-    hit = index.join(wanted, "term").select(slot(way).alias("slot"), "shard", "term", "docs", "counts", none.cast(asked.schema["asked"].dataType).alias("asked"))
-    own = tables.withColumn("block", each(blocks)).select(slot(way).alias("slot"), "shard", "term", "docs", "counts", none.cast(asked.schema["asked"].dataType).alias("asked"))
-    to_all = asked.withColumn("way", each(ways)).select(
-        slot(F.col("way")).alias("slot"), F.lit(-1).cast("long").alias("shard"), F.col("query_id").alias("term"), none.cast("binary").alias("docs"), none.cast("binary").alias("counts"), "asked"
-    )
+    bucket = F.shiftrightunsigned("term", 64 - BUCKET_BITS).cast("int").alias("bucket")
+    wanted = asked.select("block", F.explode("asked.term").alias("term")).groupBy(bucket).agg(F.collect_set("block").alias("blocks"))  # one row a bucket
+    no_query = [none.cast("long").alias("query_id"), none.cast(asked.schema["asked"].dataType).alias("asked")]
+    of_index = lambda rows: rows.select(slot(way).alias("slot"), *index.columns, *no_query)
+    hit = of_index(index.join(F.broadcast(wanted), "bucket").withColumn("block", F.explode("blocks")))
+    own = of_index(tables.withColumn("block", each(blocks)))
+    no_postings = [none.cast(index.schema[c].dataType).alias(c) for c in index.columns if c != "shard"]
+    to_all = asked.withColumn("way", each(ways)).select(slot(F.col("way")).alias("slot"), F.lit(-1).cast("long").alias("shard"), *no_postings, "query_id", "asked")
     found = (
         hit.unionByName(own).unionByName(to_all).withColumn("home", F.element_at(homes, F.col("slot").cast("int") + 1)).repartition(n, "home").drop("home")
-        .sortWithinPartitions("slot", "shard", F.asc_nulls_last("term")).mapInArrow(_search(k, total / max(stats["docs"], 1)), "query_id long, doc_id long, score double")
+        .sortWithinPartitions("slot", "shard", F.asc_nulls_last("bucket")).mapInArrow(_search(k, stats["words"] / max(stats["docs"], 1)), "query_id long, doc_id long, score double")
     )
     best = found.groupBy("query_id", "doc_id").agg(F.max("score").alias("score"))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id")
     return best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("long"), "doc_id", "score")
 
 
-def _total_length(tables: DataFrame) -> int:
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        return pa.record_batch([pa.array([int(sum(np.frombuffer(c, np.uint32).sum(dtype=np.int64) for c in batch["counts"].to_pylist()))], pa.int64())], names=["n"])
-
-    return tables.select("counts").mapInArrow(per_batch(run), "n long").agg(F.sum("n")).first()[0] or 0
-
-
 def op2_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 10 best documents for every document whose id is divisible by 50."""
     docs = read(spark, sf_dir, "documents")

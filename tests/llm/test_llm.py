@@ -330,6 +330,39 @@ def test_block_max_wand_jumps_blocks_unread():
     assert work.pivots == work.postings == 0
 
 
+def test_block_max_wand_reads_few_postings_of_long_queries():
+    # whole documents as queries: every block of documents holds many of their words, few documents hold enough of them
+    rng = np.random.default_rng(8)
+    tf = np.array([np.bincount(((rng.zipf(1.2, 400) - 1) * 7 + rng.integers(0, 7, 400)) % 6000, minlength=6000) for _ in range(3000)]).T
+    tf[:, 1500:1520] = tf[:, :20]  # a copy of each query
+    n = (tf > 0).sum(1)
+    weight = np.log(1 + (3000 - n + 0.5) / (n + 0.5))
+    kept = np.flatnonzero(n)
+    term, doc = np.nonzero(tf[kept])
+    impact = tf[kept][term, doc] * 2.2 / (tf[kept][term, doc] + 1.2)
+    postings, work, listed = search.Postings(n[kept], doc, impact, np.arange(3000)), search.Work(), 0
+    for q in range(20):
+        asked = np.flatnonzero(tf[kept, q])
+        listed += n[kept][asked].sum()
+        score, found = search.block_max_wand(postings, asked, weight[kept][asked], 2, work=work)
+        mine = np.isin(term, asked)
+        total = np.bincount(doc[mine], (impact * weight[kept][term])[mine], 3000).round(6)
+        want = np.lexsort((np.arange(3000), -total))[:2]
+        assert found.tolist() == want.tolist() == [q, 1500 + q] and np.allclose(score, total[want], atol=2e-6)
+    assert work.postings < 0.4 * listed
+
+
+def test_search_index_packs_a_shards_terms_by_buckets(spark):
+    rows = [(i, " ".join(f"w{j}" for j in range(i, 20 * i)) or None) for i in range(600)]
+    d = spark.createDataFrame(rows, "doc_id long, text string").repartition(1)
+    index = d.mapInArrow(search._index(512, 10**9), "shard long, bucket int, terms array<long>, n array<long>, docs binary, counts binary").toPandas()
+    assert len(index.shard.unique()) == 2 and not index.duplicated(["shard", "bucket"]).any() and index.bucket.max() < 1 << search.BUCKET_BITS
+    parts = index[index.bucket.notna()]
+    assert parts.n.map(sum).tolist() == (parts.docs.map(len) // 2).tolist() == (parts.counts.map(len) // 4).tolist()
+    assert parts.n.map(sum).sum() == sum(19 * i for i in range(600)) == index[index.bucket.isna()].n.map(lambda x: x[1]).sum()
+    assert all(t >> (64 - search.BUCKET_BITS) & ((1 << search.BUCKET_BITS) - 1) == b for b, ts in zip(parts.bucket, parts.terms, strict=True) for t in ts)
+
+
 def test_search_whole_long_queries_against_sql(spark, tmp_path):
     rng = np.random.default_rng(5)
     words = np.array([f"w{i}" for i in range(3000)])
