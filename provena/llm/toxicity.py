@@ -201,12 +201,12 @@ _READERS = remembered({})
 
 
 def _reader(lexicon) -> Reader:
-    """One reader for a broadcast lexicon in a worker."""
-    key = lexicon.id if hasattr(lexicon, "id") else id(lexicon)
+    """One reader for a broadcast lexicon in a worker.  It is kept with the lexicon: the id of a freed one would be given again."""
+    key = id(lexicon)
     if key not in _READERS:
         forget()
-        _READERS[key] = Reader(lexicon.value)
-    return _READERS[key]
+        _READERS[key] = lexicon, Reader(lexicon.value)
+    return _READERS[key][1]
 
 
 def train(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> dict:

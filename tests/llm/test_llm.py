@@ -389,6 +389,16 @@ def test_toxicity(spark, docs):
     assert toxicity.score(docs.where("false"), model).count() == 0
 
 
+def test_toxicity_reader_is_of_the_lexicon_given(monkeypatch):
+    class Shared:
+        def __init__(self, value):
+            self.value = value
+
+    monkeypatch.setattr(toxicity, "Reader", lambda value: value)
+    monkeypatch.setattr(toxicity, "_READERS", toxicity.remembered({}))
+    assert [toxicity._reader(Shared(i)) for i in range(50)] == list(range(50))
+
+
 def test_toxicity_held_out(spark):
     d = "/root/testdata/sf0.1"
     got = toxicity.op5_toxicity(spark, d).where("held_out").join(spark.read.parquet(f"{d}/labels.parquet"), "doc_id").toPandas()
