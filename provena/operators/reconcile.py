@@ -22,10 +22,10 @@ def agreement(left: DataFrame, right: DataFrame, keys: list[str], value: str, gr
     return j.groupBy(*group).agg(F.count("*").alias("both"), F.count_if(F.abs(F.col("_a") - F.col("_b")) < tolerance).alias("equal"))
 
 
-def differences(left: DataFrame, right: DataFrame, keys: list[str], value: str, version: str | None = None, tolerance: float = 1.0, n: int = 10) -> tuple[DataFrame, DataFrame]:
+def differences(left: DataFrame, right: DataFrame, keys: list[str], value: str, version: str | None = None, tolerance: float = 1.0, n: int = 10, digits: int = 2) -> tuple[DataFrame, DataFrame]:
     """(the ``n`` rows of both sides that differ most, with both values; per key of both sides whether it agrees and has the same version).
 
-    A key with a null is on one side only.  Ties by key.
+    A key with a null is on one side only.  Ties by key, where differences are equal after rounding to ``digits``.
     """
     extra = [version] if version else []
     a = left.select(*keys, F.col(value).alias("left_value"), *[F.col(c).alias("left_version") for c in extra])
@@ -33,7 +33,7 @@ def differences(left: DataFrame, right: DataFrame, keys: list[str], value: str,
     j = a.join(b, keys).withColumn("agrees", F.coalesce(F.abs(F.col("left_value") - F.col("right_value")) < tolerance, F.lit(False)))
     if version:
         j = j.withColumn("same_version", F.col("left_version").eqNullSafe(F.col("right_version")))
-    worst = j.where("not agrees").orderBy(F.desc_nulls_first(F.abs(F.col("left_value") - F.col("right_value"))), *keys).limit(n)
+    worst = j.where("not agrees").orderBy(F.desc_nulls_first(F.round(F.abs(F.col("left_value") - F.col("right_value")), digits)), *keys).limit(n)
     return worst, j
 
 

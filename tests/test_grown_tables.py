@@ -3,7 +3,7 @@
 from datetime import datetime
 
 import duckdb
-import pandas as pd
+import pyarrow as pa
 
 from provena.plans import QUERIES
 
@@ -29,6 +29,17 @@ def test_entity_ladder_with_repeated_names_and_long_numbers(spark, tmp_path):
     keys = [*range(0, 1001, 50), *range(50_000, 50_301, 50), 1_000_000]
     names = [f"Customer#{k % 15_000:09d}" for k in keys] + [f"Customer#{0:09d}"] * 10
     keys += [15_000 * i for i in range(1, 11)]  # more hits a term than a caller of one term is shown
-    customer = pd.DataFrame({"c_custkey": keys, "c_name": names})
-    supplier = pd.DataFrame({"s_suppkey": range(0, 1100), "s_name": [f"Supplier#{k:09d}" for k in range(1100)]})
+    customer = pa.table({"c_custkey": keys, "c_name": names})
+    supplier = pa.table({"s_suppkey": list(range(1100)), "s_name": [f"Supplier#{k:09d}" for k in range(1100)]})
     assert differing(spark, tmp_path, "entity_ladder", customer=customer, supplier=supplier) == [[], []]
+
+
+def test_reconciled_accounts_with_equal_gaps_at_the_cut(spark, tmp_path):
+    noise = lambda price, gap: abs(price - (price + gap))
+    gap = 44_900.0 + 1996
+    prices = sorted((noise(p / 100, gap), p / 100) for p in range(10_000_001, 10_000_200))
+    assert prices[0][0] < prices[-1][0]
+    # nine worse ones, then two of the same gap, of which the smaller key counts
+    rows = [(45_000 + 5 * i, 2001, 50.25) for i in range(9)] + [(44_895, 2001, prices[0][1]), (44_900, 1996, prices[-1][1]), (50_000, 1998, None), (3, 1998, 20.5)]
+    orders = pa.table({"o_custkey": [k for k, _, _ in rows], "o_totalprice": [p for _, _, p in rows], "o_orderdate": [datetime(y, 5, 5) for _, y, _ in rows]})
+    assert differing(spark, tmp_path, "reconciled_accounts", orders=orders) == [[], []]
