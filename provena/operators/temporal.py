@@ -89,8 +89,8 @@ def as_of(left: DataFrame, right: DataFrame, keys: list[str], at: str, since: st
 
 
 def strictly_increasing(df: DataFrame, keys: list[str], order: list[str], millis: str) -> DataFrame:
-    """t_i = max(t_i, t_{i-1} + 1), by the running maximum of t minus its row number."""
-    w = Window.partitionBy(*keys).orderBy(*order)
+    """t_i = max(t_i, t_{i-1} + 1), by the running maximum of t minus its row number; rows without a place come last, those of one place by time."""
+    w = Window.partitionBy(*keys).orderBy(*[F.asc_nulls_last(c) for c in order], F.asc_nulls_last(millis))
     rn = F.row_number().over(w)
     return df.withColumn("_rn", rn).withColumn(millis, F.max(F.col(millis) - F.col("_rn")).over(w.rowsBetween(Window.unboundedPreceding, 0)) + F.col("_rn")).drop("_rn")
 

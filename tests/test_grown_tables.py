@@ -43,3 +43,9 @@ def test_reconciled_accounts_with_equal_gaps_at_the_cut(spark, tmp_path):
     rows = [(45_000 + 5 * i, 2001, 50.25) for i in range(9)] + [(44_895, 2001, prices[0][1]), (44_900, 1996, prices[-1][1]), (50_000, 1998, None), (3, 1998, 20.5)]
     orders = pa.table({"o_custkey": [k for k, _, _ in rows], "o_totalprice": [p for _, _, p in rows], "o_orderdate": [datetime(y, 5, 5) for _, y, _ in rows]})
     assert differing(spark, tmp_path, "reconciled_accounts", orders=orders) == [[], []]
+
+
+def test_strictly_increasing_without_ids_and_before_1970(spark, tmp_path):
+    rows = [(None, datetime(2024, 1, 1, 9), 1), (5, datetime(2024, 1, 1, 4), 1), (4, datetime(2024, 1, 1, 4), 1), (1, datetime(1969, 12, 31, 22, 30), 2), (2, datetime(1969, 12, 30, 1, 1, 1, 1), 2), (3, None, 2), (4, datetime(1970, 1, 1, 5), 2)]
+    events = pa.table({"event_id": pa.array([r[0] for r in rows], pa.int64()), "ts": [r[1] for r in rows], "user_id": [r[2] for r in rows]})
+    assert differing(spark, tmp_path, "strictly_increasing", events=events) == [[], []]
