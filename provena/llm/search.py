@@ -8,7 +8,9 @@ ids and lengths) is staged once.  Document frequencies, the number of documents
 added up over all shards, so every shard scores with global statistics.  A block of
 queries goes to ``WAYS`` tasks or more, each with a share of the shards, of which
 only the buckets that hold a term of the block are sent there.  A task takes its queries through one shard after
-another by block-max WAND with the query's k-th score in the shards so far as its threshold.
+another by block-max WAND with the query's k-th score in the shards so far as its threshold.  A block of many queries takes a
+shard together instead: long lists that several queries share are multiplied as a matrix, the other lists added up, and
+the documents that reach their query's threshold are scored.
 Every query meets every shard, so the work grows with the product of queries and documents.
 The tasks' top-k merge exactly: a document lies in one shard and its
 score does not depend on the shard.
@@ -42,6 +44,9 @@ WAYS, SHARDS_A_TASK = 16, 64  # the shards are dealt to so many tasks for a bloc
 SPREAD, FIRST, REACH = 8, 0.25, 0.5  # see Postings and block_max_wand; they change what is read, not what is found
 ROUNDING = 1.001  # far more than single-precision sums of block bounds can be short by
 BUCKET_BITS = 13  # a shard's terms go into so many buckets (as a power of 2), by the first bits of their hashes: rows of some kilobytes
+DENSE_LISTS, DENSE_CELLS, CHUNK, SHARED = 1024, 1 << 23, 128, 6  # longest lists that go into a shard's matrix, its cells at most, queries at a time, and how many of them have to share a list
+SUMMED = 1.0001  # more than single-precision sums of DENSE_LISTS impacts can be short by
+AT_ONCE = 1 << 21  # postings at a time
 SLACK = 1e-6  # scores are ranked after rounding; nothing within this of the k-th is skipped
 
 
@@ -130,15 +135,23 @@ def _ranges(first: np.ndarray, last: np.ndarray) -> np.ndarray:
     return np.arange(ends[-1] if len(n) else 0) + np.repeat(first - ends + n, n)
 
 
+def _parts(n: np.ndarray) -> list[slice]:
+    """Stretches of the counts ``n`` of at most about ``AT_ONCE`` in all."""
+    part = np.cumsum(n) // AT_ONCE
+    cut = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1], [True]])).tolist() if len(n) else []
+    return [slice(a, b) for a, b in zip(cut, cut[1:], strict=False)]
+
+
 class Postings:
     """The postings of a shard's queried terms, term after term.
 
     ``list_max`` holds the greatest impact of every list.  A long list (at least one posting to ``SPREAD`` blocks of the shard) also
     has a row of ``block_max``: the greatest impact in every block of ``BLOCK`` documents, rounded up.  Postings of long lists
-    are there a second time in the order of the documents (``of_doc``, ``doc_impact``).
+    are there a second time in the order of the documents (``of_doc``, ``doc_impact``).  With ``dense`` the longest of them are
+    rows of ``matrix`` as well, in single precision; ``column`` has the row of a term's list, -1 for the others.
     """
 
-    def __init__(self, n: np.ndarray, docs: np.ndarray, impact: np.ndarray, ids: np.ndarray):
+    def __init__(self, n: np.ndarray, docs: np.ndarray, impact: np.ndarray, ids: np.ndarray, dense: bool = False):
         self.docs, self.impact, self.ids = docs, impact, ids
         self.edge = np.append(0, np.cumsum(n))
         self.list_max = np.maximum.reduceat(impact, self.edge[:-1])
@@ -157,6 +170,14 @@ class Postings:
         self.doc_edge = np.append(0, np.cumsum(np.bincount(doc, minlength=len(ids))))
         self.weight = np.zeros(len(self.block_max))  # of the rows, during a search
         self.distinct = len(np.unique(ids)) == len(ids)
+        if dense:
+            longest = np.argsort(-n, kind="stable")[: min(DENSE_CELLS // len(ids), DENSE_LISTS)]
+            longest = longest[self.long[longest]]
+            self.column = np.full(len(n), -1)
+            self.column[longest] = np.arange(len(longest))
+            own = np.repeat(self.column >= 0, n)
+            self.matrix = np.zeros((len(longest), len(ids)), np.float32)
+            self.matrix[np.repeat(self.column, n)[own], docs[own]] = impact[own]
 
 
 class Work:
@@ -280,6 +301,30 @@ def _merged(total: np.ndarray, doc: np.ndarray, distinct: bool, k: int, best: np
     return score[rank[:k]], doc[rank[:k]]
 
 
+def like_each_other(edge: np.ndarray, terms: np.ndarray, weights: np.ndarray, common: int = 256) -> np.ndarray:
+    """An order of the queries that has those of like lengths and, among them, of like common words together; it changes what a
+    chunk of them shares, not what is found."""
+    size = np.diff(edge)
+    length = np.log2(np.maximum(size, 1)).round()
+    if not len(terms):
+        return np.arange(len(size))
+    weight = np.full(terms.max() + 1, np.inf)
+    weight[terms] = weights
+    place = np.full(len(weight), -1)
+    low = np.argsort(weight, kind="stable")[:common]
+    place[low] = np.arange(len(low))
+    row, column = np.repeat(np.arange(len(size)), size), place[terms]
+    has = np.zeros((len(size), len(low)), np.float32)
+    has[row[column >= 0], column[column >= 0]] = 1
+    has /= np.maximum(np.sqrt(has.sum(1, keepdims=True)), 1)
+    has -= has.mean(0)
+    axis = np.ones(len(low), np.float32)
+    for _ in range(12):  # towards the direction in which they differ most
+        axis = has.T @ (has @ axis)
+        axis /= max(float(np.linalg.norm(axis)), 1e-9)
+    return np.lexsort((has @ axis, length))
+
+
 class BlockSearch:
     """A block of queries that is taken through one shard after another; the k-th scores so far prune the next shard."""
 
@@ -293,6 +338,10 @@ class BlockSearch:
         self.weights = flat.field("weight").to_numpy()
         self.wanted, self.terms = np.unique(flat.field("term").to_numpy().view(U64), return_inverse=True)
         self.best = [(np.zeros(0), np.zeros(0, np.int64))] * len(self.queries)
+        order = like_each_other(self.edge, self.terms, self.weights)
+        self.queries, n = self.queries[order], np.diff(self.edge)[order]
+        of = _ranges(self.edge[order], self.edge[order] + n)
+        self.edge, self.weights, self.terms = np.append(0, np.cumsum(n)), self.weights[of], self.terms[of]
 
     def visit(self, shard: pa.Table) -> None:
         m = len(shard) - 1  # the shard's own row, without a bucket, comes last
@@ -309,16 +358,84 @@ class BlockSearch:
             return
         own = np.repeat(asked, n)
         doc, tf = np.frombuffer(b"".join(docs[:m]), np.uint16)[own].astype(np.int64), np.frombuffer(b"".join(counts[:m]), np.uint32)[own].astype(float)
-        p = Postings(n[asked], doc, tf * (K1 + 1) / (tf + norm[doc]), ids)
+        many = len(self.queries) >= CHUNK // 4  # fewer don't repay the matrix
+        p = Postings(n[asked], doc, tf * (K1 + 1) / (tf + norm[doc]), ids, many)
         place = np.full(len(self.wanted), -1)
         place[at[asked]] = np.arange(int(asked.sum()))
         at = place[self.terms]
-        for i in range(len(self.queries)):
+        for lo in range(0, len(self.queries), CHUNK) if many else ():
+            self._together(p, at, lo, min(lo + CHUNK, len(self.queries)))
+        for i in () if many else range(len(self.queries)):
             mine = slice(self.edge[i], self.edge[i + 1])
             known = at[mine] >= 0
             if known.any():
                 self.best[i] = block_max_wand(p, at[mine][known], self.weights[mine][known], self.k, *self.best[i])
 
+    def _together(self, p: Postings, at: np.ndarray, lo: int, hi: int) -> None:
+        """The queries ``lo`` .. ``hi`` - 1: the product of the lists in the matrix that several of them share, rounded up, and the sums of
+        their other lists; documents that can reach the threshold are scored exactly."""
+        mine, width = slice(self.edge[lo], self.edge[hi]), len(p.ids)
+        known = at[mine] >= 0
+        term, weight = at[mine][known], self.weights[mine][known]
+        row = np.repeat(np.arange(hi - lo), np.diff(self.edge[lo : hi + 1]))[known]
+        column = p.column[term]
+        used = np.flatnonzero(np.bincount(column[column >= 0], minlength=len(p.matrix)) >= SHARED)
+        if 4 * len(used) > 3 * len(p.matrix):
+            used = np.arange(len(p.matrix))
+        place = np.full(len(p.matrix) + 1, -1)  # the last is for -1
+        place[used] = np.arange(len(used))
+        column = place[column]
+        dense = column >= 0
+        weights = np.zeros((hi - lo, len(used)), np.float32)
+        weights[row[dense], column[dense]] = weight[dense]
+        reach = weights @ (p.matrix if len(used) == len(p.matrix) else p.matrix[used])
+        reach *= np.float32(SUMMED)
+        other, at_row, by = term[~dense], row[~dense] * width, weight[~dense]
+        n = p.edge[other + 1] - p.edge[other]
+        total = np.zeros((hi - lo) * width)
+        for part in _parts(n):
+            post = _ranges(p.edge[other[part]], p.edge[other[part] + 1])
+            cell = p.docs.take(post)
+            cell += np.repeat(at_row[part], n[part])
+            impact = p.impact.take(post)
+            impact *= np.repeat(by[part], n[part])
+            total += np.bincount(cell, impact, len(total))
+        total = total.reshape(hi - lo, width)
+        reach = reach + total
+        by_row = np.zeros((hi - lo, len(p.block_max)))
+        by_row[row[dense], p.row[term[dense]]] = weight[dense]
+        least = np.array([_least(best, self.k) for best, _ in self.best[lo:hi]])
+        for i in np.flatnonzero((least <= 0) & (reach > 0).any(1)):  # no threshold yet
+            docs = _highest(reach[i], np.flatnonzero(reach[i] > 0), 4 * self.k)
+            self._take(p, lo + i, self._exact(p, by_row, total, np.full(len(docs), i), docs), docs)
+            reach[i, docs] = 0.0
+            least[i] = _least(self.best[lo + i][0], self.k)
+        rows, docs = np.nonzero(reach >= np.where(least > 0, least, SLACK)[:, None])
+        full = self._exact(p, by_row, total, rows, docs)
+        high = np.round(full, 6) >= least[rows]
+        rows, docs, full = rows[high], docs[high], full[high]
+        edge = np.searchsorted(rows, np.arange(hi - lo + 1))
+        for i in np.flatnonzero(np.diff(edge)):
+            self._take(p, lo + i, full[edge[i] : edge[i + 1]], docs[edge[i] : edge[i + 1]])
+
+    def _take(self, p: Postings, i: int, full: np.ndarray, docs: np.ndarray) -> None:
+        best, ids = self.best[i]
+        self.best[i] = _merged(np.round(full, 6), p.ids[docs], p.distinct, self.k, best, ids, _least(best, self.k))
+
+    @staticmethod
+    def _exact(p: Postings, by_row: np.ndarray, total: np.ndarray, rows: np.ndarray, docs: np.ndarray) -> np.ndarray:
+        """Scores of pairs of a query and a document: ``total`` and the lists with a weight in ``by_row``, a bounded number of postings at a time."""
+        full, first = total[rows, docs], p.doc_edge[docs]
+        n = p.doc_edge[docs + 1] - first
+        for part in _parts(n):
+            some = part.start + np.flatnonzero(n[part])
+            if len(some):
+                post = _ranges(first[some], first[some] + n[some])
+                each = by_row.ravel().take(np.repeat(rows[some] * by_row.shape[1], n[some]) + p.of_doc.take(post))
+                each *= p.doc_impact.take(post)
+                full[some] += np.add.reduceat(each, np.cumsum(n[some]) - n[some])
+        return full
+
     def found(self) -> pa.RecordBatch:
         names = np.repeat(self.queries, [len(s) for s, _ in self.best])
         score, doc = (np.concatenate(x) for x in zip(*self.best, strict=True))

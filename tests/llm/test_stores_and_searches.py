@@ -3,6 +3,7 @@
 import glob
 import math
 import os
+import random
 import zlib
 from collections import Counter
 
@@ -12,7 +13,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from provena.llm import bag_search, divergence, id_store
+from provena.llm import bag_search, divergence, id_store, search
 from provena.llm.tokens import tokenizer, vocabulary_path
 from provena.llm.words import U64, alnum_words
 
@@ -210,3 +211,22 @@ def test_audit_equals_brute_force(spark, cells):
 
 def test_op13_equals_sql(spark, sf_dir):
     equal_to_sql(spark, sf_dir, divergence.op13_source_divergence, divergence.OP13_SQL)
+
+
+def test_top_k_of_many_queries_at_once_equals_wand(spark):
+    rng = random.Random(11)
+    word = lambda: f"w{int(rng.expovariate(0.02))}"
+    rows = [(i % 560, " ".join(word() for _ in range(rng.randint(0, 60)))) for i in range(600)] + [(700, None), (701, "w1 " * 500), (702, "w1 " * 500)]
+    d = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    q = d.where("doc_id % 4 = 0").select(F.col("doc_id").alias("query_id"), "text")
+    want = sorted(map(tuple, search.top_k(d, q, shard_docs=100, query_block=6).collect()))  # blocks too small to go together
+    got = sorted(map(tuple, search.top_k(d, q, shard_docs=100).collect()))
+    assert [x[:3] for x in got] == [x[:3] for x in want] and len(got) > 1000
+    assert all(abs(a[3] - b[3]) < 2e-6 for a, b in zip(got, want, strict=True))
+
+
+def test_queries_that_go_together_are_in_an_order_of_their_own():
+    sizes, groups = [3, 3, 20, 3, 20, 3], [0, 1, 0, 0, 1, 1]
+    terms = np.concatenate([np.arange(n) + 50 * g for n, g in zip(sizes, groups, strict=True)])
+    order = search.like_each_other(np.append(0, np.cumsum(sizes)), terms, np.ones(len(terms)) + terms % 50)
+    assert sorted(order) == [*range(6)] and {tuple(sorted(order[:2])), tuple(sorted(order[2:4]))} == {(0, 3), (1, 5)} and sorted(order[4:]) == [2, 4]
