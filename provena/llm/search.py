@@ -36,6 +36,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..operators.together import CHUNK, DENSE_CELLS, DENSE_LISTS, SHARED, SUMMED, like_each_other, parts, ranges
 from .common import read, staged, table_input
 from .words import U64, Batches, WordHasher, alnum_words, per_batch, utf8
 
@@ -44,9 +45,6 @@ WAYS, SHARDS_A_TASK = 16, 64  # the shards are dealt to so many tasks for a bloc
 SPREAD, FIRST, REACH = 8, 0.25, 0.5  # see Postings and block_max_wand; they change what is read, not what is found
 ROUNDING = 1.001  # far more than single-precision sums of block bounds can be short by
 BUCKET_BITS = 13  # a shard's terms go into so many buckets (as a power of 2), by the first bits of their hashes: rows of some kilobytes
-DENSE_LISTS, DENSE_CELLS, CHUNK, SHARED = 1024, 1 << 23, 128, 6  # longest lists that go into a shard's matrix, its cells at most, queries at a time, and how many of them have to share a list
-SUMMED = 1.0001  # more than single-precision sums of DENSE_LISTS impacts can be short by
-AT_ONCE = 1 << 21  # postings at a time
 SLACK = 1e-6  # scores are ranked after rounding; nothing within this of the k-th is skipped
 
 
@@ -128,20 +126,6 @@ def _query_words(batch: pa.RecordBatch) -> pa.RecordBatch:
     return pa.record_batch([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.binary(), pa.int64(), pa.int64()), strict=True)], names=["query_id", "word", "term", "tf"])
 
 
-def _ranges(first: np.ndarray, last: np.ndarray) -> np.ndarray:
-    """first[0] .. last[0]-1, first[1] .. last[1]-1, and so on."""
-    n = last - first
-    ends = np.cumsum(n)
-    return np.arange(ends[-1] if len(n) else 0) + np.repeat(first - ends + n, n)
-
-
-def _parts(n: np.ndarray) -> list[slice]:
-    """Stretches of the counts ``n`` of at most about ``AT_ONCE`` in all."""
-    part = np.cumsum(n) // AT_ONCE
-    cut = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1], [True]])).tolist() if len(n) else []
-    return [slice(a, b) for a, b in zip(cut, cut[1:], strict=False)]
-
-
 class Postings:
     """The postings of a shard's queried terms, term after term.
 
@@ -235,7 +219,7 @@ def block_max_wand(p: Postings, terms: np.ndarray, weights: np.ndarray, k: int,
         if left:
             lo, hi = p.doc_edge[docs], p.doc_edge[docs + 1]
             some = np.flatnonzero(hi > lo)
-            post = _ranges(lo[some], hi[some])
+            post = ranges(lo[some], hi[some])
             work.postings += len(post)
             if len(some):
                 p.weight[rows[:left]] = weights[:left]
@@ -247,7 +231,7 @@ def block_max_wand(p: Postings, terms: np.ndarray, weights: np.ndarray, k: int,
         best, ids = _merged(np.round(full, 6), p.ids[docs], p.distinct, k, best, ids, least)
         least = _least(best, k)
 
-    short = _ranges(p.edge[terms[n_long:]], p.edge[terms[n_long:] + 1])
+    short = ranges(p.edge[terms[n_long:]], p.edge[terms[n_long:] + 1])
     add_up(p.docs.take(short), p.impact.take(short), slice(n_long, None))
     if least <= 0:
         share = np.cumsum(n[::-1])[::-1]  # postings of the terms i and after
@@ -301,30 +285,6 @@ def _merged(total: np.ndarray, doc: np.ndarray, distinct: bool, k: int, best: np
     return score[rank[:k]], doc[rank[:k]]
 
 
-def like_each_other(edge: np.ndarray, terms: np.ndarray, weights: np.ndarray, common: int = 256) -> np.ndarray:
-    """An order of the queries that has those of like lengths and, among them, of like common words together; it changes what a
-    chunk of them shares, not what is found."""
-    size = np.diff(edge)
-    length = np.log2(np.maximum(size, 1)).round()
-    if not len(terms):
-        return np.arange(len(size))
-    weight = np.full(terms.max() + 1, np.inf)
-    weight[terms] = weights
-    place = np.full(len(weight), -1)
-    low = np.argsort(weight, kind="stable")[:common]
-    place[low] = np.arange(len(low))
-    row, column = np.repeat(np.arange(len(size)), size), place[terms]
-    has = np.zeros((len(size), len(low)), np.float32)
-    has[row[column >= 0], column[column >= 0]] = 1
-    has /= np.maximum(np.sqrt(has.sum(1, keepdims=True)), 1)
-    has -= has.mean(0)
-    axis = np.ones(len(low), np.float32)
-    for _ in range(12):  # towards the direction in which they differ most
-        axis = has.T @ (has @ axis)
-        axis /= max(float(np.linalg.norm(axis)), 1e-9)
-    return np.lexsort((has @ axis, length))
-
-
 class BlockSearch:
     """A block of queries that is taken through one shard after another; the k-th scores so far prune the next shard."""
 
@@ -340,7 +300,7 @@ class BlockSearch:
         self.best = [(np.zeros(0), np.zeros(0, np.int64))] * len(self.queries)
         order = like_each_other(self.edge, self.terms, self.weights)
         self.queries, n = self.queries[order], np.diff(self.edge)[order]
-        of = _ranges(self.edge[order], self.edge[order] + n)
+        of = ranges(self.edge[order], self.edge[order] + n)
         self.edge, self.weights, self.terms = np.append(0, np.cumsum(n)), self.weights[of], self.terms[of]
 
     def visit(self, shard: pa.Table) -> None:
@@ -393,8 +353,8 @@ class BlockSearch:
         other, at_row, by = term[~dense], row[~dense] * width, weight[~dense]
         n = p.edge[other + 1] - p.edge[other]
         total = np.zeros((hi - lo) * width)
-        for part in _parts(n):
-            post = _ranges(p.edge[other[part]], p.edge[other[part] + 1])
+        for part in parts(n):
+            post = ranges(p.edge[other[part]], p.edge[other[part] + 1])
             cell = p.docs.take(post)
             cell += np.repeat(at_row[part], n[part])
             impact = p.impact.take(post)
@@ -427,10 +387,10 @@ class BlockSearch:
         """Scores of pairs of a query and a document: ``total`` and the lists with a weight in ``by_row``, a bounded number of postings at a time."""
         full, first = total[rows, docs], p.doc_edge[docs]
         n = p.doc_edge[docs + 1] - first
-        for part in _parts(n):
+        for part in parts(n):
             some = part.start + np.flatnonzero(n[part])
             if len(some):
-                post = _ranges(first[some], first[some] + n[some])
+                post = ranges(first[some], first[some] + n[some])
                 each = by_row.ravel().take(np.repeat(rows[some] * by_row.shape[1], n[some]) + p.of_doc.take(post))
                 each *= p.doc_impact.take(post)
                 full[some] += np.add.reduceat(each, np.cumsum(n[some]) - n[some])
