@@ -75,3 +75,23 @@ def test_ladder(spark):
     assert w["azul"].companies is None and w["AZUL norte grupo"].warning == "ambiguous" and w["Companhya Energetyca do Ceara"].warning == "fuzzy"
     # a phrase, not a bag of words
     assert [x.stage for x in entity.resolve(spark.createDataFrame([("norte do azul mar",)], "term string"), a.where("id = 2"), least=0.99).collect()] == []
+
+
+def test_many_similarities_at_once_equal_those_of_pairs():
+    rng = random.Random(4)
+    for _ in range(300):
+        term, width = "".join(rng.choice("abc e") for _ in range(rng.randint(1, 12))), rng.randint(1, 12)
+        pool = ["".join(rng.choice("abc e") for _ in range(width)) for _ in range(15)] + [(term * 12)[:width]]
+        codes = np.frombuffer("".join(pool).encode("utf-32-le"), np.uint32).reshape(-1, width)
+        assert names.similarities(term, codes).tolist() == [names.jaro_winkler(term, x) for x in pool]
+
+
+def test_nearest_names_of_many_tasks_are_not_compared_one_by_one(spark, monkeypatch):
+    n = spark.range(3000).select("id", F.concat(F.lit("customer#"), F.lpad(F.col("id").cast("string"), 6, "0")).alias("name")).repartition(6)
+    monkeypatch.setattr(names, "jaro_winkler", None)
+    got = names.nearest_names(spark.createDataFrame([("kstmer#001234",), ("kstmer#000050",)], "term string"), n, 3).orderBy("term", F.desc("similarity"), "id").collect()
+    monkeypatch.undo()
+    pool = [(i, f"customer#{i:06d}") for i in range(3000)]
+    for t in ("kstmer#000050", "kstmer#001234"):
+        want = sorted((-round(names.jaro_winkler(t, x), 9), i) for i, x in pool)[:3]
+        assert [(-r.similarity, r.id) for r in got if r.term == t] == want
