@@ -67,7 +67,7 @@ def test_many_queries_together_and_one_count_for_all_blocks(spark, monkeypatch):
     counted = search._counted
     monkeypatch.setattr(search, "_counted", lambda *a: counts.append(1) or counted(*a))
     rows = [(i % 390 if i % 50 else None, " ".join(f"w{(i * j * j + j) % (7 + 9 * (j % 11))}" for j in range(i % 40)), "ab"[i % 2]) for i in range(400)]
-    d = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(50)
     q = spark.createDataFrame([(f"q{i}", t, g if i % 3 else None) for i, (_, t, g) in enumerate(rows) if i % 2], "query_id string, query string, lang string")
     best = lambda **x: sorted(tuple(r) for r in search.ranked(search.bm25(d, q, matching=("lang",), **x), "bm25", "doc_id", 5).selectExpr("query_id", "pos", "round(bm25, 6)").collect())
     want = best()
